@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, token_counts, toxicity
+from . import bpe, html_text, mixing, quality, token_counts, topk, toxicity
 from .common import crc_remainder, table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -27,6 +27,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, BYTE_VOCABULARY).select("doc_id", "bpe.*")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken")
+    )
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.with_counts(docs, WORD_VOCABULARY).select(
@@ -37,6 +43,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")
+    )
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc_remainder("doc_id", 4) == 2
@@ -46,11 +59,19 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0, 10)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op4_bpe": op4_bpe,
+    "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
+    "op8_html": op8_html,
     "op9_quality": op9_quality,
+    "op10_topk": op10_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {}
