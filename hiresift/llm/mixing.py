@@ -122,7 +122,8 @@ def _fly(units: DataFrame, groups: int, level: int) -> DataFrame:
     columns = units.columns
 
     def move(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["mark", "size", "share"], kind="stable")
+        # Long documents first: those that stay undecided are short, and so is the landing's error.
+        rows = rows.sort_values(["size", "mark", "share"], ascending=[False, True, True], kind="stable")
         size = rows["size"].to_numpy("float64")
         seed = int(rows["mark"].iloc[0]) & 0x7FFFFFFF
         share = flight(rows["share"].to_numpy("float64"), size, seed)
