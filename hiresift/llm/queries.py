@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, mixing, quality, token_counts, topk, toxicity
+from . import bpe, html_text, minhash, mixing, quality, token_counts, topk, toxicity
 from .common import crc_remainder, table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -22,6 +22,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.round_trip(docs, BYTE_VOCABULARY).select("doc_id", "bpe.*")
@@ -66,6 +70,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_bpe": op4_bpe,
     "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
