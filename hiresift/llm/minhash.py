@@ -140,7 +140,7 @@ def signed_documents(docs: DataFrame, column: str = "text", size: int = 2) -> Da
     return (
         docs.select(F.col("doc_id").cast("long"), shingle_hashes(text_or_empty(column), size).alias("shingles"))
         .withColumn("n_shingles", F.size("shingles").cast("long"))
-        .withColumn("_sorted", F.array_sort("shingles"))
+        .withColumn("_sorted", F.sort_array("shingles"))
         .select(
             "doc_id", "n_shingles", F.xxhash64(F.lit(1), "_sorted").alias("k1"), F.xxhash64(F.lit(2), "_sorted").alias("k2"), "shingles"
         )

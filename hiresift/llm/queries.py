@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, minhash, mixing, quality, token_counts, topk, toxicity
+from . import bpe, fingerprints, html_text, minhash, mixing, quality, token_counts, topk, toxicity
 from .common import crc_remainder, table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -22,6 +22,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("hashes")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_hashes")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
+        fingerprints.likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+    )
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -70,6 +82,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_fingerprints": op2_fingerprints,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_bpe": op4_bpe,
     "op6_mixing": op6_mixing,
