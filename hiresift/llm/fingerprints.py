@@ -32,9 +32,9 @@ from .common import text_or_empty, words
 
 #: Band of the share of documents that a lexicon term occurs in.
 LOWEST, HIGHEST = 0.002, 0.1
-#: Randomised orders of the lexicon, and the subsets taken of each: one term in 2, 4, 8 and so on.
-ORDERS, HALVINGS = 3, 8
-HASHES = 1 + ORDERS * HALVINGS
+#: Randomised orders of the lexicon, and the subsets taken of each: one term in two to these powers.
+ORDERS, HALVINGS = 4, range(3, 11)
+HASHES = 1 + ORDERS * len(HALVINGS)
 LEXICON_BUCKETS = 16_384
 #: Documents of neighbouring ids in one window, and such windows at most.
 ID_RANGE_ROWS = 500
@@ -65,7 +65,7 @@ def _ordered(k: int, t: Column) -> Column:
 
 def fingerprint(text: Column, words_kept: Column) -> Column:
     """Array of the hashes of a text's terms in the lexicon and in each subset of it; 0 where it has none there."""
-    halvings = F.array(*[F.lit((1 << level) - 1).cast("bigint") for level in range(1, HALVINGS + 1)])
+    halvings = F.array(*[F.lit((1 << level) - 1).cast("bigint") for level in HALVINGS])
 
     def in_lexicon(t: Column) -> Column:
         return F.array_contains(F.get(words_kept, F.pmod(t, F.lit(LEXICON_BUCKETS)).cast("int")), t)
