@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html_text, minhash, mixing, quality, token_counts, topk, toxicity
+from . import bpe, fingerprints, html_text, minhash, mixing, quality, substring, token_counts, topk, toxicity
 from .common import crc_remainder, table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -43,6 +43,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, BYTE_VOCABULARY).select("doc_id", "bpe.*")
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.remove_repeats(docs, texts=False).select(
+        "doc_id", "repeats.n_words", "repeats.n_removed", "repeats.kept_sha256"
+    )
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken")
@@ -85,6 +92,7 @@ QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_bpe": op4_bpe,
+    "op5_substrings": op5_substrings,
     "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
     "op8_html": op8_html,
