@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hiresift.llm import bpe, quality
-from hiresift.llm.common import table
+from hiresift.llm import bpe, minhash, mixing, quality, substring
+from hiresift.llm.common import cut, table, text_or_empty
 from hiresift.llm.queries import BYTE_VOCABULARY
 
 
@@ -21,15 +21,46 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, into="_score").where(F.col("_score") >= 0.7).drop("_score")
 
 
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: one document of each group of near-duplicates stays, and of equal rows one."""
+    kept = cut(minhash.near_duplicates(docs).where("kept").select("doc_id"))
+    counts = kept.agg(F.count("doc_id").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
+    unnamed = docs.where(F.col("doc_id").isNull())
+    named = docs.join(kept.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    if counts.rows > counts.ids:
+        named = named.dropDuplicates(["doc_id", "text"])
+    return named.unionByName(unnamed)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Substring dedup: passages that an earlier document holds go, and documents of which nothing is left."""
+    done = substring.remove_repeats(docs).where("repeats.n_removed = 0 or repeats.n_removed < repeats.n_words")
+    text = F.when(F.col("repeats.n_removed") > 0, F.col("repeats.kept")).otherwise(F.col("text"))
+    length = F.when(F.col("repeats.n_removed") > 0, F.char_length("repeats.kept").cast("long")).otherwise(F.col("n_chars"))
+    return done.withColumns({"text": text, "n_chars": length}).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing to target weights: documents are repeated or left out as the mix takes them."""
+    return mixing.apply_mix(docs)
+
+
 def add_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE encoding: the rows with their ids, the number of them, and the text that they decode to."""
+    """BPE encoding and decoding: the rows with their ids, how many there are, and whether they decode to the text."""
     encoded = bpe.encode(docs, BYTE_VOCABULARY)
-    decoded = bpe.decode(encoded, BYTE_VOCABULARY)
-    return decoded.withColumn("n_tokens", F.size("ids").cast("long"))
+    return (
+        bpe.decode(encoded, BYTE_VOCABULARY, into="_decoded")
+        .withColumn("n_tokens", F.size("ids").cast("long"))
+        .withColumn("round_trip", F.col("_decoded") == text_or_empty())
+        .drop("_decoded")
+    )
 
 
 STAGES = [
     ("quality", keep_good),
+    ("near_dedup", keep_one_of_each_group),
+    ("substring_dedup", drop_repeated_passages),
+    ("mixing", mix_sources),
     ("bpe", add_tokens),
 ]
 

@@ -177,12 +177,14 @@ def sample(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP
 
 def apply_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, column: str = "text") -> DataFrame:
     """The rows as the mix takes them: repeated or left out. Rows equal in id and text share one decision."""
-    mark = F.xxhash64("doc_id", text_or_empty(column))
-    times = sample(docs.dropDuplicates(["doc_id", column]), weights, cap, column).select(
-        F.col("mark").alias("_mark"), F.col("times").cast("int").alias("_times")
-    ).where("_times > 0")
+    times = (
+        sample(docs, weights, cap, column)
+        .groupBy(F.col("mark").alias("_mark"))
+        .agg(F.max("times").cast("int").alias("_times"))
+        .where("_times > 0")
+    )
     return (
-        docs.withColumn("_mark", mark)
+        docs.withColumn("_mark", F.xxhash64("doc_id", text_or_empty(column)))
         .join(times, "_mark")
         .withColumn("_repeat", F.explode(F.array_repeat(F.lit(1), F.col("_times"))))
         .select(*docs.columns)
