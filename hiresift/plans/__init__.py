@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("analytics", "texts")
+MODULES = ("analytics", "texts", "learning")
 
 
 def all_queries() -> dict:
