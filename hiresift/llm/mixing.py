@@ -183,9 +183,10 @@ def apply_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float =
         .agg(F.max("times").cast("int").alias("_times"))
         .where("_times > 0")
     )
+    # The rows travel as one struct, so that no name of theirs can clash.
     return (
-        docs.withColumn("_mark", F.xxhash64("doc_id", text_or_empty(column)))
+        docs.select(F.struct("*").alias("_row"), F.xxhash64("doc_id", text_or_empty(column)).alias("_mark"))
         .join(times, "_mark")
-        .withColumn("_repeat", F.explode(F.array_repeat(F.lit(1), F.col("_times"))))
-        .select(*docs.columns)
+        .select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_times"))).alias("_repeat"))
+        .select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
     )

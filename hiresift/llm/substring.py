@@ -235,13 +235,21 @@ def repeated_spans(docs: DataFrame, column: str = "text", window: int = WINDOW,
     hits = single.select(*KEY, F.explode(F.arrays_zip("anchors", "first", "last")).alias("hit")).select(
         *KEY, F.col("hit.anchors").alias("anchor"), F.col("hit.first").alias("first"), F.col("hit.last").alias("last")
     )
-    shared = (
+    shared = cut(
         hits.groupBy("anchor")
         .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
         .where("a < b")
         .select("anchor", "n")
     )
-    hits = cut(hits.join(shared, "anchor"))
+    # Anchors with more than a thousandth of all places number less than a thousand: they are broadcast.
+    places = single.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    frequent = F.col("n") > max(HOT_DOCUMENTS, places // 1000)
+    marked = hits.join(F.broadcast(shared.where(frequent)), "anchor", "left")
+    hits = cut(
+        marked.where(F.col("n").isNotNull()).unionByName(
+            marked.where(F.col("n").isNull()).drop("n").join(shared.where(~frequent), "anchor")
+        )
+    )
     total = hits.agg(F.sum(F.col("last") - F.col("first") + window)).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_WORDS))
     hot = F.col("n") > HOT_DOCUMENTS
@@ -286,10 +294,13 @@ def remove_repeats(
     )
     spans = spans.select(*[F.col(c).alias(f"_{c}") for c in KEY], F.col("spans.begin").alias("_begins"), F.col("spans.end").alias("_ends"))
     hashes = word_hashes(text_or_empty(column))
+    # The rows travel as one struct, so that no name of theirs can clash.
     keyed = docs.select(
-        "*", F.transform(F.array(hashes), lambda h: F.array(F.xxhash64(F.lit(1), h), F.xxhash64(F.lit(2), h)))[0].alias("_k")
+        F.struct("*").alias("_row"), F.transform(F.array(hashes), lambda h: F.array(F.xxhash64(F.lit(1), h), F.xxhash64(F.lit(2), h)))[0].alias("_k")
+    )
+    same = (
+        (F.col("_row.doc_id").cast("long") == F.col("_doc_id")) & (F.col("_k")[0] == F.col("_k1")) & (F.col("_k")[1] == F.col("_k2"))
     )
-    same = (F.col("doc_id").cast("long") == F.col("_doc_id")) & (F.col("_k")[0] == F.col("_k1")) & (F.col("_k")[1] == F.col("_k2"))
 
     @F.pandas_udf("n_words long, n_removed long, kept_sha256 string, kept string")
     def removed(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -309,4 +320,6 @@ def remove_repeats(
             yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "kept"])
 
     joined = keyed.join(spans, same, "left")
-    return joined.withColumn(into, removed(text_or_empty(column), "_begins", "_ends")).select(*docs.columns, into)
+    return joined.select("_row", removed(text_or_empty(f"_row.{column}"), "_begins", "_ends").alias("_done")).select(
+        *[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != into], F.col("_done").alias(into)
+    )
