@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hiresift.functions import similarity, text
-from hiresift.operators import listings, matching
+from hiresift.operators import listings, matching, profiles
 
-from .recruiting import scan
+from .recruiting import AS_OF, scan
 from .registry import Registry
 
 registry = Registry()
@@ -203,3 +203,40 @@ def sector_score(spark: SparkSession, d: str) -> DataFrame:
     category = F.element_at(F.array(*map(F.lit, names)), (F.col("l_partkey") % 6).cast("int") + 1)
     counts = scan(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id"), category.alias("category")).agg(F.count("*").alias("n"))
     return matching.sectors(counts)
+
+
+@query()
+def parsed_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Nested profiles of all documents, flattened to counts."""
+    terms = spark.createDataFrame([(t, t.title(), c) for t, c in TERMS], "term string, name string, category string")
+    docs = documents(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("raw_text"))
+    parsed = profiles.parse(docs, terms, AS_OF)
+    return parsed.select(
+        "id", "error", "name", "email", F.coalesce(F.size("skills"), F.lit(0)).alias("n_skills"), F.coalesce(F.size("formations"), F.lit(0)).alias("n_formations"), "level", "years"
+    )
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN '' ELSE array_to_string(list_slice(regexp_split_to_array(trim(text), '\s+'), 1, 12), ' ') END AS words FROM conversations""")
+def clipped_words(spark: SparkSession, d: str) -> DataFrame:
+    return scan(spark, d, "conversations").select("conv_id", "turn", text.clip_words(F.col("text"), 12).alias("words"))
+
+
+@query(r"""SELECT n_name, trim(regexp_replace(strip_accents(lower(n_name)), '[''’`\-_/,;|\s]+', ' ', 'g')) AS code FROM nation""")
+def domain_codes(spark: SparkSession, d: str) -> DataFrame:
+    return scan(spark, d, "nation").select("n_name", text.normalise_code(F.col("n_name")).alias("code"))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN a % 3 = 1 THEN 'Anna Maria' WHEN a % 3 = 2 THEN 'x9' ELSE NULL END AS stored, 'Jean Paul' AS name_from FROM (SELECT c_custkey, c_custkey AS a FROM customer) x""")
+def name_choice(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("c_custkey")
+    stored = F.when(key % 3 == 1, "Anna Maria").when(key % 3 == 2, "x9")
+    derived = text.name_from_email(F.lit("jean.paul75@example.com"))
+    rows = scan(spark, d, "customer").select(key.alias("id"), stored.alias("stored"), derived.alias("name_from"))
+    return rows
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 1 THEN 'Anna Maria' ELSE 'Jean Paul' END AS name FROM customer""")
+def display_names(spark: SparkSession, d: str) -> DataFrame:
+    rows = name_choice(spark, d)
+    chosen = listings.display_name(F.col("stored"), F.lit(None).cast("string"), F.col("name_from"), text.name_suspicious)
+    return rows.select("id", chosen.alias("name"))
