@@ -100,4 +100,45 @@ QUERIES = {
     "op10_topk": op10_topk,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL for the queries that SQL can express.
+ORACLE_SQL = {
+    "op3_near_duplicates": r"""
+WITH RECURSIVE split AS (
+    SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingled AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+        ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM split),
+sized AS (SELECT doc_id, len(g) AS n FROM shingled),
+flat AS (SELECT doc_id, n, unnest(g) AS t FROM shingled JOIN sized USING (doc_id)),
+often AS (SELECT t FROM flat GROUP BY t HAVING count(*) > 1),
+links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM (SELECT * FROM flat WHERE t IN (SELECT t FROM often)) a JOIN flat b ON a.t = b.t AND a.doc_id <> b.doc_id
+        AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reached(doc_id, other) AS (SELECT doc_id, doc_id FROM sized UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other)
+SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, m.c AS component_id, s.doc_id = m.c AS kept
+FROM sized s JOIN (SELECT doc_id, min(other) AS c FROM reached GROUP BY doc_id) m USING (doc_id)
+""",
+    "op5_substrings": r"""
+WITH split AS (
+    SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+    SELECT doc_id, s, array_to_string(list_slice(w, s, s + 49), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM split WHERE len(w) >= 50)),
+late AS (
+    SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY g) AS least FROM windows) WHERE doc_id > least),
+gone AS (SELECT doc_id, list(DISTINCT p) AS p FROM (SELECT doc_id, unnest(range(s, s + 50)) AS p FROM late) GROUP BY doc_id),
+kept AS (
+    SELECT d.doc_id, len(w) AS n, CASE WHEN p IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(p, i)) END AS k FROM split d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(k) AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+""",
+    "op10_topk": """
+WITH fine AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+    FROM fine q JOIN fine c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 10
+""",
+}
