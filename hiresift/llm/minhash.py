@@ -13,8 +13,9 @@ threshold of 0.8 a pair shares no band with probability (1 - 0.8**5)**40 < 2e-7.
    with a number of pairs in proportion to its size.
 3. Round 2: only within buckets whose members still belong to several
    components, members of different components are compared by their signatures,
-   block by block for large buckets, and what remains is confirmed. No link
-   between components is lost, and pairs inside a component are never listed.
+   block by block for large buckets, each pair in the first band that it shares.
+   The documents of likely pairs, not the pairs, go on with their full sets to
+   the same blocks, which return one link for each two components that have any.
 
 Defined results: null and empty texts have no shingles and are linked with
 nothing; a text of one word has one shingle; rows without id keep a null
@@ -42,8 +43,10 @@ PERMUTATIONS = VALUES // 2
 #: Share of equal signature values under which a pair at the threshold would lie 6 deviations off.
 UNLIKE = 0.62
 PERCENT = 80
-#: Members of a band bucket that are compared in one block of round 2.
-BLOCK = 1024
+#: Members of a band bucket that are compared in one block of round 2, and shingles that they have together, on average.
+BLOCK, BLOCK_SHINGLES = 2048, 500_000
+#: Columns of the shingle matrix that a block multiplies at once.
+COLUMNS = 8192
 #: Classes with over this share of all rows (at most its inverse in number) are broadcast.
 HOT_SHARE = 1e-3
 
@@ -95,9 +98,16 @@ def bands_of(signature: np.ndarray) -> np.ndarray:
     return keys.view("int64")
 
 
-def sketch_of(signature: np.ndarray) -> np.ndarray:
-    """One byte of each signature value."""
-    return (signature >> np.uint64(17)).astype("uint8")
+def sketch_of(signature: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """One byte of each signature value, then four of each band key."""
+    values = (signature >> np.uint64(17)).astype("uint8")
+    return np.hstack([values, np.ascontiguousarray(bands.astype("int32")).view("uint8")])
+
+
+def _sketches(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Value bytes and band marks of a column of sketches."""
+    rows = np.frombuffer(b"".join(column), "uint8").reshape(len(column), -1)
+    return rows[:, :VALUES], np.ascontiguousarray(rows[:, VALUES:]).view("int32")
 
 
 SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"
@@ -121,7 +131,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low, high = offsets[own[0]], offsets[own[-1] + 1]
             signed = signatures(values[low:high], offsets[own] - low)
             bands[own] = bands_of(signed)
-            for i, s in zip(own, sketch_of(signed), strict=True):
+            for i, s in zip(own, sketch_of(signed, bands[own]), strict=True):
                 sketch[i] = s.tobytes()
             begin = end
         band_offsets = np.concatenate([[0], np.cumsum(np.where(counts > 0, BANDS, 0))]).astype("int32")
@@ -157,21 +167,24 @@ def _likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                left, right = (np.frombuffer(b"".join(batch[c]), "uint8").reshape(-1, VALUES) for c in ("sa", "sb"))
+                left, right = _sketches(batch["sa"])[0], _sketches(batch["sb"])[0]
                 yield batch.loc[(left == right).mean(1) >= UNLIKE, ["a", "b"]]
 
     return sided.select("a", "b", "sa", "sb").mapInPandas(compare, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, column: str, size: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold on their full shingle sets."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = (
+def _sets(docs: DataFrame, ids: DataFrame, column: str, size: int) -> DataFrame:
+    """Full shingle sets of the documents listed."""
+    return (
         docs.select(F.col("doc_id").cast("long"), text_or_empty(column).alias("_text"))
-        .join(ends, "doc_id", "left_semi")
+        .join(ids, "doc_id", "left_semi")
         .select("doc_id", shingle_hashes(F.col("_text"), size).alias("shingles"))
     )
-    sets = cut(sets)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, column: str, size: int) -> DataFrame:
+    """The pairs (a, b) that reach the threshold on their full shingle sets."""
+    sets = cut(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), column, size))
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return (
@@ -195,23 +208,24 @@ def _stars(buckets: DataFrame) -> DataFrame:
     )
 
 
-def _across(buckets: DataFrame, signed: DataFrame, component: DataFrame) -> DataFrame:
-    """Likely pairs of members of one bucket that belong to different components."""
+def _mixed_blocks(buckets: DataFrame, signed: DataFrame, component: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, once for each pair of blocks that they are in."""
     named = buckets.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id")
     )
     mixed = (
         named.groupBy("band", "key")
-        .agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
+        .agg(
+            F.count("*").alias("n"), F.sum("n_shingles").alias("total"), F.min("component").alias("least"), F.max("component").alias("most")
+        )
         .where("least < most")
-        .select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        .select("band", "key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     )
     # A member of a bucket of several blocks meets each of them, in the pair (i, j) with i <= j.
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    members = (
+    return (
         named.join(mixed, ["band", "key"])
-        .join(signed.select("doc_id", "n_shingles", "sketch"), "doc_id")
-        .withColumn("own", own)
+        .join(signed.select("doc_id", "n_shingles", "sketch"), ["doc_id", "n_shingles"])
+        .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
@@ -219,22 +233,76 @@ def _across(buckets: DataFrame, signed: DataFrame, component: DataFrame) -> Data
         )
     )
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("n_shingles", kind="stable")
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        ids, names, sizes, block = (rows[c].to_numpy() for c in ("doc_id", "component", "n_shingles", "own"))
-        sketches = np.frombuffer(b"".join(rows["sketch"]), "uint8").reshape(-1, VALUES)
-        found = []
-        for at in range(len(rows)):
-            end = int(np.searchsorted(sizes, sizes[at] * 100 // PERCENT, side="right"))
-            near = np.arange(at + 1, max(at + 1, end))
-            near = near[(names[near] != names[at]) & ((i == j) | (block[near] != block[at]))]
-            if len(near):
-                near = near[(sketches[near] == sketches[at]).mean(1) >= UNLIKE]
-                found += [(max(ids[at], ids[x]), min(ids[at], ids[x])) for x in near]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return members.groupBy("band", "key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+PLACED = "band int, key long, i int, j int, own int, doc_id long, component long, n_shingles long, sketch binary"
+
+
+def _with_likely_partner(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one pair of blocks the members that have a likely partner in another component."""
+    rows = rows.sort_values("n_shingles", kind="stable")
+    chosen = np.zeros(len(rows), bool)
+    for at, near in _likely_in_block(rows):
+        chosen[at] = chosen[near] = True
+    return rows[chosen]
+
+
+def _likely_in_block(rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of likely pairs of different components, each in the first band that both share; rows come by size."""
+    band, i, j = (int(rows[c].iloc[0]) for c in ("band", "i", "j"))
+    names, sizes, block = (rows[c].to_numpy() for c in ("component", "n_shingles", "own"))
+    values, marks = _sketches(rows["sketch"])
+    for at in range(len(rows)):
+        end = int(np.searchsorted(sizes, sizes[at] * 100 // PERCENT, side="right"))
+        near = np.arange(at + 1, max(at + 1, end))
+        near = near[(names[near] != names[at]) & ((i == j) | (block[near] != block[at]))]
+        if len(near):
+            near = near[~(marks[near, :band] == marks[at, :band]).any(1)]
+            near = near[(values[near] == values[at]).mean(1) >= UNLIKE]
+            if len(near):
+                yield at, near
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Number of shingles that each two sets share, from their incidence matrix, column slice by column slice."""
+    sizes = [len(x) for x in sets]
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = count > 1  # a shingle of one set alone is shared by no two
+    place = np.cumsum(often) - 1
+    row, column = row[often[column]], place[column[often[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(sets), len(sets)), "float32")
+    for begin in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (begin, begin + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS), "float32")
+        part[row[a:b], column[a:b] - begin] = 1
+        total += part @ part.T
+    return total
+
+
+def _links_in_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """One confirmed link for each two components that the likely pairs of a block link."""
+    rows = rows.sort_values("n_shingles", kind="stable")
+    ids, names, sizes = (rows[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
+    shared = shared_counts([np.asarray(x, "int64") for x in rows["shingles"]])
+    found = {}
+    for at, near in _likely_in_block(rows):
+        linked = near[shared[at, near] * 100 >= (sizes[at] + sizes[near] - shared[at, near]) * PERCENT]
+        for x in linked:
+            found.setdefault((min(names[at], names[x]), max(names[at], names[x])), (max(ids[at], ids[x]), min(ids[at], ids[x])))
+    return pd.DataFrame(list(found.values()), columns=["a", "b"], dtype="int64")
+
+
+def links_across(buckets: DataFrame, signed: DataFrame, component: DataFrame, docs: DataFrame, column: str, size: int) -> DataFrame:
+    """Confirmed links between members of one bucket that belong to different components."""
+    keys = ("band", "key", "i", "j")
+    # Few bytes, much work: as many partitions as the session shuffles to, not merged by their size.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = _mixed_blocks(buckets, signed, component).repartition(parts, *keys)
+    placed = cut(members.groupBy(*keys).applyInPandas(_with_likely_partner, PLACED))
+    sets = _sets(docs, placed.select("doc_id").distinct(), column, size).withColumn("n_shingles", F.size("shingles").cast("long"))
+    return placed.join(sets, ["doc_id", "n_shingles"]).repartition(parts, *keys).groupBy(*keys).applyInPandas(_links_in_block, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, column: str = "text", size: int = 2) -> DataFrame:
@@ -245,17 +313,16 @@ def near_duplicates(docs: DataFrame, column: str = "text", size: int = 2) -> Dat
     representatives = cut(
         filled.join(
             classes.select("k1", "k2", F.col("representative").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi"
-        ).dropDuplicates(["doc_id", "k1", "k2"])
+        ).dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "n_shingles", "bands", "sketch")
     )
-    buckets = representatives.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    buckets = representatives.select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     repeated = buckets.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
     buckets = cut(buckets.join(repeated, ["band", "key"], "left_semi"))
     links = cut(confirmed(cut(_likely(_stars(buckets), representatives)), docs, column, size))
     component = connected_components(links)
-    more = cut(_across(buckets, representatives, component))
+    more = cut(links_across(buckets, representatives, component, docs, column, size))
     if not more.isEmpty():
-        links = links.unionByName(confirmed(more, docs, column, size))
-        component = connected_components(links)
+        component = connected_components(links.unionByName(more))
     return _members(signed, classes, component)
 
 

@@ -71,6 +71,7 @@ def jaccard_groups(rows):
 
 @pytest.mark.parametrize("block", [512, 3])
 def test_near_duplicates(spark, corpus, block, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 300 * block)
     monkeypatch.setattr(minhash, "BLOCK", block)
     got = minhash.near_duplicates(frame(spark, corpus)).collect()
     want = jaccard_groups(corpus)
