@@ -227,11 +227,10 @@ def repeated_spans(docs: DataFrame, column: str = "text", window: int = WINDOW,
     anchored = cut(
         _keyed(docs.where(F.col("doc_id").isNotNull()), column).mapInArrow(_anchored(window, gram), ANCHORED)
     ).where(F.col("n_words") >= window)
-    first = anchored.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
-    whole = anchored.join(first, KEY, "left_anti").select(
-        *KEY, F.lit(0).alias("begin"), F.col("n_words").alias("end")
-    )
-    single = anchored.join(first, KEY, "left_semi").dropDuplicates(KEY)
+    first = anchored.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")).withColumn("stands", F.lit(True))
+    anchored = cut(anchored.join(first, KEY, "left").dropDuplicates(KEY))
+    whole = anchored.where("stands is null").select(*KEY, F.lit(0).alias("begin"), F.col("n_words").alias("end"))
+    single = anchored.where("stands")
     hits = single.select(*KEY, F.explode(F.arrays_zip("anchors", "first", "last")).alias("hit")).select(
         *KEY, F.col("hit.anchors").alias("anchor"), F.col("hit.first").alias("first"), F.col("hit.last").alias("last")
     )
