@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -46,3 +50,41 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 def crc_remainder(column: str, divisor: int) -> Column:
     """crc32 of a column written as text, modulo a divisor (null: as empty text)."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
+
+
+#: Bytes of text that one call of a per-text function gets at least, if there are as many; a longer text comes alone.
+SLICE_BYTES = 2_000_000
+
+
+def text_slices(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """A batch in slices of bounded text, each with its texts; null texts count as empty."""
+    begin = size = 0
+    lengths = pa.compute.binary_length(texts).fill_null(0).to_pylist()
+    for end, length in enumerate(lengths, 1):
+        size += length
+        if size >= SLICE_BYTES or end == len(lengths):
+            yield batch.slice(begin, end - begin), [t or "" for t in texts.slice(begin, end - begin).to_pylist()]
+            begin, size = end, 0
+    pa.default_memory_pool().release_unused()
+
+
+def map_texts(docs: DataFrame, column: str, into: str, kind: DataType, start: Callable[[], Callable[[list[str]], pa.Array]]) -> DataFrame:
+    """The rows with a column computed from their whole texts, slice by slice of an Arrow batch.
+
+    ``start`` runs once in each task and returns the function from a list of
+    texts to an array of as many values. Null texts count as empty. A column of
+    the name ``into`` is replaced; all others pass through untouched.
+    """
+    rows = docs.drop(into) if into != column else docs
+    names = [f.name for f in rows.schema.fields if f.name != into]
+    place = rows.columns.index(column)
+    keep = [i for i, c in enumerate(rows.columns) if c != into]
+    fields = [rows.schema.fields[i] for i in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = start()
+        for batch in batches:
+            for part, texts in text_slices(batch, batch.column(place)):
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], function(texts)], names=[*names, into])
+
+    return rows.mapInArrow(run, StructType([*fields, StructField(into, kind)]))

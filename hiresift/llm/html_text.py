@@ -17,13 +17,12 @@ from __future__ import annotations
 import html as html_library
 import re
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import text_or_empty
+from .common import map_texts
 
 # Names of HTML.
 SILENT = frozenset("script style noscript template svg math head iframe object canvas audio video textarea select button option".split())
@@ -221,9 +220,7 @@ def main_text(page: str) -> str:
 def extract(pages: DataFrame, column: str = "html", into: str = "text") -> DataFrame:
     """The rows with the main text of the whole page."""
 
-    @F.pandas_udf("string")
-    def extracted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for pages_ in batches:
-            yield pd.Series([main_text(p) for p in pages_], dtype="object")
+    def start():
+        return lambda texts: pa.array([main_text(t) for t in texts], pa.string())
 
-    return pages.withColumn(into, extracted(text_or_empty(column)))
+    return map_texts(pages, column, into, StringType(), start)

@@ -17,10 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from .common import text_or_empty
+from .common import map_texts
 from .dictionaries import class_shares, compressor, fit_logistic, labelled_sample, logistic, train
 
 WINDOW = 512
@@ -85,10 +86,8 @@ def fit(
 def score(docs: DataFrame, model: QualityModel, column: str = "text", into: str = "score") -> DataFrame:
     """The rows with a quality score from 0 to 1, over all windows of the whole text."""
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def start():
         good, bad = compressor(model.good, LEVEL), compressor(model.bad, LEVEL)
-        for texts in batches:
-            yield pd.Series([logistic(model.fitted, _features(t, good, bad)) for t in texts], dtype="float64")
+        return lambda texts: pa.array([logistic(model.fitted, _features(t, good, bad)) for t in texts], pa.float64())
 
-    return docs.withColumn(into, scored(text_or_empty(column)))
+    return map_texts(docs, column, into, DoubleType(), start)

@@ -21,19 +21,18 @@ from __future__ import annotations
 import os
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .bpe import vocabulary_path
-from .common import text_or_empty
+from .common import map_texts
 
 CHUNK = 32_768
 OVERLAP = 256
 #: Pieces that either of a worker's two caches, a younger and an older, holds.
-CACHED_PIECES = 250_000
+CACHED_PIECES = 100_000
 #: Pieces over this many characters are encoded anew each time.
 LONGEST_CACHED = 64
 
@@ -124,10 +123,8 @@ def with_counts(
 ) -> DataFrame:
     """The rows with the number of tokens of the whole text."""
 
-    @F.pandas_udf("long")
-    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def start():
         tokenizer = loaded(vocabulary)
-        for texts in batches:
-            yield pd.Series([count_tokens(t, tokenizer, chunk, overlap) for t in texts], dtype="int64")
+        return lambda texts: pa.array([count_tokens(t, tokenizer, chunk, overlap) for t in texts], pa.int64())
 
-    return docs.withColumn(into, counted(text_or_empty(column)))
+    return map_texts(docs, column, into, LongType(), start)

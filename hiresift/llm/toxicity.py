@@ -6,9 +6,12 @@ saves is its evidence. The threshold from which a window counts, and the map
 from a document's windows to a score, are calibrated on labelled rows that the
 dictionaries have not seen.
 
-* A window is one white-space token, lower-cased, between spaces. It is put
-  behind a fixed carrier that ends both dictionaries: zstandard stores very
-  short inputs as they are, and with the carrier any saved byte shows.
+* A window is one white-space token, lower-cased, between spaces. It stands
+  between two fixed carriers that end both dictionaries: zstandard stores very
+  short inputs as they are and looks for no matches in the last bytes of one,
+  and with the carriers any saved byte shows.
+* The saved bytes are taken against the window's length, so that short and long
+  words are measured alike.
 * The ordinary dictionary is trained on ordinary rows. The toxic one holds the
   windows of toxic rows that are over-represented there, the most frequent at
   the near end, and goes before the same ordinary content, so that the two
@@ -27,26 +30,30 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from .common import text_or_empty
+from .common import map_texts
 from .dictionaries import class_shares, compressor, fit_logistic, labelled_sample, logistic, train
 
-CARRIER = bytes(range(1, 9)) + bytes(range(14, 22))
+HEAD = bytes(range(1, 9)) + bytes(range(14, 22))
+TAIL = bytes(range(22, 32)) + bytes([127, 1, 30, 2, 29, 3])
 LEVEL = 12
 ORDINARY_BYTES = 110_000
 TOXIC_BYTES = 2_048
 #: Words that the cache of window lengths holds before it is emptied.
 CACHED_WINDOWS = 400_000
-THRESHOLDS = (2, 3, 4, 5, 6, 7)
+#: Saved bytes in tenths of a window's bytes from which it may count.
+THRESHOLDS = (2.0, 2.5, 3.0, 3.5, 4.0, 4.4, 5.0, 6.0)
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
     ordinary: bytes
     toxic: bytes
-    threshold: int
+    threshold: float
     fitted: tuple
 
     @property
@@ -55,16 +62,17 @@ class ToxicityModel:
 
 
 class WindowGains(dict):
-    """window -> bytes that the toxic dictionary saves over the ordinary one."""
+    """window -> bytes that the toxic dictionary saves over the ordinary one, in tenths of the window's."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         super().__init__()
-        self.plain = compressor(ordinary + CARRIER, LEVEL, raw=True)
-        self.marked = compressor(toxic + ordinary + CARRIER, LEVEL, raw=True)
+        self.plain = compressor(ordinary + HEAD + TAIL, LEVEL, raw=True)
+        self.marked = compressor(toxic + ordinary + HEAD + TAIL, LEVEL, raw=True)
 
-    def __missing__(self, window: str) -> int:
-        data = CARRIER + f" {window} ".encode("utf-8", "surrogatepass")
-        gain = len(self.plain.compress(data)) - len(self.marked.compress(data))
+    def __missing__(self, window: str) -> float:
+        own = f" {window} ".encode("utf-8", "surrogatepass")
+        data = HEAD + own + TAIL
+        gain = 10 * (len(self.plain.compress(data)) - len(self.marked.compress(data))) / (len(own) - 1)
         if len(self) >= CACHED_WINDOWS:
             self.clear()
         self[window] = gain
@@ -127,7 +135,7 @@ def fit(
         if row.label == 0:
             ordinary += [f" {' '.join(own[i : i + 16])} ".encode() for i in range(0, len(own), 16)]
     share = {w: (counts[0][w] + 0.5) / max(1, sizes[0]) for w in counts[1]}
-    telling = {w: c for w, c in counts[1].items() if c >= 3 and c / max(1, sizes[1]) >= 6 * share[w]}
+    telling = {w: c for w, c in counts[1].items() if c >= 3 and c / max(1, sizes[1]) >= 20 * share[w]}
     ordered = sorted(telling, key=lambda w: (telling[w], w))
     toxic = "".join(f" {w} " for w in ordered).encode()[-TOXIC_BYTES:]
     model = train(ordinary, ORDINARY_BYTES)
@@ -143,7 +151,7 @@ def fit(
     seen = sample.where("part = 1").mapInPandas(measure, "label int, hits array<long>, total long").collect()
     truth = np.array([r.label for r in seen])
     hits = np.array([r.hits for r in seen]).reshape(-1, len(THRESHOLDS))
-    best, at = -1.0, 3
+    best, at = -1.0, 4
     for k in range(len(THRESHOLDS)):
         if len(set(truth.tolist())) == 2:
             found = hits[:, k] > 0
@@ -156,20 +164,18 @@ def fit(
 
 def score(docs: DataFrame, model: ToxicityModel, column: str = "text", into: str = "score") -> DataFrame:
     """The rows with a toxicity score from 0 to 1, over all windows of the whole text."""
-    return docs.withColumn(into, _score_column(model)(text_or_empty(column)))
-
-
-def _score_column(model: ToxicityModel):
     place = THRESHOLDS.index(model.threshold)
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def start():
         gains = _gains(model.ordinary, model.toxic)
-        for texts in batches:
+
+        def run(texts: list[str]) -> pa.Array:
             got = [_histogram(t, gains) for t in texts]
-            yield pd.Series([logistic(model.fitted, _features(h[place], n)) for h, n in got], dtype="float64")
+            return pa.array([logistic(model.fitted, _features(h[place], n)) for h, n in got], pa.float64())
+
+        return run
 
-    return scored
+    return map_texts(docs, column, into, DoubleType(), start)
 
 
 def predicted(score_column: str, threshold: float) -> Column:
