@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hiresift.llm import bpe, minhash, mixing, quality, substring
-from hiresift.llm.common import cut, table, text_or_empty
+from hiresift.llm.common import cut, table
 from hiresift.llm.queries import BYTE_VOCABULARY
 
 
@@ -47,13 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def add_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE encoding and decoding: the rows with their ids, how many there are, and whether they decode to the text."""
-    encoded = bpe.encode(docs, BYTE_VOCABULARY)
-    return (
-        bpe.decode(encoded, BYTE_VOCABULARY, into="_decoded")
-        .withColumn("n_tokens", F.size("ids").cast("long"))
-        .withColumn("round_trip", F.col("_decoded") == text_or_empty())
-        .drop("_decoded")
-    )
+    return bpe.encode_checked(docs, BYTE_VOCABULARY, into="_bpe").select(*docs.columns, "_bpe.*")
 
 
 STAGES = [

@@ -19,12 +19,15 @@ from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import text_or_empty
+from .common import map_texts
 
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PRE_TOKEN = (
@@ -32,7 +35,7 @@ PRE_TOKEN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 #: Pre-tokens that either of a worker's two caches, a younger and an older, holds.
-CACHED_PRE_TOKENS = 250_000
+CACHED_PRE_TOKENS = 150_000
 LONGEST_CACHED = 64
 #: Widths of the fields of merge keys and of queue entries.
 ID_BITS, PLACE_BITS = 24, 40
@@ -171,16 +174,27 @@ def loaded(name: str) -> ByteBpe:
     return _LOADED[name]
 
 
+IDS = ArrayType(IntegerType())
+CHECKED = StructType([StructField("ids", IDS), StructField("n_tokens", LongType()), StructField("round_trip", BooleanType())])
+DIGESTS = StructType(
+    [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
+)
+
+
+def id_lists(packed: list[bytes]) -> pa.ListArray:
+    """Packed ids as lists of integers."""
+    offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype("int32")
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "int32")))
+
+
 def encode(docs: DataFrame, vocabulary: str, column: str = "text", into: str = "ids") -> DataFrame:
     """The rows with the ids of the whole text as an array of integers."""
 
-    @F.pandas_udf("array<int>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def start():
         bpe = loaded(vocabulary)
-        for texts in batches:
-            yield pd.Series([unpack(bpe.packed(t)) for t in texts])
+        return lambda texts: id_lists([bpe.packed(t) for t in texts])
 
-    return docs.withColumn(into, encoded(text_or_empty(column)))
+    return map_texts(docs, column, into, IDS, start)
 
 
 def decode(rows: DataFrame, vocabulary: str, column: str = "ids", into: str = "decoded") -> DataFrame:
@@ -195,21 +209,44 @@ def decode(rows: DataFrame, vocabulary: str, column: str = "ids", into: str = "d
     return rows.withColumn(into, decoded(F.col(column)))
 
 
+def encode_checked(docs: DataFrame, vocabulary: str, column: str = "text", into: str = "bpe") -> DataFrame:
+    """The rows with a struct of ids, n_tokens and round_trip: whether decoding the ids gives the text.
+
+    Encoding and decoding share one pass, and so one Python worker for each task.
+    """
+
+    def start():
+        bpe = loaded(vocabulary)
+
+        def run(texts: list[str]) -> pa.StructArray:
+            packed = [bpe.packed(t) for t in texts]
+            same = [bpe.decode(unpack(p)) == t for p, t in zip(packed, texts, strict=True)]
+            counts = pa.array([len(p) // 4 for p in packed], pa.int64())
+            return pa.StructArray.from_arrays([id_lists(packed), counts, pa.array(same)], names=CHECKED.names)
+
+        return run
+
+    return map_texts(docs, column, into, CHECKED, start)
+
+
 def round_trip(docs: DataFrame, vocabulary: str, column: str = "text", into: str = "bpe") -> DataFrame:
     """The rows with a struct of n_tokens, ids_sha256 and decoded_sha256.
 
     The ids are made and decoded in one pass, so that they need not travel.
     """
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def start():
         bpe = loaded(vocabulary)
-        for texts in batches:
-            rows = []
+
+        def run(texts: list[str]) -> pa.StructArray:
+            counts, ids, texts_back = [], [], []
             for text in texts:
                 packed = bpe.packed(text)
-                back = bpe.decode(unpack(packed)).encode("utf-8")
-                rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(back).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                counts.append(len(packed) // 4)
+                ids.append(hashlib.sha256(packed).hexdigest())
+                texts_back.append(hashlib.sha256(bpe.decode(unpack(packed)).encode("utf-8")).hexdigest())
+            return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ids), pa.array(texts_back)], names=DIGESTS.names)
+
+        return run
 
-    return docs.withColumn(into, digest(text_or_empty(column)))
+    return map_texts(docs, column, into, DIGESTS, start)

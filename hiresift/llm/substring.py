@@ -35,8 +35,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import WORD_PATTERN, cut, text_or_empty, words
+from .common import WORD_PATTERN, cut, text_or_empty, text_slices, words
 from .fmindex import FmIndex
 
 WINDOW = 50
@@ -301,24 +303,31 @@ def remove_repeats(
         (F.col("_row.doc_id").cast("long") == F.col("_doc_id")) & (F.col("_k")[0] == F.col("_k1")) & (F.col("_k")[1] == F.col("_k2"))
     )
 
-    @F.pandas_udf("n_words long, n_removed long, kept_sha256 string, kept string")
-    def removed(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for text, begins, ends in batches:
-            rows = []
-            for t, bs, es in zip(text, begins, ends, strict=True):
-                own = _WORD.findall(t)
-                n = len(own)
-                if bs is not None:
-                    change = np.zeros(n + 1, "int64")
-                    np.add.at(change, bs, 1)
-                    np.subtract.at(change, es, 1)
-                    own = [own[i] for i in np.flatnonzero(np.cumsum(change[:n]) == 0)]
-                kept = " ".join(own)
-                digest = hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()
-                rows.append((n, n - len(own), digest, kept if texts else None))
-            yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "kept"])
-
-    joined = keyed.join(spans, same, "left")
-    return joined.select("_row", removed(text_or_empty(f"_row.{column}"), "_begins", "_ends").alias("_done")).select(
+    joined = keyed.join(spans, same, "left").select("_row", "_begins", "_ends")
+    kept = StructType(
+        [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType()), StructField("kept", StringType())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, own in text_slices(batch, batch.column("_row").field(column)):
+                done = [_kept(*x, texts) for x in zip(own, part.column("_begins").to_pylist(), part.column("_ends").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(done, to_arrow_type(kept))], names=["_row", "_done"])
+
+    out = StructType([joined.schema["_row"], StructField("_done", kept)])
+    return joined.mapInArrow(run, out).select(
         *[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != into], F.col("_done").alias(into)
     )
+
+
+def _kept(text: str, begins: list[int] | None, ends: list[int] | None, texts: bool) -> dict:
+    own = _WORD.findall(text)
+    n = len(own)
+    if begins is not None:
+        change = np.zeros(n + 1, "int64")
+        np.add.at(change, begins, 1)
+        np.subtract.at(change, ends, 1)
+        own = [own[i] for i in np.flatnonzero(np.cumsum(change[:n]) == 0)]
+    kept = " ".join(own)
+    digest = hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()
+    return {"n_words": n, "n_removed": n - len(own), "kept_sha256": digest, "kept": kept if texts else None}
