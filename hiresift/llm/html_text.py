@@ -32,6 +32,8 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span "
     "strike strong sub sup time tt u var wbr img".split()
 )
+#: Tags that leave an open head open; its end tag is optional, so any other start tag and any text end it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_PEER = HEADINGS | frozenset("p li td th tr dt dd".split())
@@ -50,12 +52,13 @@ STOP_WORDS = frozenset(
 )
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|textarea|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"""<!--.*?(?:-->|\Z)|<(?:svg|math)\b(?:"[^"]*"|'[^']*'|[^'">])*/>"""
+    r"|<(script|style|noscript|template|svg|math|textarea|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>"
     r"""|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:"[^"]*"|'[^']*'|[^'">])*)>""",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
 _SPACE = re.compile(r"\s+")
 
 #: Thresholds of the block rules.
@@ -88,7 +91,7 @@ def _named_boilerplate(rest: str) -> bool:
         elif name == "role":
             if value in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form"):
                 return True
-        elif name == "hidden" or value == "true":
+        elif name == "hidden" or name == "aria-hidden" and value == "true":
             return True
     return False
 
@@ -104,6 +107,8 @@ def blocks(page: str) -> list[_Block]:
 
     def add(data: str) -> None:
         nonlocal block
+        if stack and stack[-1][0] == "head" and data.strip():
+            leave(len(stack) - 1)
         _, main, bad, silent, links, headings = stack[-1] if stack else outside
         if silent or not data:
             return
@@ -142,7 +147,12 @@ def blocks(page: str) -> list[_Block]:
                         break
                     if name in INLINE and stack[depth][0] not in INLINE:
                         break  # an inline end tag never closes a block
-        elif name not in VOID and not match["rest"].endswith("/"):
+            continue
+        if stack and stack[-1][0] == "head" and name not in IN_HEAD:
+            leave(len(stack) - 1)
+        elif name == "body" and open_names["head"] > 0:
+            leave([name for name, *_ in stack].index("head"))
+        if name not in VOID and not match["rest"].endswith("/"):
             if name in CLOSES_PEER:
                 peer = "p" if name in HEADINGS else name
                 for depth in range(len(stack) - 1, -1, -1):
@@ -152,7 +162,7 @@ def blocks(page: str) -> list[_Block]:
                     if stack[depth][0] not in INLINE:
                         break
             around = stack[-1] if stack else outside
-            boilerplate = name in BOILERPLATE or (name not in MAIN and name != "body" and _named_boilerplate(match["rest"]))
+            boilerplate = name in BOILERPLATE or (name not in MAIN and name not in ("html", "body") and _named_boilerplate(match["rest"]))
             own = (name in MAIN, boilerplate, name in SILENT, name == "a", name in HEADINGS)
             stack.append((name, *(a + b for a, b in zip(around[1:], own, strict=True))))
             open_names[name] += 1
