@@ -15,6 +15,10 @@ from hiresift.llm.common import cut, table
 from hiresift.llm.queries import BYTE_VOCABULARY
 
 
+#: Words of a shingle in the near-dedup stage; op3's contract of two words binds that query only.
+SHINGLE_WORDS = 5
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier (fitted on the labelled rows of the input): rejected documents go."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -22,8 +26,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: one document of each group of near-duplicates stays, and of equal rows one."""
-    kept = cut(minhash.near_duplicates(docs).where("kept").select("doc_id"))
+    """MinHash near-dedup on five words: one document of each group of near-duplicates stays, and of equal rows one."""
+    kept = cut(minhash.near_duplicates(docs, size=SHINGLE_WORDS).where("kept").select("doc_id"))
     counts = kept.agg(F.count("doc_id").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
     unnamed = docs.where(F.col("doc_id").isNull())
     named = docs.join(kept.distinct(), "doc_id", "left_semi").select(*docs.columns)
