@@ -155,7 +155,7 @@ _TEXTS = ("Python, React.js et bases de données", "Java Spring Boot Docker Kube
 
 @query()
 def heuristic_scores(spark: SparkSession, d: str) -> DataFrame:
-    """The heuristic score of matches, skills drawn from a short list by id."""
+    """The heuristic score of all matches, skills drawn from a short list by id."""
     offers = job_offers(spark, d).select(
         F.col("id").alias("offer_id"), "titre", F.concat(F.lit("Il faut "), (F.col("id") % 6).cast("string"), F.lit(" ans, bac + 3")).alias("description"),
         F.element_at(F.array(F.lit("Tunis, Paris"), F.lit("")), (F.col("id") % 2).cast("int") + 1).alias("localisation"),
@@ -166,7 +166,7 @@ def heuristic_scores(spark: SparkSession, d: str) -> DataFrame:
         F.col("id").alias("candidate_id"), F.transform(own, lambda s: F.struct(s.alias("name"))).alias("competences"),
         F.concat(F.lit("Habite à Paris "), "nom").alias("raw_text"), (F.col("id") % 8).cast("double").alias("years"), (F.col("id") % 6).cast("int").alias("level"),
     )
-    pairs = matches(spark, d).where("score_pct >= 95").select("id", "offer_id", "candidate_id").join(offers, "offer_id").join(people, "candidate_id")
+    pairs = matches(spark, d).select("id", "offer_id", "candidate_id").join(offers, "offer_id").join(people, "candidate_id")
     scored = scoring.heuristic(pairs)
     return scored.select("id", *[six(F.col(x)).alias(x) for x in ("score_skills", "score_experience", "score_education", "score_location", "score")])
 
