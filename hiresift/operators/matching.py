@@ -61,14 +61,25 @@ def blocked_fuzzy(left: DataFrame, right: DataFrame, score, least: float, prefix
     return scored.withColumn("r", F.row_number().over(order)).where("r = 1").select("a", "b", "score")
 
 
-def contains_either(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """Rows of which one text holds the other, blocked by shared words."""
-    words_a = left.withColumn("_w", F.explode(F.array_distinct(F.split(F.lower(a), r"\s+"))))
-    words_b = right.withColumn("_w", F.explode(F.array_distinct(F.split(F.lower(b), r"\s+"))))
-    pairs = words_a.join(words_b, "_w").drop("_w").where(
-        F.contains(F.lower(F.col(a)), F.lower(F.col(b))) | F.contains(F.lower(F.col(b)), F.lower(F.col(a)))
-    )
-    return pairs.distinct()
+def contains_either(left: DataFrame, right: DataFrame, a: str, b: str, gram: int = 3) -> DataFrame:
+    """Rows of which one text holds the other, without regard to case.
+
+    A text that is held shares all its character n-grams with the holder, so its
+    middle one meets those of the holder by an equi-join. Texts shorter than
+    ``gram`` have none and are compared with every row of the other side.
+    """
+
+    def held(whole: DataFrame, part: DataFrame, w: str, p: str) -> DataFrame:
+        text, piece = F.lower(F.col(w)), F.lower(F.col(p))
+        starts = F.when(F.length(text) >= gram, F.sequence(F.lit(1), F.length(text) - (gram - 1)))
+        grams = whole.withColumn("_g", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(gram))))))
+        middle = F.substring(piece, F.floor((F.length(piece) - gram) / 2).cast("int") + 1, F.lit(gram))
+        long = part.where(F.length(p) >= gram).withColumn("_g", middle)
+        short = part.where(F.length(p) < gram)
+        pairs = grams.join(long, "_g").drop("_g").unionByName(whole.join(short, F.lit(True)))
+        return pairs.where(F.contains(text, piece)).select(*left.columns, *right.columns)
+
+    return held(left, right, a, b).unionByName(held(right, left, b, a)).distinct()
 
 
 def dot(a: Column, b: Column) -> Column:
