@@ -7,16 +7,21 @@ that covers it also starts in a document with a smaller id.
    windows have equal anchors, so only windows whose anchor occurs in two
    documents can repeat. Of documents equal in all their words, one with the
    smallest id stands for all; the others go as a whole.
-2. The stretch of words around such an anchor, with all windows that it anchors,
-   is dealt to a shard by the anchor. An anchor in very many documents is dealt
-   to several shards by document.
+2. The stretch of words around such an anchor, with all consecutive windows that
+   it anchors (at most ``RUN`` of them, so that a long run of one phrase is a few
+   stretches), is dealt to a shard by the anchor. An anchor of very many or very
+   long stretches is hot: of its equal stretches those of the smallest id stand
+   for all, the others go as a whole, and the rest is dealt to several shards by
+   content.
 3. Each shard builds a compressed FM-index of its distinct stretches and streams
    them through it by backward search: a window whose interval holds an earlier
    document is reported.
-4. For anchors that are dealt to several shards, the windows that each shard has
-   not reported meet by their hash, pre-aggregated to the smallest id.
+4. For hot anchors, the distinct windows of a stretch that its shard has not
+   reported meet those of other shards by their hash, pre-aggregated to the
+   smallest id.
 
-Words are compared by 48 bits of a 64-bit hash inside equal 64-bit anchors.
+Words are compared by 48 bits of a 64-bit hash inside equal 64-bit anchors, equal
+stretches of hot anchors by a 64-bit hash of the stretch inside equal anchors.
 
 Defined results: null and empty texts have no words; texts shorter than a window
 lose nothing; rows without id lose nothing and take nothing; rows that share an
@@ -46,8 +51,12 @@ GRAM = 8
 WORD_BYTES = 6
 #: Words that a shard's stretches have on average.
 SHARD_WORDS = 250_000
-#: Documents from which an anchor counts as hot, and how many of them one of its shards gets.
+#: Windows of a stretch at most.
+RUN = 1_000
+#: Stretches from which an anchor counts as hot, and how many of them one of its shards gets.
 HOT_DOCUMENTS, HOT_SHARE = 2_000, 500
+#: Windows from which it does, of which one of its shards gets a quarter.
+HOT_WINDOWS = 500_000
 #: Words whose anchors are looked for at once.
 SLICE_WORDS = 200_000
 
@@ -65,6 +74,12 @@ def _keyed(docs: DataFrame, column: str) -> DataFrame:
     )
 
 
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        mixed = (a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + b
+        return (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
 def anchors(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """The gram hash at each place, and the place of the leftmost least one in the window from each place."""
     size = len(hashes) - gram + 1
@@ -84,37 +99,58 @@ def anchors(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.
     return grams, least
 
 
+def slice_hashes(hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each slice: two overlapping blocks, of a power of two words, cover it."""
+    sizes = ends - begins
+    out = np.zeros(len(sizes), "uint64")
+    block, power = hashes, 1
+    while True:
+        fits = np.flatnonzero((sizes >= power) & (sizes < 2 * power))
+        out[fits] = _mixed(_mixed(block[begins[fits]], block[ends[fits] - power]), sizes[fits].astype("uint64"))
+        if 2 * power > sizes.max(initial=0):
+            return out
+        block, power = _mixed(block[: len(block) - power], block[power:]), 2 * power
+
+
 def _list_parts(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
 
 
-ANCHORED = "doc_id long, k1 long, k2 long, n_words int, anchors array<long>, first array<int>, last array<int>"
+ANCHORED = "doc_id long, k1 long, k2 long, n_words int, anchors array<long>, contents array<long>, first array<int>"
 
 
 def _anchored(window: int, gram: int):
-    """For each document its anchors, each with the first and last window that it anchors."""
+    """For each document its stretches in order: anchor, hash of the content, and first window; each ends before the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, values = _list_parts(batch.column("hashes"))
             values = values.view("uint64")
             counts = np.diff(offsets)
-            names, firsts, lasts, sizes = [], [], [], np.zeros(len(counts), "int64")
+            names, contents, firsts, sizes = [], [], [], np.zeros(len(counts), "int64")
             begin = 0
             while begin < len(counts):
                 end = begin + max(1, int(np.searchsorted(np.cumsum(counts[begin:]), SLICE_WORDS, side="right")))
                 low = offsets[begin]
-                grams, least = anchors(values[low : offsets[end]], window, gram)
+                own_words = values[low : offsets[end]]
+                grams, least = anchors(own_words, window, gram)
+                begins, ends = [], []
                 for row in range(begin, end):
                     if counts[row] < window:
                         continue
                     start = offsets[row] - low
-                    own = least[start : start + counts[row] - window + 1]
-                    edge = np.flatnonzero(np.diff(own, prepend=-1))
-                    names.append(grams[own[edge]].view("int64"))
+                    own = grams[least[start : start + counts[row] - window + 1]]
+                    change = np.append(True, own[1:] != own[:-1])
+                    runs = np.flatnonzero(change)
+                    since = np.arange(len(own)) - np.repeat(runs, np.diff(np.append(runs, len(own))))
+                    edge = np.flatnonzero(since % RUN == 0)
+                    names.append(own[edge].view("int64"))
                     firsts.append(edge)
-                    lasts.append(np.append(edge[1:], len(own)) - 1)
+                    begins.append(start + edge)
+                    ends.append(start + np.append(edge[1:], len(own)) - 1 + window)
                     sizes[row] = len(edge)
+                if begins:
+                    contents.append(slice_hashes(own_words, np.concatenate(begins), np.concatenate(ends)).view("int64"))
                 begin = end
             spans = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("int32"))
 
@@ -126,16 +162,16 @@ def _anchored(window: int, gram: int):
                     *[batch.column(c) for c in KEY],
                     pa.array(counts.astype("int32")),
                     listed(names, "int64"),
+                    listed(contents, "int64"),
                     listed(firsts, "int32"),
-                    listed(lasts, "int32"),
                 ],
-                names=[*KEY, "n_words", "anchors", "first", "last"],
+                names=[*KEY, "n_words", "anchors", "contents", "first"],
             )
 
     return run
 
 
-STRETCH = "shard long, doc_id long, k1 long, k2 long, hot boolean, first int, words binary"
+STRETCH = "shard long, doc_id long, k1 long, k2 long, hot boolean, anchor long, content long, first int, words binary"
 
 
 def _stretches(window: int):
@@ -145,10 +181,10 @@ def _stretches(window: int):
         for batch in batches:
             offsets, values = _list_parts(batch.column("hashes"))
             packed = values.view("uint8").reshape(-1, 8)[:, :WORD_BYTES]
-            hits = {n: _list_parts(batch.column(n)) for n in ("shards", "hots", "firsts", "lasts")}
-            spans = hits["firsts"][0]
+            hits = {n: _list_parts(batch.column(f"{n}s")) for n in ("shard", "hot", "anchor", "content", "first", "last")}
+            spans = hits["first"][0]
             rows = np.repeat(np.arange(len(batch)), np.diff(spans))
-            first, last = hits["firsts"][1], hits["lasts"][1]
+            first, last = hits["first"][1], hits["last"][1]
             texts = []
             for row in range(len(batch)):
                 own = np.ascontiguousarray(packed[offsets[row] : offsets[row + 1]]).tobytes()
@@ -159,19 +195,21 @@ def _stretches(window: int):
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(hits["shards"][1]),
+                    pa.array(hits["shard"][1]),
                     *[batch.column(c).take(take) for c in KEY],
-                    pa.array(hits["hots"][1].astype(bool)),
+                    pa.array(hits["hot"][1].astype(bool)),
+                    *[pa.array(hits[n][1]) for n in ("anchor", "content")],
                     pa.array(first.astype("int32")),
                     pa.array(texts, pa.binary()),
                 ],
-                names=["shard", *KEY, "hot", "first", "words"],
+                names=["shard", *KEY, "hot", "anchor", "content", "first", "words"],
             )
 
     return run
 
 
-FOUND = "doc_id long, k1 long, k2 long, begin int, end int, h1 long, h2 long"
+#: Spans of documents (without h1), and distinct windows of a hot stretch that its shard has not reported, with their places in it.
+FOUND = "doc_id long, k1 long, k2 long, begin int, end int, anchor long, content long, h1 long, h2 long, places array<int>"
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -198,32 +236,62 @@ def _search(window: int):
         owners = np.repeat(owner[distinct], sizes + 1)
         least = FmIndex(text, owners, window).least_owners(text, begins, begins + sizes)
 
-        keys, hot, firsts = rows[KEY].to_numpy("int64"), rows["hot"].to_numpy(bool), rows["first"].to_numpy("int64")
+        keys, firsts = rows[KEY].to_numpy("int64"), rows["first"].to_numpy("int64")
+        names = rows[["anchor", "content"]].to_numpy("int64")
         found = []
         for i in range(len(rows)):
             p = place[i]
             a, n = begins[p], sizes[p] - window + 1
             earlier = least[a : a + n] < owner[i]
             edges = np.flatnonzero(np.diff(earlier.astype("int8"), prepend=0, append=0))
-            doc, k1, k2 = keys[i]
             for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                found.append((doc, k1, k2, firsts[i] + x, firsts[i] + y - 1 + window, None, None))
-            if hot[i]:
-                words_ = pieces[p]
-                for x in np.flatnonzero(~earlier).tolist():
-                    mark = hashlib.blake2b(words_[x : x + window].tobytes(), digest_size=16).digest()
-                    begin = firsts[i] + x
-                    found.append(
-                        (doc, k1, k2, begin, begin + window, *(int.from_bytes(mark[j : j + 8], "little", signed=True) for j in (0, 8)))
-                    )
-        names = [*KEY, "begin", "end", "h1", "h2"]
-        return pd.DataFrame(found, columns=names, dtype="object").astype(
-            {**dict.fromkeys(KEY, "int64"), "begin": "int32", "end": "int32", "h1": "Int64", "h2": "Int64"}
-        )
+                found.append((*keys[i], firsts[i] + x, firsts[i] + y - 1 + window, None, None, None, None, None))
+        for i in distinct[rows["hot"].to_numpy(bool)[distinct]].tolist():
+            p = place[i]
+            words_ = pieces[p]
+            places: dict[bytes, list[int]] = {}
+            for x in np.flatnonzero(least[begins[p] : begins[p] + sizes[p] - window + 1] == owner[i]).tolist():
+                places.setdefault(hashlib.blake2b(words_[x : x + window].tobytes(), digest_size=16).digest(), []).append(x)
+            for mark, own in places.items():
+                halves = [int.from_bytes(mark[j : j + 8], "little", signed=True) for j in (0, 8)]
+                found.append((*keys[i], None, None, *names[i], *halves, own))
+        columns = [*KEY, "begin", "end", "anchor", "content", "h1", "h2", "places"]
+        whole = dict.fromkeys(KEY, "int64") | dict.fromkeys(("begin", "end"), "Int32") | dict.fromkeys(("anchor", "content", "h1", "h2"), "Int64")
+        return pd.DataFrame(found, columns=columns, dtype="object").astype(whole)
 
     return run
 
 
+def _hits(documents: DataFrame, window: int) -> DataFrame:
+    """One row for each stretch: its document, anchor, content, first and last window."""
+    return documents.select(
+        *KEY, "n_words", F.posexplode(F.arrays_zip("anchors", "contents", "first")).alias("place", "hit"), F.col("first").alias("all")
+    ).select(
+        *KEY,
+        F.col("hit.anchors").alias("anchor"),
+        F.col("hit.contents").alias("content"),
+        F.col("hit.first").alias("first"),
+        (F.coalesce(F.get("all", F.col("place") + 1), F.col("n_words") - window + 1) - 1).alias("last"),
+    )
+
+
+def _joined(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join of rows with one row for each of their groups, which counts them in ``n``.
+
+    Groups with over a thousandth of all rows number less than a thousand: they
+    are broadcast, so that no task gets one of them whole.
+    """
+    frequent = F.col("n") > max(HOT_DOCUMENTS, total // 1000)
+    marked = rows.join(F.broadcast(groups.where(frequent)), keys, "left")
+    return marked.where(F.col("n").isNotNull()).unionByName(
+        marked.where(F.col("n").isNull()).select(*rows.columns).join(groups.where(~frequent), keys)
+    )
+
+
+def _total(rows: DataFrame, value: Column) -> int:
+    return int(rows.agg(F.sum(value)).first()[0] or 0)
+
+
 def repeated_spans(docs: DataFrame, column: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, k1, k2, begin, end): spans of words that go; they may overlap."""
     anchored = cut(
@@ -231,39 +299,40 @@ def repeated_spans(docs: DataFrame, column: str = "text", window: int = WINDOW,
     ).where(F.col("n_words") >= window)
     first = anchored.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")).withColumn("stands", F.lit(True))
     anchored = cut(anchored.join(first, KEY, "left").dropDuplicates(KEY))
-    whole = anchored.where("stands is null").select(*KEY, F.lit(0).alias("begin"), F.col("n_words").alias("end"))
+    spans = anchored.where("stands is null").select(*KEY, F.lit(0).alias("begin"), F.col("n_words").alias("end"))
     single = anchored.where("stands")
-    hits = single.select(*KEY, F.explode(F.arrays_zip("anchors", "first", "last")).alias("hit")).select(
-        *KEY, F.col("hit.anchors").alias("anchor"), F.col("hit.first").alias("first"), F.col("hit.last").alias("last")
-    )
+    hits = _hits(single, window)
+    windows = F.col("last") - F.col("first") + 1
+    parts = F.greatest(F.ceil(F.col("n") / HOT_SHARE), F.ceil(F.col("w") * 4 / HOT_WINDOWS))
     shared = cut(
         hits.groupBy("anchor")
-        .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
+        .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"), F.sum(windows).alias("w"))
         .where("a < b")
-        .select("anchor", "n")
+        .select("anchor", "n", F.when((F.col("n") > HOT_DOCUMENTS) | (F.col("w") > HOT_WINDOWS), parts).otherwise(1).alias("parts"))
     )
-    # Anchors with more than a thousandth of all places number less than a thousand: they are broadcast.
-    places = single.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    frequent = F.col("n") > max(HOT_DOCUMENTS, places // 1000)
-    marked = hits.join(F.broadcast(shared.where(frequent)), "anchor", "left")
-    hits = cut(
-        marked.where(F.col("n").isNotNull()).unionByName(
-            marked.where(F.col("n").isNull()).drop("n").join(shared.where(~frequent), "anchor")
+    hits = cut(_joined(hits, shared, ["anchor"], _total(single, F.size("anchors"))).drop("n"))
+    group = ["anchor", "content"]
+    held = hits.where("parts = 1")
+    of_parts = hits.where("parts > 1")
+    hot = None
+    if not of_parts.isEmpty():
+        contents = cut(of_parts.groupBy(*group).agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")))
+        owned = _joined(of_parts, contents, group, _total(contents, F.col("n")))
+        # Equal stretches of later ids go; those of the smallest id are left to search.
+        spans = spans.unionByName(
+            owned.where("doc_id > owner").select(*KEY, F.col("first").alias("begin"), (F.col("last") + window).alias("end"))
         )
-    )
-    total = hits.agg(F.sum(F.col("last") - F.col("first") + window)).first()[0] or 0
-    shards = max(1, -(-int(total) // SHARD_WORDS))
-    hot = F.col("n") > HOT_DOCUMENTS
-    salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / HOT_SHARE))
-    shard = F.pmod(F.when(hot, F.xxhash64("anchor", salt)).otherwise(F.xxhash64("anchor")), F.lit(shards))
+        hot = cut(owned.where("doc_id = owner").select(*hits.columns))
+        held = held.unionByName(hot)
+    shards = max(1, -(-_total(held, windows + window - 1) // SHARD_WORDS))
+    salt = F.pmod("content", F.col("parts"))
+    shard = F.pmod(F.when(F.col("parts") > 1, F.xxhash64("anchor", salt)).otherwise(F.xxhash64("anchor")), F.lit(shards))
+    names = ("shard", "hot", "anchor", "content", "first", "last")
     of_document = (
-        hits.select(*KEY, F.struct("first", "last", shard.alias("shard"), hot.cast("int").alias("hot")).alias("hit"))
+        held.select(*KEY, F.struct(shard.alias("shard"), (F.col("parts") > 1).cast("int").alias("hot"), *names[2:]).alias("hit"))
         .groupBy(*KEY)
         .agg(F.collect_list("hit").alias("hits"))
-        .select(
-            *KEY,
-            *[F.col(f"hits.{name}").alias(f"{name}s") for name in ("shard", "hot", "first", "last")],
-        )
+        .select(*KEY, *[F.col(f"hits.{name}").alias(f"{name}s") for name in names])
     )
     found = cut(
         _keyed(docs, column)
@@ -272,11 +341,14 @@ def repeated_spans(docs: DataFrame, column: str = "text", window: int = WINDOW,
         .groupBy("shard")
         .applyInPandas(_search(window), FOUND)
     )
-    open_ = found.where(F.col("h1").isNotNull())
-    earliest = open_.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    late = open_.join(earliest, ["h1", "h2"]).where(F.col("doc_id") > F.col("least"))
-    spans = found.where(F.col("h1").isNull()).select(*KEY, "begin", "end")
-    return spans.unionByName(late.select(*KEY, "begin", "end")).unionByName(whole)
+    spans = spans.unionByName(found.where(F.col("h1").isNull()).select(*KEY, "begin", "end"))
+    if hot is not None:
+        open_ = found.where(F.col("h1").isNotNull())
+        earliest = open_.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+        late = open_.join(earliest, ["h1", "h2"]).where(F.col("doc_id") > F.col("least")).select(*group, F.explode("places").alias("place"))
+        begin = F.col("first") + F.col("place")
+        spans = spans.unionByName(hot.join(late, group).select(*KEY, begin.alias("begin"), (begin + window).alias("end")))
+    return spans
 
 
 _WORD = re.compile(WORD_PATTERN)
