@@ -1,15 +1,27 @@
 """Main text of HTML pages by two-pass block rules.
 
-The markup is cut into blocks at block-level tags and line breaks. The first
-pass labels each block from the container that it stands in, its link density,
-its length and the density of stop words; short blocks that these rules cannot
-decide stay open. In the second pass an open block inherits the label of its
-nearest decided neighbours. Scripts, styles, comments of the markup, forms and
-the head are no blocks.
+The markup is cut into blocks at block-level tags and at two line breaks in a
+row; one line break is white space. Scripts, styles, comments of the markup,
+forms' controls and the head are no blocks.
+
+First pass, each block for itself: one that is mostly links, or that a container
+names as boilerplate (menu, footer, advert, ...), is boilerplate; a long one with
+some stop words, or a shorter one with many, and few links is main text; a long
+one without any stop word and with links is boilerplate. Short and undecided
+blocks stay open.
+
+Second pass: an open block inherits the label of its nearest decided neighbour, a
+heading that of the one after it; between two unlike ones at one distance it is
+boilerplate. Blocks that a container names say nothing of those beside it. An
+article or main element only sets the reach of neighbours: a block inside one
+looks for neighbours inside, and counts as main text where none is decided. Once
+the first pass has found main text inside such an element, what stands outside of
+all of them is boilerplate.
 
 Stop words are the most frequent short words of the languages that pages are
 written in. A null or empty page, and one without main blocks, gives the empty
-text. Repeated rows give equal texts. All other columns are kept.
+text. Repeated rows give equal texts, equal blocks of a page are all kept. All
+other columns are kept, but for one named like the result, which is replaced.
 """
 
 from __future__ import annotations
@@ -37,12 +49,17 @@ IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript no
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_PEER = HEADINGS | frozenset("p li td th tr dt dd".split())
-# Class and id words that name boilerplate.
+# Class and id words that name boilerplate, alone or as a part of a longer name.
 NAMED = re.compile(
-    r"(?:^|[\s_\-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|side"
-    r"|sidebar\w*|widget\w*|comments?|commentlist|discuss\w*|replies|reply|respond|cookies?|consent|gdpr|notices?|alert\w*"
-    r"|newsletter\w*|subscribe\w*|popup|modal|overlay|share|sharing|social|related|recommend\w*|login|signup|search|copyright"
-    r"|pagination|pager|toolbar|skip|hidden)(?:$|[\s_\-])"
+    r"(?:^|[\s_\-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|masthead|footer"
+    r"|sidebar\w*|widget\w*|comments?|commentlist|discuss|discussion|replies|respond|cookies?|consent|gdpr|alert\w*"
+    r"|newsletter\w*|subscribe\w*|popup|modal|overlay|share|sharing|login|signup|copyright|pagination|pager|toolbar)(?:$|[\s_\-])"
+)
+# Words that name boilerplate only as a whole class or id, or before or after one of the others.
+NAMED_WHOLE = re.compile(
+    r"(?:^|\s)(?:(?:site|page|top|main|global|blog|cookie|legal|privacy|social|search)[_\-])?"
+    r"(?:header|side|notices?|social|related|recommend\w*|search|skip|hidden|reply)"
+    r"(?:[_\-](?:bar|box|links?|posts?|articles?|stories|items|news|content|form|list|icons?|media|buttons?|left|right|to[_\-]content))?(?:$|\s)"
 )
 STOP_WORDS = frozenset(
     "the of and to in a is that it was for on as with by be are this at from an not or he they "
@@ -61,24 +78,25 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
 _SPACE = re.compile(r"\s+")
 
-#: Thresholds of the block rules.
-LINKED = 0.5
+#: Share of a block's characters in links from which it is boilerplate, and from which it is no main text by itself.
+LINKED, SOME_LINKS = 0.5, 0.2
+#: Characters of a long block, and of one that many stop words can decide.
 LONG, SHORT = 120, 40
-STOP_HIGH, STOP_LOW = 0.25, 0.12
+#: Share of stop words of which a block holds many, and some.
+STOP_HIGH, STOP_LOW = 0.25, 0.08
 
 GOOD, BAD, OPEN = 1, 0, -1
 
 
 class _Block:
-    __slots__ = ("parts", "linked", "main", "bad", "heading")
+    __slots__ = ("parts", "linked", "main", "bad", "heading", "text")
 
-    def __init__(self, main: bool, bad: bool, heading: bool):
+    def __init__(self, main: int, bad: bool, heading: bool):
         self.parts: list[str] = []
         self.linked = 0
+        #: number of the outermost article or main element around it, 0 for none
         self.main, self.bad, self.heading = main, bad, heading
-
-    def text(self) -> str:
-        return _SPACE.sub(" ", "".join(self.parts)).strip()
+        self.text = ""
 
 
 def _named_boilerplate(rest: str) -> bool:
@@ -86,7 +104,7 @@ def _named_boilerplate(rest: str) -> bool:
         name = match[1].lower()
         value = (match[2] or match[3] or match[4] or "").lower()
         if name in ("class", "id"):
-            if NAMED.search(value):
+            if NAMED.search(value) or NAMED_WHOLE.search(value):
                 return True
         elif name == "role":
             if value in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form"):
@@ -99,26 +117,31 @@ def _named_boilerplate(rest: str) -> bool:
 def blocks(page: str) -> list[_Block]:
     """Blocks of a page in page order, each with what stands around it."""
     found: list[_Block] = []
-    #: name, then counts over it and all around it: main, boilerplate, silent, link, heading
+    #: name, number of the main element around it, then counts over it and all around it: boilerplate, silent, link, heading
     stack: list[tuple[str, int, int, int, int, int]] = []
     outside = ("", 0, 0, 0, 0, 0)
     open_names: Counter = Counter()
     block: _Block | None = None
+    mains = 0
+    broken = False
 
     def add(data: str) -> None:
-        nonlocal block
+        nonlocal block, broken
         if stack and stack[-1][0] == "head" and data.strip():
             leave(len(stack) - 1)
         _, main, bad, silent, links, headings = stack[-1] if stack else outside
         if silent or not data:
             return
         data = html_library.unescape(data)
+        solid = not data.isspace()
         if block is None:
-            if not data.strip():
+            if not solid:
                 return
-            block = _Block(main > 0, bad > 0, headings > 0)
+            block = _Block(main, bad > 0, headings > 0)
             found.append(block)
         block.parts.append(data)
+        if solid:
+            broken = False
         if links:
             block.linked += len(data.strip())
 
@@ -137,7 +160,12 @@ def blocks(page: str) -> list[_Block]:
         if not name:
             continue
         name = name.lower()
-        if name not in INLINE:
+        if name == "br":
+            if block is not None:
+                block.parts.append(" ")
+                block = None if broken else block
+            broken = True
+        elif name not in INLINE:
             block = None
         if match["close"]:
             if open_names[name] > 0:
@@ -162,69 +190,83 @@ def blocks(page: str) -> list[_Block]:
                     if stack[depth][0] not in INLINE:
                         break
             around = stack[-1] if stack else outside
-            boilerplate = name in BOILERPLATE or (name not in MAIN and name not in ("html", "body") and _named_boilerplate(match["rest"]))
-            own = (name in MAIN, boilerplate, name in SILENT, name == "a", name in HEADINGS)
-            stack.append((name, *(a + b for a, b in zip(around[1:], own, strict=True))))
+            main = around[1]
+            if name in MAIN and not main:
+                mains += 1
+                main = mains
+            # The header of an article holds its title.
+            boilerplate = (name in BOILERPLATE and not (name == "header" and main)) or (
+                name not in MAIN and name not in ("html", "body") and _named_boilerplate(match["rest"])
+            )
+            own = (boilerplate, name in SILENT, name == "a", name in HEADINGS)
+            stack.append((name, main, *(a + b for a, b in zip(around[2:], own, strict=True))))
             open_names[name] += 1
     add(page[at:])
-    return [b for b in found if b.text()]
+    for own_block in found:
+        own_block.text = _SPACE.sub(" ", "".join(own_block.parts)).strip()
+    return [b for b in found if b.text]
 
 
-def classify(own: list[_Block]) -> list[int]:
-    """Label of each block: main text or boilerplate."""
-    has_main = any(b.main and not b.bad for b in own)
-    labels = []
-    for block in own:
-        text = block.text()
-        words = text.lower().split()
-        stops = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / max(1, len(words))
-        linked = block.linked / max(1, len(text))
-        if block.bad or (has_main and not block.main):
-            labels.append(BAD)
-        elif block.main:
-            labels.append(BAD if linked > LINKED and len(text) < SHORT and stops < STOP_LOW and len(words) > 3 else GOOD)
-        elif linked > LINKED:
-            labels.append(BAD)
-        elif len(text) >= LONG and stops >= STOP_LOW or len(text) >= SHORT and stops >= STOP_HIGH:
-            labels.append(GOOD)
-        elif len(text) >= LONG and stops == 0 and linked > 0.2:
-            labels.append(BAD)
-        else:
-            labels.append(OPEN)
-    return _inherit(own, labels)
+def stop_density(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / max(1, len(words))
+
 
+def first_pass(block: _Block) -> int:
+    """Label of a block by its container, link density, length and stop-word density; OPEN where these leave it."""
+    size = len(block.text)
+    linked = block.linked / max(1, size)
+    if block.bad or linked > LINKED:
+        return BAD
+    if size < SHORT or block.heading:
+        return OPEN
+    stops = stop_density(block.text)
+    if linked <= SOME_LINKS and (stops >= STOP_HIGH or size >= LONG and stops >= STOP_LOW):
+        return GOOD
+    return BAD if linked > SOME_LINKS and stops == 0 else OPEN
 
-def _inherit(own: list[_Block], labels: list[int]) -> list[int]:
-    """Give open blocks the label of their nearest decided neighbours; two unlike ones at one distance: the later."""
+
+def second_pass(own: list[_Block], labels: list[int]) -> list[int]:
+    """The labels, with those of open blocks inherited from their nearest decided neighbours."""
+    confirmed = any(b.main and label == GOOD for b, label in zip(own, labels, strict=True))
+    labels = [BAD if confirmed and not b.main else label for b, label in zip(own, labels, strict=True)]
     size = len(labels)
-    before, after = [None] * size, [None] * size
-    last = None
-    for i in range(size):
-        last = i if labels[i] != OPEN else last
-        before[i] = last
-    last = None
-    for i in range(size - 1, -1, -1):
-        last = i if labels[i] != OPEN else last
-        after[i] = last
+    before: list[int | None] = [None] * size
+    after: list[int | None] = [None] * size
+    for places, side in ((range(size), before), (range(size - 1, -1, -1), after)):
+        last: int | None = None
+        for i in places:
+            last = i if labels[i] != OPEN and not own[i].bad else last
+            # A block inside a main element has its neighbours inside.
+            if last is not None and own[i].main in (0, own[last].main):
+                side[i] = last
     decided = []
     for i, label in enumerate(labels):
+        left, right = before[i], after[i]
         if label != OPEN:
             decided.append(label)
-            continue
-        left, right = before[i], after[i]
-        if left is None and right is None:
-            decided.append(GOOD if len(own[i].text()) >= SHORT else BAD)
-        elif left is None or right is not None and (own[i].heading or right - i <= i - left):
+        elif left is None and right is None:
+            decided.append(GOOD if own[i].main or len(own[i].text) >= SHORT else BAD)
+        elif left is None or right is None:
+            decided.append(labels[right if left is None else left])
+        elif own[i].heading or labels[left] == labels[right]:
             decided.append(labels[right])
+        elif right - i != i - left:
+            decided.append(labels[right if right - i < i - left else left])
         else:
-            decided.append(labels[left])
+            decided.append(BAD)
     return decided
 
 
+def classify(own: list[_Block]) -> list[int]:
+    """Label of each block: main text or boilerplate."""
+    return second_pass(own, [first_pass(b) for b in own])
+
+
 def main_text(page: str) -> str:
     """Main blocks of a page joined by blank lines."""
     own = blocks(page)
-    return "\n\n".join(b.text() for b, label in zip(own, classify(own), strict=True) if label == GOOD)
+    return "\n\n".join(b.text for b, label in zip(own, classify(own), strict=True) if label == GOOD)
 
 
 def extract(pages: DataFrame, column: str = "html", into: str = "text") -> DataFrame:
