@@ -1,8 +1,9 @@
 """Shared parts of the two classifiers that compare zstandard dictionaries.
 
-A classifier is fitted on a bounded sample of labelled rows (the bound is a
-parameter) and then scores every row of any table, window by window, on the
-executors.
+A classifier is fitted on a bounded sample of labelled rows (the bounds are
+parameters: so many rows of either label, and fewer where their whole texts hold
+more than so many bytes) and then scores every row of any table, window by
+window, on the executors. Texts of the sample are taken whole.
 """
 
 from __future__ import annotations
@@ -17,52 +18,65 @@ from pyspark.sql import functions as F
 from .common import cut, text_or_empty
 
 
-def compressor(content: bytes, level: int, raw: bool = False) -> zstandard.ZstdCompressor:
+def compressor(content: bytes, level: int, source_size: int = 0) -> zstandard.ZstdCompressor:
     """Compressor over a dictionary whose frames hold no header fields to skew lengths."""
-    kind = zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_AUTO
     params = zstandard.ZstdCompressionParameters.from_level(
         level,
-        dict_size=len(content) if raw else 0,
+        source_size=source_size,
+        dict_size=len(content) if source_size else 0,
         write_content_size=0,
         write_checksum=0,
         write_dict_id=0,
         format=zstandard.FORMAT_ZSTD1_MAGICLESS,
     )
-    return zstandard.ZstdCompressor(
-        dict_data=zstandard.ZstdCompressionDict(content, dict_type=kind), compression_params=params
-    )
+    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content), compression_params=params)
 
 
-def train(samples: list[bytes], size: int) -> bytes:
-    """zstandard dictionary of the samples; their plain concatenation where there are too few to train on."""
+def train(samples: list[bytes], size: int, **cover: int) -> bytes:
+    """zstandard dictionary of the samples; all of their plain text where there are too few to train on."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, **cover).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return (b"\n".join(samples) or b"no samples")[-size:].rjust(8)
+        return (b"\n".join(samples) or b"no samples").rjust(8)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_bytes: int) -> DataFrame:
     """(text, label, part): at most ``per_class`` rows of either label, cut from its lineage.
 
-    Rows are chosen by the hash of their id, so reruns agree. Ids are chosen in
-    the label table alone, hence only a bounded id list is broadcast. ``part``
-    splits the rows into two thirds for the dictionaries (0) and one third for the
-    calibration (1).
+    Rows are chosen by the hash of their id, so reruns agree, and in that order as
+    long as the texts of their label hold ``most_bytes`` together (the first row
+    always). Ids are chosen in the label table alone, hence only a bounded id list
+    is broadcast. ``part`` splits the rows into two thirds for the dictionaries (0)
+    and one third for the calibration (1).
     """
+    order = F.xxhash64("doc_id")
     chosen = [
         labels.where(F.col(label) == value)
         .select("doc_id", F.lit(value).alias("label"))
         .dropDuplicates(["doc_id"])
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .orderBy(order, "doc_id")
         .limit(per_class)
         for value in (0, 1)
     ]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))
-    return cut(
+    sample = cut(
         docs.select("doc_id", text_or_empty().alias("text"))
         .join(ids, "doc_id")
-        .select("text", "label", (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(3)) == 0).cast("int").alias("part"))
+        .select("text", "label", (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(3)) == 0).cast("int").alias("part"), order.alias("order"))
     )
+    sizes = sample.select("label", "order", F.octet_length("text").alias("size")).collect()
+    last = {}
+    for value in (0, 1):
+        total = 0
+        for row in sorted((r for r in sizes if r.label == value), key=lambda r: (r.order, r.size)):
+            if value in last and total + row.size > most_bytes:
+                break
+            total += row.size
+            last[value] = row.order
+    fits = F.lit(False)
+    for value, order_ in last.items():
+        fits = fits | ((F.col("label") == value) & (F.col("order") <= order_))
+    return sample.where(fits).select("text", "label", "part")
 
 
 def class_shares(labels: DataFrame, label: str) -> tuple[float, float]:

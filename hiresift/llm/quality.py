@@ -1,10 +1,10 @@
 """Quality by compression: dictionaries from good and from bad labelled text.
 
 A text is cut into windows of ``WINDOW`` bytes (all of it, the last one shorter)
-and each is compressed with either dictionary. The normalised difference of the
-two sums of sizes, with the size itself against the length, becomes a
-probability through a logistic map calibrated on rows that the dictionaries
-have not seen, at the shares that the labels have.
+and each is compressed with either dictionary. The difference of the two sums of
+sizes, against their sum and against the text's length, becomes a probability
+through a logistic map calibrated on rows that the dictionaries have not seen, at
+the shares that the labels have.
 
 Null and empty texts count as one empty window: both sizes are equal and the
 score follows from that. Repeated rows get equal scores. Other columns are kept.
@@ -27,6 +27,8 @@ from .dictionaries import class_shares, compressor, fit_logistic, labelled_sampl
 WINDOW = 512
 LEVEL = 3
 DICTIONARY_BYTES = 100_000
+#: Bytes of text of either label that the sample holds at most, in whole rows.
+SAMPLE_BYTES = 16_000_000
 
 
 @dataclass(frozen=True)
@@ -46,26 +48,14 @@ def _features(text: str, good, bad) -> list[float]:
     g = sum(len(good.compress(w)) for w in own)
     b = sum(len(bad.compress(w)) for w in own)
     size = max(1, sum(map(len, own)))
-    return [(b - g) / (b + g), (b - g) / size, min(g, b) / size, np.log1p(size)]
+    return [(b - g) / (b + g), (b - g) / size]
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, windows_per_doc: int = 24
-) -> QualityModel:
-    """Fit on at most ``per_class`` labelled rows of either label, ``windows_per_doc`` windows of each."""
-    sample = labelled_sample(docs, labels, label, per_class)
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text, value in zip(batch["text"], batch["label"], strict=True):
-                own = _windows(text)
-                step = max(1, -(-len(own) // windows_per_doc))
-                rows += [(int(value), w) for w in own[::step]]
-            yield pd.DataFrame(rows, columns=["label", "window"])
-
-    rows = sample.where("part = 0").mapInPandas(pick, "label int, window binary").collect()
-    samples = {v: sorted(bytes(r.window) for r in rows if r.label == v) for v in (0, 1)}
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, most_bytes: int = SAMPLE_BYTES) -> QualityModel:
+    """Fit on at most ``per_class`` labelled rows of either label with at most ``most_bytes`` of text, all windows of each."""
+    sample = labelled_sample(docs, labels, label, per_class, most_bytes)
+    rows = [(r.label, w) for r in sample.where("part = 0").collect() for w in _windows(r.text)]
+    samples = {v: sorted(w for value, w in rows if value == v) for v in (0, 1)}
     rng = np.random.default_rng(11)
     for own in samples.values():
         rng.shuffle(own)
@@ -79,7 +69,7 @@ def fit(
             )
 
     seen = sample.where("part = 1").mapInPandas(measure, "label int, x array<double>").collect()
-    x = np.array([r.x for r in seen]).reshape(-1, 4)
+    x = np.array([r.x for r in seen]).reshape(-1, 2)
     return QualityModel(good, bad, fit_logistic(x, np.array([r.label for r in seen]), class_shares(labels, label)))
 
 

@@ -1,24 +1,27 @@
 """Toxicity by compression distance.
 
-Separate zstandard dictionaries are made from toxic and from ordinary text. A
-window of a text is compressed with either; how many bytes the toxic dictionary
-saves is its evidence. The threshold from which a window counts, and the map
-from a document's windows to a score, are calibrated on labelled rows that the
-dictionaries have not seen.
-
-* A window is one white-space token, lower-cased, between spaces. It stands
-  between two fixed carriers that end both dictionaries: zstandard stores very
-  short inputs as they are and looks for no matches in the last bytes of one,
-  and with the carriers any saved byte shows.
-* The saved bytes are taken against the window's length, so that short and long
-  words are measured alike.
-* The ordinary dictionary is trained on ordinary rows. The toxic one holds the
-  windows of toxic rows that are over-represented there, the most frequent at
-  the near end, and goes before the same ordinary content, so that the two
-  differ only in what is toxic.
-
-Null and empty texts have no windows and get the score of a document without
-evidence. Repeated rows get equal scores. All other columns are kept.
+Two zstandard dictionaries are trained, one on ordinary and one on toxic text. A
+window of a text is compressed with either; the bytes that the toxic dictionary
+saves, against the window's length, are its evidence. The thresholds from which
+a window counts, and the map from a document's windows to a score, are calibrated
+on labelled rows that the dictionaries have not seen.
+
+* A window is ``TOKENS`` consecutive white-space tokens, lower-cased; windows
+  start at every token. It is followed by a fixed carrier that ends both
+  dictionaries: zstandard looks for no matches in the last bytes of an input and
+  stores very short ones as they are, and with the carrier any saved byte shows.
+* Both dictionaries begin with a common one trained on ordinary rows, so that
+  they give ordinary text equal lengths; on it follows content trained on the
+  ordinary rows again, or on the toxic ones.
+* Most of a toxic row is ordinary text. The toxic content is therefore trained in
+  ``ROUNDS`` rounds: the first on all of the toxic rows, each next one on their
+  windows that the last dictionaries give more evidence than nearly all windows
+  of ordinary rows.
+
+Defined results: null and empty texts have no windows and get the score of a
+document without evidence; a shorter text is one window. Repeated rows get equal
+scores. All other columns are kept, but for one named like the result, which is
+replaced.
 """
 
 from __future__ import annotations
@@ -38,142 +41,157 @@ from pyspark.sql.types import DoubleType
 from .common import map_texts
 from .dictionaries import class_shares, compressor, fit_logistic, labelled_sample, logistic, train
 
-HEAD = bytes(range(1, 9)) + bytes(range(14, 22))
-TAIL = bytes(range(22, 32)) + bytes([127, 1, 30, 2, 29, 3])
+TOKENS = 2
+CARRIER = bytes(range(22, 32)) + bytes([127, 1, 30, 2, 29, 3])
 LEVEL = 12
-ORDINARY_BYTES = 110_000
-TOXIC_BYTES = 2_048
-#: Words that the cache of window lengths holds before it is emptied.
-CACHED_WINDOWS = 400_000
-#: Saved bytes in tenths of a window's bytes from which it may count.
-THRESHOLDS = (2.0, 2.5, 3.0, 3.5, 4.0, 4.4, 5.0, 6.0)
+#: Bytes of the common dictionary and of the content of either label.
+COMMON_BYTES, LABEL_BYTES = 500_000, 32_000
+#: Bytes of the pieces that the label content is put together from, and of the parts that these are chosen by.
+COVER = {"k": 16, "d": 6}
+ROUNDS = 3
+#: Share of the ordinary windows below which a toxic row's window is not trained on.
+ORDINARY = 0.95
+#: Shares of the ordinary windows that lie below the thresholds.
+LEVELS = (0.98, 0.995, 0.999, 0.9997)
+#: Tokens of a training sample.
+SAMPLE_TOKENS = 16
+#: Bytes of text of either label that the sample holds at most, in whole rows.
+SAMPLE_BYTES = 16_000_000
+#: Windows whose evidence a worker holds before it starts anew.
+CACHED_WINDOWS = 200_000
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
     ordinary: bytes
     toxic: bytes
-    threshold: float
+    thresholds: tuple[float, ...]
     fitted: tuple
 
-    @property
-    def key(self) -> str:
-        return hashlib.sha256(self.ordinary + self.toxic).hexdigest()
 
+def windows(text: str, tokens: int = TOKENS, step: int = 1) -> list[str]:
+    """Runs of consecutive tokens, one from each ``step``-th token on; fewer tokens than a run are one."""
+    own = text.lower().split()
+    return [f" {' '.join(own[i : i + tokens])} " for i in range(0, max(min(1, len(own)), len(own) - tokens + step), step)]
 
-class WindowGains(dict):
+
+class Evidence(dict):
     """window -> bytes that the toxic dictionary saves over the ordinary one, in tenths of the window's."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         super().__init__()
-        self.plain = compressor(ordinary + HEAD + TAIL, LEVEL, raw=True)
-        self.marked = compressor(toxic + ordinary + HEAD + TAIL, LEVEL, raw=True)
+        self.ordinary, self.toxic = (compressor(d, LEVEL, source_size=64) for d in (ordinary, toxic))
 
     def __missing__(self, window: str) -> float:
-        own = f" {window} ".encode("utf-8", "surrogatepass")
-        data = HEAD + own + TAIL
-        gain = 10 * (len(self.plain.compress(data)) - len(self.marked.compress(data))) / (len(own) - 1)
+        own = window.encode("utf-8", "surrogatepass")
+        data = own + CARRIER
+        saved = 10 * (len(self.ordinary.compress(data)) - len(self.toxic.compress(data))) / len(own)
         if len(self) >= CACHED_WINDOWS:
             self.clear()
-        self[window] = gain
-        return gain
+        self[window] = saved
+        return saved
 
 
-_GAINS: dict[str, WindowGains] = {}
+_EVIDENCE: dict[str, Evidence] = {}
 
 
-def _gains(ordinary: bytes, toxic: bytes) -> WindowGains:
-    """One cache of gains for each Python worker and model."""
+def _evidence(ordinary: bytes, toxic: bytes) -> Evidence:
+    """The evidence of one pair of dictionaries, kept by a Python worker."""
     key = hashlib.sha256(ordinary + toxic).hexdigest()
-    if key not in _GAINS:
-        _GAINS.clear()
-        _GAINS[key] = WindowGains(ordinary, toxic)
-    return _GAINS[key]
+    if key not in _EVIDENCE:
+        _EVIDENCE.clear()
+        _EVIDENCE[key] = Evidence(ordinary, toxic)
+    return _EVIDENCE[key]
+
+
+def _features(text: str, evidence: Evidence, thresholds: tuple[float, ...]) -> list[float]:
+    seen = np.array([evidence[w] for w in windows(text)])
+    if not len(seen):
+        return [0.0] * (2 * len(thresholds) + 2)
+    hits = [int((seen > t).sum()) for t in thresholds]
+    return [*np.log1p(hits), *np.log1p([1000 * h / len(seen) for h in hits]), float(seen.max()), float(seen.mean())]
+
+
+def _counted(sample: DataFrame, dictionaries: tuple[bytes, bytes]) -> Counter:
+    """How many windows of the ordinary calibration rows have each evidence."""
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        evidence, seen = _evidence(*dictionaries), Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                seen.update(round(evidence[w], 3) for w in windows(text))
+        yield pd.DataFrame({"saved": list(seen), "n": list(seen.values())}).astype({"saved": "float64", "n": "int64"})
 
-def _histogram(text: str, gains: WindowGains) -> tuple[list[int], int]:
-    """Numbers of windows at or over each threshold, and of all windows."""
-    seen = [gains[w] for w in text.lower().split()]
-    return [sum(g >= t for g in seen) for t in THRESHOLDS], len(seen)
+    found: Counter = Counter()
+    for row in sample.where("part = 1 and label = 0").mapInPandas(count, "saved double, n long").collect():
+        found[row.saved] += row.n
+    return found
 
 
-def _features(hits: int, total: int) -> list[float]:
-    return [min(hits, 3) / 3, np.log1p(hits), np.log1p(1000 * hits / max(1, total))]
+def _below(counted: Counter, share: float) -> float:
+    """The least evidence that at least a share of the windows does not exceed."""
+    total, so_far = sum(counted.values()), 0
+    for saved in sorted(counted):
+        so_far += counted[saved]
+        if so_far >= share * total:
+            return saved
+    return 0.0
 
 
-def _half_windows(sample: DataFrame, most: int) -> list:
-    """Per document of the dictionary half: label, and at most ``most`` windows chosen by hash."""
+def _telling(sample: DataFrame, dictionaries: tuple[bytes, bytes], threshold: float) -> list[bytes]:
+    """Windows of the toxic training rows with more evidence than the threshold."""
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        evidence = _evidence(*dictionaries)
         for batch in batches:
-            rows = []
-            for text, label in zip(batch["text"], batch["label"], strict=True):
-                own = text.lower().split()
-                step = max(1, -(-len(own) // most))
-                rows.append((int(label), " ".join(own[::step])))
-            yield pd.DataFrame(rows, columns=["label", "windows"])
+            own = [w.encode("utf-8", "surrogatepass") for text in batch["text"] for w in windows(text) if evidence[w] > threshold]
+            yield pd.DataFrame({"own": pd.Series(own, dtype="object")})
+
+    return sorted(bytes(r.own) for r in sample.where("part = 0 and label = 1").mapInPandas(pick, "own binary").collect())
+
 
-    return sample.where("part = 0").mapInPandas(pick, "label int, windows string").collect()
+def _shuffled(samples: list[bytes]) -> list[bytes]:
+    """Samples in an order that does not follow their content, the same in each run."""
+    return sorted(samples, key=lambda s: hashlib.blake2b(s, digest_size=8).digest())
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2500, windows_per_doc: int = 600
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2500, most_bytes: int = SAMPLE_BYTES, rounds: int = ROUNDS
 ) -> ToxicityModel:
-    """Fit on at most ``per_class`` labelled rows of either label.
-
-    ``windows_per_doc`` bounds what one training row sends to the driver.
-    """
-    sample = labelled_sample(docs, labels, label, per_class)
-    rows = _half_windows(sample, windows_per_doc)
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    sizes = [0, 0]
-    ordinary: list[bytes] = []
-    for row in sorted(rows, key=lambda r: (r.label, r.windows)):
-        own = row.windows.split()
-        counts[row.label].update(set(own))
-        sizes[row.label] += 1
-        if row.label == 0:
-            ordinary += [f" {' '.join(own[i : i + 16])} ".encode() for i in range(0, len(own), 16)]
-    share = {w: (counts[0][w] + 0.5) / max(1, sizes[0]) for w in counts[1]}
-    telling = {w: c for w, c in counts[1].items() if c >= 3 and c / max(1, sizes[1]) >= 20 * share[w]}
-    ordered = sorted(telling, key=lambda w: (telling[w], w))
-    toxic = "".join(f" {w} " for w in ordered).encode()[-TOXIC_BYTES:]
-    model = train(ordinary, ORDINARY_BYTES)
+    """Fit on at most ``per_class`` labelled rows of either label with at most ``most_bytes`` of text."""
+    sample = labelled_sample(docs, labels, label, per_class, most_bytes)
+    texts: tuple[list[bytes], list[bytes]] = ([], [])
+    for row in sample.where("part = 0").collect():
+        texts[row.label].extend(w.encode("utf-8", "surrogatepass") for w in windows(row.text, SAMPLE_TOKENS, SAMPLE_TOKENS))
+    ordinary, chosen = _shuffled(texts[0]), texts[1]
+    common = train(ordinary, COMMON_BYTES)
+    own = train(ordinary, LABEL_BYTES, **COVER)
+    for place in range(rounds):
+        dictionaries = (common + own + CARRIER, common + train(_shuffled(chosen), LABEL_BYTES, **COVER) + CARRIER)
+        counted = _counted(sample, dictionaries)
+        if place + 1 < rounds:
+            chosen = _telling(sample, dictionaries, _below(counted, ORDINARY)) or chosen
+    thresholds = tuple(_below(counted, share) for share in LEVELS)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gains = _gains(model, toxic)
+        evidence = _evidence(*dictionaries)
         for batch in batches:
-            got = [_histogram(t, gains) for t in batch["text"]]
             yield pd.DataFrame(
-                {"label": batch["label"].astype("int32"), "hits": [h for h, _ in got], "total": [n for _, n in got]}
+                {"label": batch["label"].astype("int32"), "x": [_features(t, evidence, thresholds) for t in batch["text"]]}
             )
 
-    seen = sample.where("part = 1").mapInPandas(measure, "label int, hits array<long>, total long").collect()
-    truth = np.array([r.label for r in seen])
-    hits = np.array([r.hits for r in seen]).reshape(-1, len(THRESHOLDS))
-    best, at = -1.0, 4
-    for k in range(len(THRESHOLDS)):
-        if len(set(truth.tolist())) == 2:
-            found = hits[:, k] > 0
-            right = found[truth == 1].mean() - 2 * found[truth == 0].mean()
-            if right > best:
-                best, at = right, k
-    x = np.array([_features(h[at], r.total) for h, r in zip(hits, seen, strict=True)]).reshape(-1, 3)
-    return ToxicityModel(model, toxic, THRESHOLDS[at], fit_logistic(x, truth, class_shares(labels, label)))
+    seen = sample.where("part = 1").mapInPandas(measure, "label int, x array<double>").collect()
+    seen.sort(key=lambda r: (r.label, r.x))
+    x = np.array([r.x for r in seen]).reshape(-1, 2 * len(LEVELS) + 2)
+    return ToxicityModel(*dictionaries, thresholds, fit_logistic(x, np.array([r.label for r in seen]), class_shares(labels, label)))
 
 
 def score(docs: DataFrame, model: ToxicityModel, column: str = "text", into: str = "score") -> DataFrame:
     """The rows with a toxicity score from 0 to 1, over all windows of the whole text."""
-    place = THRESHOLDS.index(model.threshold)
 
     def start():
-        gains = _gains(model.ordinary, model.toxic)
-
-        def run(texts: list[str]) -> pa.Array:
-            got = [_histogram(t, gains) for t in texts]
-            return pa.array([logistic(model.fitted, _features(h[place], n)) for h, n in got], pa.float64())
-
-        return run
+        evidence = _evidence(model.ordinary, model.toxic)
+        return lambda texts: pa.array([logistic(model.fitted, _features(t, evidence, model.thresholds)) for t in texts], pa.float64())
 
     return map_texts(docs, column, into, DoubleType(), start)
 
