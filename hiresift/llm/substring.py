@@ -60,7 +60,8 @@ HOT_WINDOWS = 500_000
 #: Words whose anchors are looked for at once.
 SLICE_WORDS = 200_000
 
-KEY = ["doc_id", "k1", "k2"]
+#: A document: its id and a hash of its words; for copies under other ids a second hash confirms the first.
+KEY = ["doc_id", "k1"]
 
 
 def word_hashes(text: Column) -> Column:
@@ -68,12 +69,22 @@ def word_hashes(text: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, column: str) -> DataFrame:
-    """doc_id, the hashes of the words, and a 128-bit key of all of them."""
+    """doc_id, the hashes of the words, and two hashes of all of them."""
     return docs.select(F.col("doc_id").cast("long"), word_hashes(text_or_empty(column)).alias("hashes")).select(
         "doc_id", F.xxhash64(F.lit(1), "hashes").alias("k1"), F.xxhash64(F.lit(2), "hashes").alias("k2"), "hashes"
     )
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each document as ``WORD_BYTES`` bytes each."""
+    for batch in batches:
+        offsets, values = _list_parts(batch.column("hashes"))
+        own = np.ascontiguousarray(values[offsets[0] : offsets[-1]].view("uint8").reshape(-1, 8)[:, :WORD_BYTES])
+        ends = pa.py_buffer(((offsets - offsets[0]) * WORD_BYTES).astype("int64"))
+        words_ = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(batch), [None, ends, pa.py_buffer(own)]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in KEY], words_], names=[*KEY, "words"])
+
+
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         mixed = (a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + b
@@ -159,19 +170,19 @@ def _anchored(window: int, gram: int):
 
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[batch.column(c) for c in KEY],
+                    *[batch.column(c) for c in (*KEY, "k2")],
                     pa.array(counts.astype("int32")),
                     listed(names, "int64"),
                     listed(contents, "int64"),
                     listed(firsts, "int32"),
                 ],
-                names=[*KEY, "n_words", "anchors", "contents", "first"],
+                names=[*KEY, "k2", "n_words", "anchors", "contents", "first"],
             )
 
     return run
 
 
-STRETCH = "shard long, doc_id long, k1 long, k2 long, hot boolean, anchor long, content long, first int, words binary"
+STRETCH = "shard long, doc_id long, k1 long, hot boolean, anchor long, content long, first int, words binary"
 
 
 def _stretches(window: int):
@@ -179,15 +190,14 @@ def _stretches(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, values = _list_parts(batch.column("hashes"))
-            packed = values.view("uint8").reshape(-1, 8)[:, :WORD_BYTES]
+            own_words = batch.column("words")
             hits = {n: _list_parts(batch.column(f"{n}s")) for n in ("shard", "hot", "anchor", "content", "first", "last")}
             spans = hits["first"][0]
             rows = np.repeat(np.arange(len(batch)), np.diff(spans))
             first, last = hits["first"][1], hits["last"][1]
             texts = []
             for row in range(len(batch)):
-                own = np.ascontiguousarray(packed[offsets[row] : offsets[row + 1]]).tobytes()
+                own = own_words[row].as_py()
                 texts += [
                     own[a * WORD_BYTES : (b + window) * WORD_BYTES]
                     for a, b in zip(first[spans[row] : spans[row + 1]].tolist(), last[spans[row] : spans[row + 1]].tolist(), strict=True)
@@ -209,7 +219,7 @@ def _stretches(window: int):
 
 
 #: Spans of documents (without h1), and distinct windows of a hot stretch that its shard has not reported, with their places in it.
-FOUND = "doc_id long, k1 long, k2 long, begin int, end int, anchor long, content long, h1 long, h2 long, places array<int>"
+FOUND = "doc_id long, k1 long, begin int, end int, anchor long, content long, h1 long, h2 long, places array<int>"
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -298,7 +308,7 @@ def repeated_spans(docs: DataFrame, column: str = "text", window: int = WINDOW,
         _keyed(docs.where(F.col("doc_id").isNotNull()), column).mapInArrow(_anchored(window, gram), ANCHORED)
     ).where(F.col("n_words") >= window)
     first = anchored.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")).withColumn("stands", F.lit(True))
-    anchored = cut(anchored.join(first, KEY, "left").dropDuplicates(KEY))
+    anchored = cut(anchored.join(first, [*KEY, "k2"], "left").drop("k2").dropDuplicates(KEY))
     spans = anchored.where("stands is null").select(*KEY, F.lit(0).alias("begin"), F.col("n_words").alias("end"))
     single = anchored.where("stands")
     hits = _hits(single, window)
@@ -336,6 +346,8 @@ def repeated_spans(docs: DataFrame, column: str = "text", window: int = WINDOW,
     )
     found = cut(
         _keyed(docs, column)
+        .select(*KEY, "hashes")
+        .mapInArrow(_packed, "doc_id long, k1 long, words binary")
         .join(of_document, KEY)
         .mapInArrow(_stretches(window), STRETCH)
         .groupBy("shard")
@@ -366,15 +378,9 @@ def remove_repeats(
         F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans")
     )
     spans = spans.select(*[F.col(c).alias(f"_{c}") for c in KEY], F.col("spans.begin").alias("_begins"), F.col("spans.end").alias("_ends"))
-    hashes = word_hashes(text_or_empty(column))
     # The rows travel as one struct, so that no name of theirs can clash.
-    keyed = docs.select(
-        F.struct("*").alias("_row"), F.transform(F.array(hashes), lambda h: F.array(F.xxhash64(F.lit(1), h), F.xxhash64(F.lit(2), h)))[0].alias("_k")
-    )
-    same = (
-        (F.col("_row.doc_id").cast("long") == F.col("_doc_id")) & (F.col("_k")[0] == F.col("_k1")) & (F.col("_k")[1] == F.col("_k2"))
-    )
-
+    keyed = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.lit(1), word_hashes(text_or_empty(column))).alias("_own"))
+    same = (F.col("_row.doc_id").cast("long") == F.col("_doc_id")) & (F.col("_own") == F.col("_k1"))
     joined = keyed.join(spans, same, "left").select("_row", "_begins", "_ends")
     kept = StructType(
         [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType()), StructField("kept", StringType())]
