@@ -1,26 +1,37 @@
 """Token counts of whole texts, huge ones by overlap resynchronisation.
 
-A text over ``CHUNK`` characters is encoded in chunks that overlap, with the
-offsets of the tokens. Two neighbouring chunks are spliced at a common boundary
-in their overlap: a place where both start a token and where a space or line
-feed stands before it. That boundary is proven stable, as this tokenizer drops
-white space, never composes a character with a space before it, and has no
-pre-token or added token that holds one. Where an overlap has none, it is widened,
-at last to the whole of the left chunk.
-
-The same boundary proof lets every chunk be encoded piece by piece between
-spaces and line feeds: the library encodes each distinct piece once in a worker
-and its offsets are kept.
+Texts up to ``CHUNK`` characters are encoded by the library as they are. A longer
+one is encoded in chunks that overlap, with the offsets of the tokens, and two
+neighbouring chunks are spliced at a common boundary in their overlap. Where an
+overlap has none it is widened, up to the last proven boundary; where even that
+leaves none (one pre-token fills the whole chunk) the chunk itself grows to twice
+its length, so that any text costs a bounded multiple of one encoding.
+
+A boundary is a place where both chunks end a pre-token and begin another. It is
+proven stable:
+
+* the pre-tokens are the matches of a pattern without look-behind, found from
+  left to right, so that two scans that begin a match at one place find the same
+  ones from there on, and merges never cross pre-tokens;
+* it lies further from the ends of the overlap than the longest added token is
+  long, so that neither chunk has cut one in two there;
+* no character composes with one before it across the boundary, and the one there
+  does not become several in lower case, which would blur the offsets; the other
+  normalisations (white space, lower case) work on each character alone.
+
+That holds for vocabularies whose settings say so, which is checked when the file
+is loaded; with any other the whole text is encoded at once.
 
 Null and empty texts have no tokens. Repeated rows get equal counts. All other
-columns are kept.
+columns are kept, but for one named like the result, which is replaced.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
-from bisect import bisect_left
+import unicodedata
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,93 +42,152 @@ from .common import map_texts
 
 CHUNK = 32_768
 OVERLAP = 256
-#: Pieces that either of a worker's two caches, a younger and an older, holds.
-CACHED_PIECES = 100_000
-#: Pieces over this many characters are encoded anew each time.
-LONGEST_CACHED = 64
+#: Fixed value: end-of-word suffix by which a token tells that it ends a pre-token.
+WORD_END = "</w>"
 
-_PIECES = re.compile(r"[^ \n]+")
 
+@dataclass(frozen=True)
+class Tokens:
+    """Where the tokens of a span start in the text, and whether each follows the end of a pre-token."""
 
-class PieceTokenizer:
-    """The library's tokens of white-space free pieces, kept for reuse."""
+    starts: list[int]
+    fresh: list[bool]
+
+    def since(self, place: int) -> Tokens:
+        return Tokens(self.starts[place:], self.fresh[place:])
+
+
+class LibraryTokenizer:
+    """The library's encoder of one vocabulary file."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            settings = json.load(file)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.starts: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def piece(self, text: str) -> tuple[int, ...]:
-        """Offsets at which the tokens of a piece start."""
-        known = self.starts.get(text)
-        if known is None:
-            known = self.older.get(text)
-            if known is None:
-                found = self.tokenizer.encode(text, add_special_tokens=False)
-                known = tuple([start for start, _ in found.offsets])
-                if len(text) > LONGEST_CACHED:
-                    return known
-            if len(self.starts) >= CACHED_PIECES:
-                self.older, self.starts = self.starts, {}
-            self.starts[text] = known
-        return known
-
-    def count(self, text: str) -> int:
-        piece = self.piece
-        return sum([len(piece(p)) for p in text.replace("\n", " ").split(" ") if p])
-
-    def offsets(self, text: str, begin: int, end: int) -> list[int]:
-        """Starts, in the text, of the tokens of its span from begin to end."""
-        return [m.start() + s for m in _PIECES.finditer(text, begin, end) for s in self.piece(m.group())]
-
-
-def common_boundary(text: str, left: list[int], right: list[int], begin: int, end: int) -> int | None:
-    """The last stable place after begin and before end where both start a token."""
-    ours = set(right[: bisect_left(right, end)])
-    for place in reversed(left[bisect_left(left, begin + 1) : bisect_left(left, end)]):
-        if place in ours and text[place - 1] in " \n":
-            return place
+        added = settings.get("added_tokens") or []
+        self.margin = max([len(t["content"]) for t in added], default=0) + 1
+        self.cuttable = has_stable_boundaries(settings)
+        self.last = {i for t, i in settings["model"].get("vocab", {}).items() if t.endswith(WORD_END)} if self.cuttable else set()
+        self.last |= {t["id"] for t in added}
+
+    def counts(self, texts: list[str]) -> list[int]:
+        return [len(found) for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def tokens(self, text: str, begin: int, end: int) -> Tokens:
+        """Tokens of the span from begin to end, by one call of the library."""
+        found = self.tokenizer.encode(text[begin:end], add_special_tokens=False)
+        ends = [i in self.last for i in found.ids]
+        return Tokens([begin + start for start, _ in found.offsets], [True, *ends[:-1]] if ends else [])
+
+
+def has_stable_boundaries(settings: dict) -> bool:
+    """Whether the settings are those that the proof of the module is about."""
+
+    def parts(of: dict | None, kind: str) -> list[dict]:
+        return [] if of is None else of[kind] if of["type"] == "Sequence" else [of]
+
+    def known(part: dict) -> bool:
+        if part["type"] == "Split":
+            pattern = part["pattern"].get("Regex", "(?")
+            return part["behavior"] == "Removed" and part["invert"] and not any(x in pattern for x in ("(?", "\\b", "\\B", "\\G", "^|", "$"))
+        if part["type"] == "ByteLevel":
+            return not part["add_prefix_space"] and not part["use_regex"]
+        if part["type"] == "Replace":
+            return part["pattern"] == {"Regex": "\\s+"} and part["content"] == " "
+        return part["type"] in ("NFC", "Lowercase")
+
+    model, added = settings["model"], settings.get("added_tokens") or []
+    pre_tokens = parts(settings.get("pre_tokenizer"), "pretokenizers")
+    return (
+        model.get("type") == "BPE"
+        and model.get("end_of_word_suffix") == WORD_END
+        and not model.get("dropout")
+        and not model.get("ignore_merges")
+        and settings.get("post_processor") is None
+        and [p["type"] for p in pre_tokens[:1]] == ["Split"]
+        and all(map(known, [*parts(settings.get("normalizer"), "normalizers"), *pre_tokens]))
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added)
+    )
+
+
+def stands_alone(text: str, place: int) -> bool:
+    """Whether the character at a place composes with none before it, and none of the two becomes several characters."""
+    a, b = text[place - 1], text[place]
+    if max(a, b) < "\u0130":
+        return True
+    normal = unicodedata.normalize
+    return (
+        not unicodedata.combining(b)
+        and normal("NFC", a + b) == normal("NFC", a) + normal("NFC", b)
+        and all(len(normal("NFC", c).lower()) == 1 for c in (a, b))
+    )
+
+
+def common_boundary(text: str, left: Tokens, right: Tokens, low: int, high: int) -> tuple[int, int] | None:
+    """Places in both of the tokens that start at the last stable boundary from low to high."""
+    # Only the first of the tokens that start in one character can lie on a boundary of the text.
+    ours: dict[int, int] = {}
+    for i in range(1, len(right.starts)):
+        place = right.starts[i]
+        if low <= place <= high and right.fresh[i] and right.starts[i - 1] < place:
+            ours[place] = i
+    for i in range(len(left.starts) - 1, 0, -1):
+        place = left.starts[i]
+        if place < low:
+            return None
+        if place in ours and left.fresh[i] and left.starts[i - 1] < place and stands_alone(text, place):
+            return i, ours[place]
     return None
 
 
-def count_tokens(text: str, tokenizer, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of a text; ``tokenizer`` has count(text) and offsets(text, begin, end)."""
-    if len(text) <= chunk:
-        return tokenizer.count(text)
-    total, begin, end = 0, 0, chunk
-    left = tokenizer.offsets(text, begin, end)
+def count_tokens(text: str, tokenizer: LibraryTokenizer, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+    """Tokens of a text, chunk by chunk."""
+    total, begin, end = 0, 0, min(chunk, len(text))
+    left = tokenizer.tokens(text, begin, end)
     while end < len(text):
-        width, next_end = overlap, min(len(text), end + chunk)
+        # The overlap reaches back to the left chunk's last boundary at least.
+        last = next((s for s, f in zip(reversed(left.starts), reversed(left.fresh)) if f and s <= end - tokenizer.margin), begin)
+        width, step = max(overlap, end - last + tokenizer.margin), chunk
         while True:
             start = max(begin, end - width)
-            right = tokenizer.offsets(text, start, next_end)
-            if start == begin:  # the left chunk as a whole is encoded again
+            if start == begin:  # a chunk that reaches back to the last boundary is right as it is; it grows with what it holds
+                step = max(chunk, end - begin)
+            next_end = min(len(text), end + step)
+            right = tokenizer.tokens(text, start, next_end)
+            if start == begin:
                 left = right
                 break
-            place = common_boundary(text, left, right, start, end)
-            if place is not None:
-                total += bisect_left(left, place)
-                left, begin = right[bisect_left(right, place) :], place
+            found = common_boundary(text, left, right, start + tokenizer.margin, end - tokenizer.margin)
+            if found is not None:
+                total += found[0]
+                begin, left = left.starts[found[0]], right.since(found[1])
                 break
             width *= 4
         end = next_end
-    return total + len(left)
+    return total + len(left.starts)
 
 
-_LOADED: dict[str, PieceTokenizer] = {}
+_LOADED: dict[str, LibraryTokenizer] = {}
 
 
-def loaded(name: str) -> PieceTokenizer:
+def loaded(name: str) -> LibraryTokenizer:
     if name not in _LOADED:
-        _LOADED[name] = PieceTokenizer(vocabulary_path(name))
+        _LOADED[name] = LibraryTokenizer(vocabulary_path(name))
     return _LOADED[name]
 
 
+def counts(texts: list[str], tokenizer: LibraryTokenizer, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    """Tokens of each text: huge ones in chunks, the others together."""
+    huge = [tokenizer.cuttable and len(t) > chunk for t in texts]
+    short = iter(tokenizer.counts([t for t, h in zip(texts, huge, strict=True) if not h]))
+    return [count_tokens(t, tokenizer, chunk, overlap) if h else next(short) for t, h in zip(texts, huge, strict=True)]
+
+
 def with_counts(
     docs: DataFrame, vocabulary: str, column: str = "text", into: str = "n_tokens", chunk: int = CHUNK, overlap: int = OVERLAP
 ) -> DataFrame:
@@ -125,6 +195,6 @@ def with_counts(
 
     def start():
         tokenizer = loaded(vocabulary)
-        return lambda texts: pa.array([count_tokens(t, tokenizer, chunk, overlap) for t in texts], pa.int64())
+        return lambda texts: pa.array(counts(texts, tokenizer, chunk, overlap), pa.int64())
 
     return map_texts(docs, column, into, LongType(), start)
