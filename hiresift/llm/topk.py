@@ -7,9 +7,14 @@ takes the feasible range of the query's largest coordinate in the bucket's list
 sorted by that coordinate; else length pruning takes the bucket's vectors that
 are long enough. What is left is verified by whole integer products.
 
-The first theta of each query comes from a bounded set of the longest vectors.
-Queries and vectors then meet in blocks of bounded size; what a block pair
-returns is at most k rows a query, merged by rank.
+The first theta of each query comes from a bounded set of vectors, the longest and
+some others. All vectors are dealt to norm buckets, and within these to slices of
+bounded size; queries to blocks in order of theta / |query|, the length that a
+vector needs to matter. A block and a bucket meet only where the bucket's longest
+vector is as long as the block's least needed length, so neither queries nor
+vectors travel where they cannot matter. Where all vectors are about equally long
+nothing can be excluded before the products' bounds are looked at inside a slice.
+What a block and a slice return is at most k rows a query, merged by rank.
 
 Defined results: vectors that are null or hold null or non-finite components
 take no part; vectors of another length than a query's are no candidates of it;
@@ -20,17 +25,23 @@ share a query's id are queried together. An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 SCALE = 1024
-#: Longest vectors from which the first thresholds come.
+#: Vectors from which the first thresholds come: the longest, and as many others chosen by hash.
 SEEDS = 1024
 #: Queries in a block, and vectors in a slice at least and at most.
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 16_384
 SLICE = (1024, 32_768)
+#: Norm buckets of all vectors, and blocks of queries, at most.
+NORM_BUCKETS, MOST_BLOCKS = 64, 8_192
 #: Vectors of a slice in one norm bucket at most, and the ratio of lengths within one.
 BUCKET_ROWS = 2048
 BUCKET_RATIO = 1.1
@@ -148,11 +159,15 @@ def search_slice(
 
 
 def _seeded(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """The queries with theta, the k-th best score among the longest vectors (null: fewer than k)."""
-    longest = vectors.orderBy(F.col("norm").desc(), "vec_id").limit(SEEDS).select("vec_id", "v").collect()
+    """The queries with theta, the k-th best score among the seeds (null: fewer than k)."""
+    own = vectors.select("vec_id", "v", "norm")
+    longest = own.orderBy(F.col("norm").desc(), "vec_id").limit(SEEDS)
+    others = own.orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(SEEDS)
+    # One row counts once, so that no threshold is too high.
+    seeds = longest.unionByName(others).dropDuplicates(["vec_id"]).select("vec_id", "v").collect()
     by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for width in {len(r.v) for r in longest}:
-        rows = [r for r in longest if len(r.v) == width]
+    for width in {len(r.v) for r in seeds}:
+        rows = [r for r in seeds if len(r.v) == width]
         by_width[width] = (np.array([r.vec_id for r in rows]), np.array([r.v for r in rows], "int64"))
 
     def seed(batches):
@@ -162,33 +177,73 @@ def _seeded(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                 ids, rows = by_width.get(len(v), (np.zeros(0, "int64"), np.zeros((0, len(v)), "int64")))
                 scores = products(np.asarray(v, "int64")[None, :], rows[ids != own])[0] if len(ids) else ids
                 theta.append(float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else None)
-            yield batch.assign(theta=pd.Series(theta, dtype="float64"))[["vec_id", "v", "theta"]]
+            yield batch.assign(theta=pd.Series(theta, dtype="float64"))[["vec_id", "v", "norm", "theta"]]
+
+    return queries.mapInPandas(seed, "vec_id long, v array<long>, norm double, theta double")
+
+
+def _ranges(rows: DataFrame, value: str, parts: int) -> Column:
+    """Number of the range of a column's values that a row lies in, at most ``parts`` of about as many rows."""
+    if parts <= 1:
+        return F.lit(0)
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    bounds = sorted(set(rows.agg(F.percentile_approx(value, shares, 10 * parts)).first()[0] or []))
+    held = F.from_json(F.lit(json.dumps(bounds)), "array<double>")
+    return F.size(F.filter(held, lambda x: x < F.col(value)))
 
-    return queries.mapInPandas(seed, "vec_id long, v array<long>, theta double")
+
+def _table(values: dict[int, object], kind: str, key: str) -> Column:
+    """The value of a row's key in a small table that is a constant of the plan."""
+    listed = [values.get(i) for i in range(max(values, default=0) + 1)]
+    return F.get(F.from_json(F.lit(json.dumps(listed)), f"array<{kind}>"), F.col(key))
+
+
+def dealt(asked: DataFrame, ready: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Queries and vectors as they travel: once for each block and slice in which they can matter."""
+    seeded = cut(_seeded(asked, ready, k))
+    # The length that a vector needs for this query: none where theta is not known or not positive.
+    seeded = seeded.withColumn("needed", F.when(F.col("theta") > 0, F.try_divide("theta", "norm")).otherwise(0.0))
+    rows, queries = ready.count(), seeded.count()
+    slice_rows = min(max(SLICE[0], rows // 200), SLICE[1])
+    seeded = seeded.withColumn("range", _ranges(seeded, "needed", min(MOST_BLOCKS, max(1, -(-queries // QUERY_BLOCK)))))
+    bucketed = ready.withColumn("bucket", _ranges(ready, "norm", min(NORM_BUCKETS, max(1, rows // slice_rows))))
+    # Both tables are bounded by the numbers of ranges and buckets.
+    ranges = seeded.groupBy("range").agg(F.min("needed").alias("needed"), F.count("*").alias("n")).orderBy("range").collect()
+    buckets = bucketed.groupBy("bucket").agg(F.max("norm").alias("norm"), F.count("*").alias("n")).collect()
+    # Equal needed lengths or norms fill one range or bucket: it is cut into blocks or slices by hash.
+    blocks, first = {}, 0
+    for r in ranges:
+        blocks[r.range] = list(range(first, first + max(1, -(-r.n // QUERY_BLOCK))))
+        first = blocks[r.range][-1] + 1
+    slices = {g.bucket: max(1, -(-g.n // slice_rows)) for g in buckets}
+    meet = [(r.range, g.bucket) for r in ranges for g in buckets if g.norm >= r.needed * (1 - 1e-9)]
+    to_buckets = {r.range: [g for x, g in meet if x == r.range] for r in ranges}
+    to_blocks = {g.bucket: [b for x, y in meet if y == g.bucket for b in blocks[x]] for g in buckets}
+
+    def by_hash(seed: int, parts: Column, *of: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), *of), parts).cast("int")
+
+    left = (
+        seeded.select(
+            "vec_id", "v", "theta", F.size("v").alias("width"),
+            (_table({r: b[0] for r, b in blocks.items()}, "int", "range") + by_hash(2, _table({r: len(b) for r, b in blocks.items()}, "int", "range"), "vec_id", "v")).alias("block"),
+            F.explode(_table(to_buckets, "array<int>", "range")).alias("bucket"),
+        )
+        .withColumn("slice", F.explode(F.sequence(F.lit(0), _table(slices, "int", "bucket") - 1)))
+    )
+    right = bucketed.select(
+        "vec_id", "v", F.size("v").alias("width"), "bucket",
+        by_hash(1, _table(slices, "int", "bucket"), "vec_id").alias("slice"),
+        F.explode(_table(to_blocks, "array<int>", "bucket")).alias("block"),
+    )
+    return left, right
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): of each query the k vectors with the highest integer products."""
     ready = quantised(vectors, vector)
     asked = ready.where(is_query).dropDuplicates(["vec_id", "v"])
-    rows = ready.count()
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    slices = max(1, -(-rows // min(max(SLICE[0], rows // 200), SLICE[1])))
-    # Every block of queries meets every slice of vectors.
-    every_slice = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long")))
-    every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    left = (
-        _seeded(asked.select("vec_id", "v"), ready, k)
-        .withColumn("width", F.size("v"))
-        .withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)))
-        .withColumn("slice", every_slice)
-    )
-    right = (
-        ready.select("vec_id", "v")
-        .withColumn("width", F.size("v"))
-        .withColumn("slice", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(slices)))
-        .withColumn("block", every_block)
-    )
+    left, right = dealt(asked, ready, k)
 
     def meet(queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(own):
@@ -198,7 +253,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "embe
             queries["vec_id"].to_numpy("int64"), _matrix(queries["v"]), theta, own["vec_id"].to_numpy("int64"), _matrix(own["v"]), k
         )
 
-    keys = ("slice", "block", "width")
+    keys = ("bucket", "slice", "block", "width")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, SCORED)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (
