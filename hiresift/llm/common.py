@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(rows: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as make it none of the rows' columns."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -36,13 +44,15 @@ def word_count(text: Column) -> Column:
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage through the reliable checkpoint folder of the session.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; only where that
-    is unset (tests, a laptop) a new temporary folder is taken.
+    The folder is the one that ``spark.checkpoint.dir`` names. Only in local mode
+    may that be unset: executors of a cluster do not see the driver's temporary folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="hiresift-checkpoint-"))
     return df.checkpoint(eager=eager)
 
