@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 from .common import cut, text_or_empty
 
 
-def compressor(content: bytes, level: int, source_size: int = 0) -> zstandard.ZstdCompressor:
-    """Compressor over a dictionary whose frames hold no header fields to skew lengths."""
+def compressor(content: bytes, level: int, **settings: int) -> zstandard.ZstdCompressor:
+    """Compressor over a dictionary whose frames hold no header fields to skew lengths; settings replace those of the level."""
     params = zstandard.ZstdCompressionParameters.from_level(
         level,
-        source_size=source_size,
-        dict_size=len(content) if source_size else 0,
+        **settings,
         write_content_size=0,
         write_checksum=0,
         write_dict_id=0,

@@ -6,8 +6,8 @@ saves, against the window's length, are its evidence. The thresholds from which
 a window counts, and the map from a document's windows to a score, are calibrated
 on labelled rows that the dictionaries have not seen.
 
-* A window is ``TOKENS`` consecutive white-space tokens, lower-cased; windows
-  start at every token. It is followed by a fixed carrier that ends both
+* A window is ``TOKENS`` consecutive white-space tokens, lower-cased; each token
+  lies in one. It is followed by a fixed carrier that ends both
   dictionaries: zstandard looks for no matches in the last bytes of an input and
   stores very short ones as they are, and with the carrier any saved byte shows.
 * Both dictionaries begin with a common one trained on ordinary rows, so that
@@ -34,6 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -41,9 +42,12 @@ from pyspark.sql.types import DoubleType
 from .common import map_texts
 from .dictionaries import class_shares, compressor, fit_logistic, labelled_sample, logistic, train
 
-TOKENS = 2
+#: Tokens of a window, and from one window's start to the next one's.
+TOKENS, STEP = 2, 2
 CARRIER = bytes(range(22, 32)) + bytes([127, 1, 30, 2, 29, 3])
-LEVEL = 12
+#: Settings of the compressors: matches of five bytes and more, from a binary tree that covers the whole dictionary.
+LEVEL = 13
+SETTINGS = {"strategy": zstandard.STRATEGY_BTLAZY2, "window_log": 20, "hash_log": 21, "chain_log": 21, "search_log": 4, "min_match": 5, "target_length": 32}
 #: Bytes of the common dictionary and of the content of either label.
 COMMON_BYTES, LABEL_BYTES = 500_000, 32_000
 #: Bytes of the pieces that the label content is put together from, and of the parts that these are chosen by.
@@ -69,8 +73,9 @@ class ToxicityModel:
     fitted: tuple
 
 
-def windows(text: str, tokens: int = TOKENS, step: int = 1) -> list[str]:
-    """Runs of consecutive tokens, one from each ``step``-th token on; fewer tokens than a run are one."""
+def windows(text: str, tokens: int = 0, step: int = 0) -> list[str]:
+    """Runs of consecutive tokens, one from each ``step``-th token on; the last one may be shorter."""
+    tokens, step = tokens or TOKENS, step or STEP
     own = text.lower().split()
     return [f" {' '.join(own[i : i + tokens])} " for i in range(0, max(min(1, len(own)), len(own) - tokens + step), step)]
 
@@ -80,7 +85,7 @@ class Evidence(dict):
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         super().__init__()
-        self.ordinary, self.toxic = (compressor(d, LEVEL, source_size=64) for d in (ordinary, toxic))
+        self.ordinary, self.toxic = (compressor(d, LEVEL, **SETTINGS) for d in (ordinary, toxic))
 
     def __missing__(self, window: str) -> float:
         own = window.encode("utf-8", "surrogatepass")
