@@ -204,9 +204,18 @@ def months_between(start: Column, end: Column, as_of: Column) -> Column:
 
 # Names of months.
 MONTHS = {
-    1: "janvier janv january jan", 2: "février fevrier fév fev february feb", 3: "mars march mar", 4: "avril avr april apr",
-    5: "mai may", 6: "juin june jun", 7: "juillet juil july jul", 8: "août aout august aug", 9: "septembre sept september sep",
-    10: "octobre oct october", 11: "novembre nov november", 12: "décembre decembre déc dec december",
+    1: ("janvier", "janv", "january", "jan",),
+    2: ("février", "fevrier", "fév", "fev", "february", "feb",),
+    3: ("mars", "march", "mar",),
+    4: ("avril", "avr", "april", "apr",),
+    5: ("mai", "may",),
+    6: ("juin", "june", "jun",),
+    7: ("juillet", "juil", "july", "jul",),
+    8: ("août", "aout", "august", "aug",),
+    9: ("septembre", "sept", "september", "sep",),
+    10: ("octobre", "oct", "october",),
+    11: ("novembre", "nov", "november",),
+    12: ("décembre", "decembre", "déc", "dec", "december",),
 }
 
 
@@ -216,7 +225,7 @@ def date_token(text: Column) -> Column:
     word = F.regexp_extract(low, r"(?U)^([a-zà-ÿ]+)\s+((?:19|20)[0-9]{2})$", 1)
     number = F.lit(None).cast("int")
     for month, names in MONTHS.items():
-        number = F.when(word.isin(names.split()), month).otherwise(number)
+        number = F.when(word.isin(*names), month).otherwise(number)
     year = F.regexp_extract(low, "((?:19|20)[0-9]{2})", 1)
     first = F.regexp_extract(low, r"^([0-9]{1,2})[/\-]((?:19|20)[0-9]{2})$", 1)
     last = F.regexp_extract(low, r"^((?:19|20)[0-9]{2})[/\-]([0-9]{1,2})$", 2)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from hiresift.functions import scores
 from hiresift.functions.text import clip_characters, normalise
 
+from .evaluation import numbered_by_hash
+
 
 def alias_dictionary(clusters: DataFrame, longest: int = 2) -> DataFrame:
     """(term, synonym) in both directions from clusters (cluster, term): pairs that share a word or are short."""
@@ -99,13 +101,14 @@ def domain_pairs(offers: DataFrame, candidates: DataFrame, adjacency: DataFrame,
     same = o.join(c, F.col("od") == F.col("cd")).select("offer_id", "candidate_id", F.lit("same").alias("kind"))
     near = adjacency.toDF("od", "cd").unionByName(adjacency.toDF("cd", "od").select("od", "cd")).distinct()
     beside = o.join(F.broadcast(near), "od").join(c, "cd").select("offer_id", "candidate_id", F.lit("adjacent").alias("kind"))
-    # Each offer draws slots, not candidates, so that no product of both sides is made.
-    slots = 4096
-    hashed = c.withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), "candidate_id"), F.lit(slots))).groupBy("slot").agg(F.min(F.struct("candidate_id", "cd")).alias("c"))
-    places = hashed.select("slot", "c.*")
-    draws = o.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(negatives * 4)))).withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), "offer_id", "draw"), F.lit(slots)))
+    # Each offer draws places in the numbered list of candidates, so that no product of both sides is made.
+    n = max(1, c.count())
+    places = numbered_by_hash(c, "candidate_id", seed).join(c, "candidate_id")
+    draws = o.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(negatives * 4)))).withColumn(
+        "place", F.pmod(F.xxhash64(F.lit(seed), "offer_id", "draw"), F.lit(n))
+    )
     far = (
-        draws.join(places, "slot").where("od <> cd").join(near.withColumn("_n", F.lit(True)), ["od", "cd"], "left").where("_n is null")
+        draws.join(places, "place").where("od <> cd").join(near.withColumn("_n", F.lit(True)), ["od", "cd"], "left").where("_n is null")
         .groupBy("offer_id").agg(F.slice(F.sort_array(F.collect_set("candidate_id")), 1, negatives).alias("ids"))
         .select("offer_id", F.explode("ids").alias("candidate_id"), F.lit("different").alias("kind"))
     )

@@ -89,20 +89,40 @@ def labelled(matches: DataFrame) -> DataFrame:
 def synthetic_negatives(matches: DataFrame, least: int, seed: int = 42) -> DataFrame:
     """Pairs of known candidates and offers that never met, as many as lack to ``least`` negatives.
 
-    Offers are shifted against candidates by hash, so no product is made.
+    Each candidate draws places in the numbered list of all offers, as often as
+    the lack asks for, so no product is made and every offer can be drawn; what is
+    missing after that (nearly all pairs met) is not there to be drawn.
     """
-    negatives = matches.where("label = 0").count()
-    lack = max(0, least - negatives)
-    order = F.xxhash64(F.lit(seed), "candidate_id", "offer_id")
-    people = matches.select("candidate_id", order.alias("h")).groupBy("candidate_id").agg(F.min("h").alias("h"))
-    jobs = matches.select("offer_id", order.alias("h")).groupBy("offer_id").agg(F.min("h").alias("h"))
-    parts = 1024
+    lack = max(0, least - matches.where("label = 0").count())
+    people, jobs = matches.select("candidate_id").distinct(), matches.select("offer_id").distinct()
+    n_people, n_jobs = people.count(), jobs.count()
+    if not lack or not n_people:
+        return matches.select("candidate_id", "offer_id", F.lit(0).alias("label")).limit(0)
+    draws = min(n_jobs, 8 + 4 * -(-lack // n_people))
+    # Places in hash order: numbers inside ranges of the hash, and the rows before each range.
+    numbered = numbered_by_hash(jobs, "offer_id", seed)
+    start = F.pmod(F.xxhash64(F.lit(seed), "candidate_id"), F.lit(n_jobs))
     drawn = (
-        people.withColumn("slot", F.pmod("h", F.lit(parts)))
-        .join(jobs.withColumn("slot", F.pmod("h", F.lit(parts))).groupBy("slot").agg(F.min("offer_id").alias("offer_id")), "slot")
+        people.select("candidate_id", start.alias("start"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("turn"))
+        .withColumn("place", F.pmod(F.col("start") + F.col("turn") * max(1, n_jobs // draws), F.lit(n_jobs)))
+        .join(numbered, "place")
+        .select("candidate_id", "offer_id")
+        .distinct()
         .join(matches, ["candidate_id", "offer_id"], "left_anti")
     )
-    return drawn.orderBy("h", "candidate_id").limit(lack).select("candidate_id", "offer_id", F.lit(0).alias("label"))
+    order = F.xxhash64(F.lit(seed), "candidate_id", "offer_id")
+    return drawn.orderBy(order, "candidate_id", "offer_id").limit(lack).select("candidate_id", "offer_id", F.lit(0).alias("label"))
+
+
+def numbered_by_hash(rows: DataFrame, key: str, seed: int, parts: int = 4_096) -> DataFrame:
+    """(key, place): distinct keys numbered from 0 in the order of their hashes, without one task for all."""
+    hashed = rows.select(key, F.xxhash64(F.lit(seed), key).alias("h")).withColumn("part", F.shiftrightunsigned("h", 52))
+    if parts != 4_096:
+        hashed = hashed.withColumn("part", F.pmod("part", F.lit(parts)))
+    counts = hashed.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("h", key)) - 1
+    return hashed.withColumn("own", own).join(F.broadcast(before), "part").select(key, (F.col("own") + F.col("before")).alias("place"))
 
 
 def train_logistic(rows: DataFrame, features: Sequence[str], seed: int = 42):
@@ -166,12 +186,40 @@ def split(rows: DataFrame, shares: Sequence[float] = (0.8, 0.1, 0.1), seed: int
     return rows.withColumn("part", part)
 
 
-def augmented(rows: DataFrame, features: Sequence[str], copies: int, noise: float, seed: int = 42) -> DataFrame:
-    """Copies of rows whose features and label are moved by small seeded noise, kept within 0 and 1."""
+def _uniform(seed: int, *of: str) -> Column:
+    """A number from 0 to 1 (excluded) drawn from the hash of a row's columns."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *of), 11) / float(1 << 53)
+
+
+def augmented(rows: DataFrame, features: Sequence[str], copies: int, noise: float, seed: int = 42, key: str = "id") -> DataFrame:
+    """Copies of rows whose features and label are moved by small normal noise, kept within 0 and 1.
+
+    The noise comes from the hash of the row's key, so reruns on any partitions agree.
+    """
     out = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    moved = {}
     for place, column in enumerate((*features, "label")):
-        out = out.withColumn(column, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(column) + F.randn(seed + place) * noise)))
-    return out
+        a, b = _uniform(seed + 2 * place, key, "copy"), _uniform(seed + 2 * place + 1, key, "copy")
+        normal = F.sqrt(-2 * F.log(1 - a)) * F.cos(2 * F.pi() * b)
+        moved[column] = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(column) + normal * noise))
+    return out.withColumns(moved)
+
+
+def mixed_up(rows: DataFrame, features: Sequence[str], seed: int = 42, key: str = "id") -> DataFrame:
+    """Each row mixed with the next one by hash: features and label weighed by a share from 0.3 to 0.7."""
+    order = numbered_by_hash(rows, key, seed)
+    n = order.count()
+    share = 0.3 + 0.4 * _uniform(seed + 99, key)
+    columns = (*features, "label")
+    a = rows.join(order, key)
+    b = a.select(F.pmod(F.col("place") - 1, F.lit(max(1, n))).alias("place"), *[F.col(c).alias(f"_{c}") for c in columns])
+    mixed = a.withColumn("_share", share).join(b, "place")
+    return mixed.withColumns({c: F.col(c) * F.col("_share") + F.col(f"_{c}") * (1 - F.col("_share")) for c in columns}).select(*rows.columns)
+
+
+def weighted_labels(formula: DataFrame, human: DataFrame, weight: float = 2.0) -> DataFrame:
+    """Rows labelled by formula, with weight 1, and by people, with more."""
+    return formula.withColumn("weight", F.lit(1.0)).unionByName(human.withColumn("weight", F.lit(weight)))
 
 
 def pair_grid(domains: DataFrame, rates: Sequence[float], offsets: Sequence[int], factors: Sequence[float]) -> DataFrame:

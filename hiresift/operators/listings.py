@@ -133,19 +133,39 @@ def display_name(stored: Column, parsed: Column, derived: Column, suspicious) ->
 def recommendations(candidates: DataFrame, offers: DataFrame, matches: DataFrame, least: float = 0.45, k: int = 12) -> DataFrame:
     """For refused candidates, active offers of a title not yet applied for whose skills overlap enough.
 
-    ``skills`` are arrays on both sides. Pairs come from shared skills, so
-    candidates and offers without any in common never meet.
+    ``skills`` are arrays on both sides. Equal sets of skills are compared once:
+    distinct sets of candidates meet distinct sets of offers by a shared skill,
+    and each candidate set ranks its offers. Of that ranking a candidate can need
+    no more than the first ``k`` and as many as offers have a title applied for.
     """
-    refused = candidates.where("candidature_status = 'refuse'").select(F.col("id").alias("candidate_id"), F.array_distinct("skills").alias("own"))
-    open_ = offers.where("status = 'active'").select(F.col("id").alias("offer_id"), "titre", F.array_distinct("skills").alias("wanted"))
-    shared = (
-        refused.select("candidate_id", F.explode("own").alias("skill"))
-        .join(open_.select("offer_id", "titre", F.size("wanted").alias("n"), F.explode("wanted").alias("skill")), "skill")
-        .groupBy("candidate_id", "offer_id", "titre", "n")
-        .agg(F.count("*").alias("shared"))
-        .withColumn("overlap", F.col("shared") / F.col("n"))
+    refused = candidates.where("candidature_status = 'refuse'").select(
+        F.col("id").alias("candidate_id"), F.array_sort(F.array_distinct("skills")).alias("own")
+    )
+    open_ = offers.where("status = 'active'").select(
+        F.col("id").alias("offer_id"), "titre", F.array_sort(F.array_distinct("skills")).alias("wanted")
+    )
+    own, wanted = refused.select("own").distinct(), open_.select("wanted").distinct()
+    sets = (
+        own.select("own", F.explode("own").alias("skill"))
+        .join(wanted.select("wanted", F.explode("wanted").alias("skill")), "skill")
+        .select("own", "wanted")
+        .distinct()
+        .withColumn("overlap", F.size(F.array_intersect("own", "wanted")) / F.size("wanted"))
         .where(F.col("overlap") >= least)
     )
-    applied = matches.join(offers.select(F.col("id").alias("offer_id"), "titre"), "offer_id").select("candidate_id", "titre").distinct()
-    fresh = shared.join(applied, ["candidate_id", "titre"], "left_anti")
+    applied = (
+        matches.join(refused.select("candidate_id"), "candidate_id", "left_semi")
+        .select("candidate_id", "offer_id")
+        .distinct()
+        .join(offers.select(F.col("id").alias("offer_id"), "titre"), "offer_id")
+        .select("candidate_id", "titre")
+        .distinct()
+    )
+    of_title = open_.groupBy("titre").agg(F.count("*").alias("n"))
+    blocked = applied.join(of_title, "titre").groupBy("candidate_id").agg(F.sum("n").alias("blocked"))
+    needed = refused.join(blocked, "candidate_id", "left").withColumn("needed", k + F.coalesce("blocked", F.lit(0)))
+    most = needed.agg(F.max("needed")).first()[0] or k
+    ranking = top_per_group(sets.join(open_, "wanted"), "own", [F.col("overlap").desc(), "offer_id"], most)
+    near = needed.select("candidate_id", "own", "needed").join(ranking.withColumnRenamed("rank", "place"), "own").where("place <= needed")
+    fresh = near.join(applied, ["candidate_id", "titre"], "left_anti")
     return top_per_group(fresh, "candidate_id", [F.col("overlap").desc(), "offer_id"], k).select("candidate_id", "offer_id", "overlap", "rank")

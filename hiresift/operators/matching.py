@@ -28,18 +28,35 @@ def enrich_dictionary(terms: DataFrame, aliases: DataFrame) -> DataFrame:
     return terms.unionByName(new.join(terms, ["term", "synonym"], "left_anti"))
 
 
+#: Rows up to which a dictionary or another small side is broadcast, by its count.
+BROADCAST_ROWS = 200_000
+
+
+def small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows, broadcast if there are few of them."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def dictionary_matches(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", longest: int = 4) -> DataFrame:
     """(key, term, category, n): how often each dictionary term of up to ``longest`` words occurs in a text.
 
-    Texts become word n-grams that meet the dictionary by an equi-join, so the
-    cost does not depend on the number of terms.
+    Word n-grams meet the dictionary where they arise, so only those that are
+    terms are counted and travel; of a dictionary too large to broadcast, the
+    n-grams travel as hashes.
     """
     own = F.filter(F.split(F.lower(F.col(text)), r"[^a-z0-9à-öø-ÿ+#.]+"), lambda w: w != "")
     own = F.transform(own, lambda w: F.rtrim(w, F.lit(".")))
+    wanted = terms.select(F.lower("term").alias("term"), "category")
+    longest = min(longest, wanted.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1)
     words = docs.select(key, own.alias("w"))
     lists = [_grams("w", n) for n in range(1, longest + 1)]
-    exploded = words.select(key, F.explode(F.concat(*lists)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
-    return exploded.join(terms.select(F.lower("term").alias("term"), "category"), "term").select(key, "term", "category", "n")
+    held = small(wanted)
+    if held is wanted:
+        hashed = words.select(key, F.explode(F.transform(F.concat(*lists), lambda g: F.xxhash64(g))).alias("_h"))
+        found = hashed.join(wanted.withColumn("_h", F.xxhash64("term")), "_h")
+    else:
+        found = words.select(key, F.explode(F.concat(*lists)).alias("term")).join(held, "term")
+    return found.groupBy(key, "term", "category").agg(F.count("*").alias("n"))
 
 
 def _grams(words: str, n: int) -> Column:
@@ -47,20 +64,61 @@ def _grams(words: str, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(F.col(words), i, n), " "))
 
 
-def blocked_fuzzy(left: DataFrame, right: DataFrame, score, least: float, prefix: int = 1, slack: int = 3) -> DataFrame:
-    """Best right term of each left term over a similarity, among those of one prefix and near length.
+def _bigrams(text: Column) -> Column:
+    """Pairs of neighbouring characters of a text and of its words in order."""
+
+    def of(value: Column) -> Column:
+        starts = F.when(F.length(value) >= 2, F.sequence(F.lit(1), F.length(value) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(value, i, F.lit(2)))
+
+    ordered = F.array_join(F.array_sort(F.split(text, r"\s+")), " ")
+    return F.array_distinct(F.concat(of(text), of(ordered)))
+
+
+def blocked_fuzzy(left: DataFrame, right: DataFrame, score, least: float) -> DataFrame:
+    """Best right term of each left term over a weighted ratio of at least 82, without loss.
 
     Both sides have a column ``term``; ``score(a, b)`` is a column from 0 to 100.
-    Equal scores go to the right term that sorts first.
+    A ratio of 82 leaves room for edits of at most 0.18 times both lengths, and an
+    edit touches two bigrams; so two texts of four characters and more that reach
+    it, whole, in part or with their words in order, share a bigram of the texts
+    or of their words in order. Shorter texts are compared with all that are not
+    longer than eight times as much, beyond which the ratio is below 60. The right
+    side is a dictionary. Equal scores go to the right term that sorts first.
     """
-    a = left.select(F.col("term").alias("a")).distinct().withColumn("p", F.substring("a", 1, prefix))
-    b = right.select(F.col("term").alias("b")).distinct().withColumn("p", F.substring("b", 1, prefix))
-    near = a.join(b, "p").where(F.abs(F.length("a") - F.length("b")) <= slack)
-    scored = near.withColumn("score", score(F.col("a"), F.col("b"))).where(F.col("score") >= least)
+    if least < 82:
+        raise ValueError("the blocks hold all pairs from 82 on only")
+    a, b = left.select(F.col("term").alias("a")).distinct(), right.select(F.col("term").alias("b")).distinct()
+    x, y = a.withColumn("_g", F.explode(_bigrams(F.col("a")))), b.withColumn("_g", F.explode(_bigrams(F.col("b"))))
+    near = x.join(small(y), "_g").select("a", "b")
+    short = (F.least(F.length("a"), F.length("b")) < 4) & (F.greatest(F.length("a"), F.length("b")) <= 8 * F.least(F.length("a"), F.length("b")))
+    tiny_a, tiny_b = a.where(F.length("a") < 4), b.where(F.length("b") < 4)
+    few = tiny_a.join(F.broadcast(b), short).unionByName(a.where(F.length("a") >= 4).join(F.broadcast(tiny_b), short)) if small(b) is not b else (
+        tiny_a.join(b, short).unionByName(a.where(F.length("a") >= 4).join(tiny_b, short))
+    )
+    scored = near.unionByName(few).distinct().withColumn("score", score(F.col("a"), F.col("b"))).where(F.col("score") >= least)
     order = Window.partitionBy("a").orderBy(F.col("score").desc(), "b")
     return scored.withColumn("r", F.row_number().over(order)).where("r = 1").select("a", "b", "score")
 
 
+def against_all(queries: DataFrame, rows: DataFrame, block_rows: int = 2_048) -> DataFrame:
+    """A stated set of queries with every row, in blocks: each row meets each block of queries once.
+
+    The queries are such as the offers of a day; neither side is held whole by a task.
+    """
+    blocks = max(1, -(-queries.count() // block_rows))
+    dealt = queries.withColumn("_block", F.pmod(F.xxhash64(*queries.columns), F.lit(blocks)))
+    spread = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return spread.join(small(dealt), "_block").drop("_block")
+
+
+def nearest(queries: DataFrame, rows: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, distance): of each query the nearest other text by edit distance, of equals the one that sorts first."""
+    pairs = against_all(queries.select(a).distinct(), rows.select(b).distinct()).where(F.col(a) != F.col(b))
+    best = F.min(F.struct(F.levenshtein(a, b).cast("long").alias("distance"), F.col(b).alias(b))).alias("best")
+    return pairs.groupBy(a).agg(best).select(a, F.col(f"best.{b}").alias(b), "best.distance")
+
+
 def contains_either(left: DataFrame, right: DataFrame, a: str, b: str, gram: int = 3) -> DataFrame:
     """Rows of which one text holds the other, without regard to case.
 
@@ -99,7 +157,7 @@ def vector_matches(queries: DataFrame, vectors: DataFrame, key: str, vector: str
     """
     a = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_q"), *([block] if block else []))
     b = vectors.select(F.col(key).alias("vec_id"), F.col(vector).alias("_v"), *([block] if block else []))
-    pairs = a.join(b, block) if block else a.join(b, F.lit(True))
+    pairs = a.join(b, block) if block else against_all(a, b)
     return pairs.where("query_id <> vec_id").withColumn("cosine", cosine(F.col("_q"), F.col("_v"))).where(F.col("cosine") >= least).select(
         "query_id", "vec_id", "cosine"
     )
@@ -118,6 +176,16 @@ def domain_relation(pairs: DataFrame, adjacency: DataFrame, a: str = "offer_doma
     return pairs.join(F.broadcast(near), [a, b], "left").withColumn("relation", kind).drop("_near")
 
 
+def shared_phrases(items: DataFrame, docs: DataFrame, item: str, doc: str, size: int = 5) -> DataFrame:
+    """(item, doc): pairs whose whole texts (column ``text``) share a run of ``size`` words; runs travel as hashes."""
+
+    def runs(rows: DataFrame, key: str) -> DataFrame:
+        own = F.filter(F.split(F.lower("text"), r"[^a-z0-9à-öø-ÿ]+"), lambda w: w != "")
+        return rows.select(key, own.alias("w")).select(key, F.explode(F.array_distinct(F.transform(_grams("w", size), lambda g: F.xxhash64(g)))).alias("_h"))
+
+    return runs(docs, doc).join(small(runs(items, item)), "_h").select(item, doc).distinct()
+
+
 def tfidf_pairs(pairs: DataFrame, a: str, b: str, key: list[str], grams: int = 2) -> DataFrame:
     """Cosine of the TF-IDF vectors of each pair of texts, fitted on the two texts alone.
 
@@ -140,31 +208,45 @@ def tfidf_pairs(pairs: DataFrame, a: str, b: str, key: list[str], grams: int = 2
     return pairs.select(*key).join(found, key, "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
 
 
-# Weight of a skill category in a sector.
-SECTOR_WEIGHTS = {
-    "informatique_dev": "langages 3 frameworks_web 3 frameworks_mobile 3 bases_de_donnees 2 outils_dev 2 tests_qualite 2 methodologies 1",
-    "data_ia": "data_ml_ia 5 langages 0.5 bases_de_donnees 0.5",
-    "devops_cloud": "devops_cloud 5 systemes_reseaux 3 methodologies 0.5",
-    "cybersecurite": "securite 5 systemes_reseaux 2",
-    "marketing_digital": "marketing_digital 5 soft_skills 0.5",
-    "finance_comptabilite": "comptabilite_finance 5",
-    "sante_medical": "sante_medical 5",
-    "rh_recrutement": "rh_recrutement 5 soft_skills 0.5",
-    "droit_juridique": "droit_juridique 5",
-    "architecture_btp": "architecture_btp 5 metiers_manuels 0.5",
-    "sciences_recherche": "sciences_recherche 5",
-    "enseignement": "enseignement_pedagogie 5",
-    "logistique_supply_chain": "logistique_supply_chain 5 methodologies 0.3",
-    "agroalimentaire_qualite": "agroalimentaire_qualite 5",
-    "metiers_manuels": "metiers_manuels 5",
-}
+# Sector, skill category, weight of the category in the sector.
+SECTOR_WEIGHTS = (
+    ("informatique_dev", "langages", 3.0),
+    ("informatique_dev", "frameworks_web", 3.0),
+    ("informatique_dev", "frameworks_mobile", 3.0),
+    ("informatique_dev", "bases_de_donnees", 2.0),
+    ("informatique_dev", "outils_dev", 2.0),
+    ("informatique_dev", "tests_qualite", 2.0),
+    ("informatique_dev", "methodologies", 1.0),
+    ("data_ia", "data_ml_ia", 5.0),
+    ("data_ia", "langages", 0.5),
+    ("data_ia", "bases_de_donnees", 0.5),
+    ("devops_cloud", "devops_cloud", 5.0),
+    ("devops_cloud", "systemes_reseaux", 3.0),
+    ("devops_cloud", "methodologies", 0.5),
+    ("cybersecurite", "securite", 5.0),
+    ("cybersecurite", "systemes_reseaux", 2.0),
+    ("marketing_digital", "marketing_digital", 5.0),
+    ("marketing_digital", "soft_skills", 0.5),
+    ("finance_comptabilite", "comptabilite_finance", 5.0),
+    ("sante_medical", "sante_medical", 5.0),
+    ("rh_recrutement", "rh_recrutement", 5.0),
+    ("rh_recrutement", "soft_skills", 0.5),
+    ("droit_juridique", "droit_juridique", 5.0),
+    ("architecture_btp", "architecture_btp", 5.0),
+    ("architecture_btp", "metiers_manuels", 0.5),
+    ("sciences_recherche", "sciences_recherche", 5.0),
+    ("enseignement", "enseignement_pedagogie", 5.0),
+    ("logistique_supply_chain", "logistique_supply_chain", 5.0),
+    ("logistique_supply_chain", "methodologies", 0.3),
+    ("agroalimentaire_qualite", "agroalimentaire_qualite", 5.0),
+    ("metiers_manuels", "metiers_manuels", 5.0),
+)
 
 
 def sector_weights(spark) -> DataFrame:
-    rows = []
-    for place, (sector, listed) in enumerate(SECTOR_WEIGHTS.items()):
-        parts = listed.split()
-        rows += [(place, sector, c, float(w)) for c, w in zip(parts[::2], parts[1::2], strict=True)]
+    """(place, sector, category, weight), sectors in their listed order."""
+    order = list(dict.fromkeys(sector for sector, _, _ in SECTOR_WEIGHTS))
+    rows = [(order.index(sector), sector, category, weight) for sector, category, weight in SECTOR_WEIGHTS]
     return spark.createDataFrame(rows, "place int, sector string, category string, weight double")
 
 

@@ -71,17 +71,10 @@ def score_distribution(spark: SparkSession, d: str) -> DataFrame:
         WHERE NOT EXISTS (SELECT 1 FROM matches WHERE candidate_id = candidates.id)) WHERE n > 0
     UNION ALL SELECT 'pending_candidates', NULL, n FROM (SELECT count(*) AS n FROM candidates WHERE candidature_status = 'en_attente') WHERE n > 0""")
 def alerts(spark: SparkSession, d: str) -> DataFrame:
-    found = matches(spark, d).where("offer_id % 17 <> 0 and score_pct < 100 - offer_id % 90")
+    found = matches(spark, d)
     return dashboard.alerts(dashboard.offer_pipeline(job_offers(spark, d), found), candidates(spark, d), found)
 
 
-registry.oracle["alerts"] = registry.oracle["alerts"].replace(
-    "FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
-    "FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 17 <> 0"
-    " AND CAST(floor(l_discount * 1000 + 0.5) AS BIGINT) < 100 - l_partkey % 90",
-)
-
-
 @query("""SELECT action, count(*) AS n FROM access_logs
     WHERE created_at >= TIMESTAMP '2024-01-24 00:00:00' AND created_at <= TIMESTAMP '2024-01-31 00:00:00' GROUP BY action""")
 def recent_activity(spark: SparkSession, d: str) -> DataFrame:
@@ -96,9 +89,9 @@ def top_matches_global(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT c.id, CASE WHEN r.candidate_id IS NULL THEN c.candidature_status WHEN r.acc THEN 'accepte' WHEN r.rej THEN 'refuse' ELSE 'en_attente' END AS status
     FROM candidates c LEFT JOIN (SELECT candidate_id, bool_or(status = 'accepted') AS acc, bool_or(status = 'rejected') AS rej FROM matches
-    WHERE id % 37 = 0 GROUP BY candidate_id) r ON r.candidate_id = c.id""")
+    GROUP BY candidate_id) r ON r.candidate_id = c.id""")
 def status_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return dashboard.status_rollup(candidates(spark, d), matches(spark, d).where("id % 37 = 0"))
+    return dashboard.status_rollup(candidates(spark, d), matches(spark, d))
 
 
 @query("""SELECT candidate_id, string_agg(titre, '|' ORDER BY first_at, first_id, titre) AS titles, count(*) AS n_titles FROM (
@@ -256,7 +249,7 @@ def missing_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT candidate_id, offer_id, overlap, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY overlap DESC, offer_id) AS rank FROM (
     SELECT c.id AS candidate_id, o.id AS offer_id, o.titre,
-           (SELECT count(*) FROM (SELECT DISTINCT unnest(o.skills) AS s INTERSECT SELECT DISTINCT unnest(c.skills) AS s))::DOUBLE / len(list_distinct(o.skills)) AS overlap
+           len(list_intersect(o.skills, c.skills))::DOUBLE / len(list_distinct(o.skills)) AS overlap
     FROM (SELECT id, [segment, CAST(nationkey % 5 AS VARCHAR)] AS skills FROM candidates WHERE candidature_status = 'refuse') c
     CROSS JOIN (SELECT id, titre, ['MACHINERY', CAST(id % 5 AS VARCHAR)] AS skills FROM job_offers WHERE status = 'active') o) p
   WHERE overlap >= 0.45 AND NOT EXISTS (SELECT 1 FROM matches m JOIN job_offers x ON x.id = m.offer_id WHERE m.candidate_id = p.candidate_id AND x.titre = p.titre)) q
@@ -267,12 +260,6 @@ def recommendations(spark: SparkSession, d: str) -> DataFrame:
     return listings.recommendations(people, wanted, matches(spark, d)).withColumn("rank", F.col("rank").cast("long"))
 
 
-registry.oracle["recommendations"] = registry.oracle["recommendations"].replace(
-    """(SELECT count(*) FROM (SELECT DISTINCT unnest(o.skills) AS s INTERSECT SELECT DISTINCT unnest(c.skills) AS s))::DOUBLE / len(list_distinct(o.skills))""",
-    """((CASE WHEN list_contains(c.skills, 'MACHINERY') THEN 1 ELSE 0 END) + (CASE WHEN list_contains(c.skills, o.skills[2]) THEN 1 ELSE 0 END)) / 2.0""",
-)
-
-
 # Ranking and first rows.
 
 

@@ -18,6 +18,7 @@ COMMON = "the of and to in is that for de la le et en que der die und das el los
 _LIST = ", ".join(f"'{w}'" for w in COMMON)
 _FR = ", ".join(f"'{w}'" for w in text.FRENCH_SIGNALS)
 _EN = ", ".join(f"'{w}'" for w in text.ENGLISH_SIGNALS)
+_PLACES = list(dict.fromkeys(s for s, _, _ in matching.SECTOR_WEIGHTS))
 TERMS = (("the", "article"), ("of the", "phrase"), ("de la", "phrase"), ("and", "link"), ("in the", "phrase"), ("que", "link"), ("and the of", "phrase"))
 _TERMS = ", ".join(f"('{t}', '{c}')" for t, c in TERMS)
 
@@ -31,9 +32,9 @@ def normalised_text(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("doc_id", text.normalise(F.col("text")).alias("clean"))
 
 
-@query("""SELECT doc_id, strip_accents(text) AS plain FROM documents WHERE lang IN ('fr', 'es')""")
+@query("""SELECT doc_id, strip_accents(text) AS plain FROM documents""")
 def accent_free(spark: SparkSession, d: str) -> DataFrame:
-    return documents(spark, d).where("lang in ('fr', 'es')").select("doc_id", text.strip_accents(F.col("text")).alias("plain"))
+    return documents(spark, d).select("doc_id", text.strip_accents(F.col("text")).alias("plain"))
 
 
 @query(f"""SELECT doc_id, CASE WHEN total = 0 THEN 0.0 ELSE floor((letters / total * 50 + least(known / greatest(n, 1) * 2, 1.0) * 30
@@ -45,17 +46,14 @@ def ocr_quality(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("doc_id", text.ocr_quality(F.col("text"), COMMON).alias("quality"))
 
 
-@query(f"""SELECT doc_id, CASE WHEN english > french THEN 'en' ELSE 'fr' END AS language, french, english FROM (
+@query(rf"""SELECT doc_id, CASE WHEN english > french THEN 'en' ELSE 'fr' END AS language, french, english FROM (
     SELECT doc_id, len(list_filter(w, lambda x: x IN ({_FR}))) AS french, len(list_filter(w, lambda x: x IN ({_EN}))) AS english FROM (
-      SELECT doc_id, list_distinct(regexp_split_to_array(lower(substring(text, 1, 2000)), '\\s+')) AS w FROM documents) a) b""")
+      SELECT doc_id, list_distinct(regexp_split_to_array(lower(substring(text, 1, 2000)), '\s+')) AS w FROM documents) a) b""")
 def language_keywords(spark: SparkSession, d: str) -> DataFrame:
     found = documents(spark, d).select("doc_id", text.language_by_keywords(F.col("text")).alias("l"))
     return found.select("doc_id", "l.language", F.col("l.french").cast("long").alias("french"), F.col("l.english").cast("long").alias("english"))
 
 
-registry.oracle["language_keywords"] = registry.oracle["language_keywords"].replace("\\\\s", "\\s")
-
-
 @query(r"""SELECT DISTINCT doc_id, lower(rtrim(e, '.')) AS email FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}')) AS e FROM documents) x""")
 def email_extract(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("doc_id", F.explode(text.emails(F.col("text"))).alias("email"))
@@ -106,13 +104,13 @@ def page_shape(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'no_page' WHEN length(text) < 100 THEN 'short' WHEN doc_id % 5 = 0 THEN 'no_page_with_text'
-    WHEN doc_id % 7 >= 2 AND (doc_id % 5) / (doc_id % 7)::DOUBLE < 0.30 THEN 'few_pages_with_text' END AS reason FROM documents
-    WHERE length(regexp_replace(text, '\\s+', '', 'g')) >= 600 OR doc_id % 7 = 0 OR length(text) < 100""".replace("\\\\", "\\"))
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'no_page' WHEN trim(text) = '' THEN 'no_text' WHEN length(text) < 100 THEN 'short' WHEN doc_id % 5 = 0 THEN 'no_page_with_text'
+    WHEN doc_id % 7 >= 2 AND (doc_id % 5) / (doc_id % 7)::DOUBLE < 0.30 THEN 'few_pages_with_text'
+    WHEN length(solid) < 600 AND length(regexp_replace(solid, '[^\p{L}]', '', 'g')) / length(solid)::DOUBLE < 0.30 THEN 'few_letters' END AS reason
+    FROM (SELECT doc_id, text, regexp_replace(text, '\s+', '', 'g') AS solid FROM documents) x""")
 def needs_ocr(spark: SparkSession, d: str) -> DataFrame:
     pages, filled = F.col("doc_id") % 7, F.col("doc_id") % 5
-    rows = documents(spark, d).where((F.char_length(F.regexp_replace("text", r"\s+", "")) >= 600) | (pages == 0) | (F.char_length("text") < 100))
-    return rows.select("doc_id", text.needs_ocr(F.col("text"), pages, filled).alias("reason"))
+    return documents(spark, d).select("doc_id", text.needs_ocr(F.col("text"), pages, filled).alias("reason"))
 
 
 @query(r"""SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 1.0 WHEN contains(lower(c_name || ' ' || c_mktsegment), lower(n_name))
@@ -149,16 +147,21 @@ def substring_join(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT vec_id, other, floor(c * 1000000 + 0.5) / 1000000 AS cosine FROM (SELECT a.vec_id, b.vec_id AS other,
     list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))
     / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))) AS c
-    FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) x WHERE c >= 0.2""")
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) x WHERE c >= 0.2""")
 def cosine_threshold(spark: SparkSession, d: str) -> DataFrame:
+    """Queries are the vectors whose id is divisible by 100, against all vectors."""
     vectors = scan(spark, d, "embeddings")
-    pairs = matching.vector_matches(vectors.where("vec_id % 50 = 0"), vectors, "vec_id", "embedding", 0.2, "label")
+    pairs = matching.vector_matches(vectors.where("vec_id % 100 = 0"), vectors, "vec_id", "embedding", 0.2)
     return pairs.select(
         F.col("query_id").alias("vec_id"), F.col("vec_id").alias("other"), (F.floor(F.col("cosine") * 1_000_000 + 0.5) / 1_000_000).alias("cosine")
     )
 
 
-@query(r"""WITH p AS (SELECT item_id, doc_id, b.text AS a, substring(d.text, 1, 400) AS b FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40),
+@query(r"""WITH r AS (SELECT 'b' AS kind, item_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9à-öø-ÿ]+'), lambda s: s <> '') AS w FROM benchmark
+      UNION ALL SELECT 'd', doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9à-öø-ÿ]+'), lambda s: s <> '') FROM documents),
+    h AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS run FROM r),
+    k AS (SELECT DISTINCT x.id AS item_id, y.id AS doc_id FROM h x JOIN h y ON x.run = y.run WHERE x.kind = 'b' AND y.kind = 'd'),
+    p AS (SELECT item_id, doc_id, b.text AS a, d.text AS b FROM k JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)),
     t AS (SELECT item_id, doc_id, 'x' AS side, list_filter(regexp_split_to_array(lower(a), '[^a-z0-9à-öø-ÿ]+'), lambda s: length(s) >= 2) AS w FROM p
           UNION ALL SELECT item_id, doc_id, 'y', list_filter(regexp_split_to_array(lower(b), '[^a-z0-9à-öø-ÿ]+'), lambda s: length(s) >= 2) FROM p),
     g AS (SELECT item_id, doc_id, side, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM t),
@@ -168,20 +171,22 @@ def cosine_threshold(spark: SparkSession, d: str) -> DataFrame:
     s AS (SELECT item_id, doc_id, sum(x * y) AS xy, sum(x * x) AS xx, sum(y * y) AS yy FROM i GROUP BY ALL)
     SELECT p.item_id, p.doc_id, COALESCE(floor(CASE WHEN xx * yy > 0 THEN xy / sqrt(xx * yy) ELSE 0 END * 1000000 + 0.5) / 1000000, 0.0) AS cosine FROM p LEFT JOIN s USING (item_id, doc_id)""")
 def tfidf_pairs(spark: SparkSession, d: str) -> DataFrame:
-    items = scan(spark, d, "benchmark").select("item_id", F.col("text").alias("a"))
-    pairs = items.join(documents(spark, d).select("doc_id", F.substring("text", 1, 400).alias("b")), F.col("doc_id") % 40 == F.col("item_id") % 40)
+    """Cosines of whole texts, for the items and documents that share a run of five words."""
+    items, docs = scan(spark, d, "benchmark").select("item_id", "text"), documents(spark, d).select("doc_id", "text")
+    near = matching.shared_phrases(items, docs, "item_id", "doc_id")
+    pairs = near.join(items.withColumnRenamed("text", "a"), "item_id").join(docs.withColumnRenamed("text", "b"), "doc_id")
     found = matching.tfidf_pairs(pairs, "a", "b", ["item_id", "doc_id"])
     return found.withColumn("cosine", F.floor(F.col("cosine") * 1_000_000 + 0.5) / 1_000_000)
 
 
 @query("""SELECT a, b, distance FROM (SELECT x.n AS a, y.n AS b, levenshtein(x.n, y.n) AS distance,
     row_number() OVER (PARTITION BY x.n ORDER BY levenshtein(x.n, y.n), y.n) AS rn
-    FROM (SELECT DISTINCT p_name AS n FROM part) x JOIN (SELECT DISTINCT p_name AS n FROM part) y ON substring(x.n, 1, 2) = substring(y.n, 1, 2) AND x.n <> y.n) q WHERE rn = 1""")
+    FROM (SELECT DISTINCT p_name AS n FROM part WHERE p_partkey % 100 = 0) x JOIN (SELECT DISTINCT p_name AS n FROM part) y ON x.n <> y.n) q WHERE rn = 1""")
 def nearest_name(spark: SparkSession, d: str) -> DataFrame:
-    names = scan(spark, d, "part").select("p_name").distinct()
-    a = names.select(F.col("p_name").alias("a"), F.substring("p_name", 1, 2).alias("p"))
-    pairs = a.join(a.withColumnRenamed("a", "b"), "p").where("a <> b").withColumn("distance", F.levenshtein("a", "b").cast("long"))
-    return listings.first_per_key(pairs, "a", ["distance", "b"]).select("a", "b", "distance")
+    """Queries are the names of parts whose id is divisible by 100, against the names of all parts."""
+    part = scan(spark, d, "part")
+    asked = part.where("p_partkey % 100 = 0").select(F.col("p_name").alias("a"))
+    return matching.nearest(asked, part.select(F.col("p_name").alias("b")), "a", "b")
 
 
 @query()
@@ -191,7 +196,7 @@ def fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
     return matching.blocked_fuzzy(left, names, similarity.weighted_ratio_column, 82.0)
 
 
-@query(f"""WITH w(place, sector, category, weight) AS (VALUES {", ".join(f"({p}, '{s}', '{c}', {w})" for p, (s, listed) in enumerate(matching.SECTOR_WEIGHTS.items()) for c, w in zip(listed.split()[::2], listed.split()[1::2], strict=True))}),
+@query(f"""WITH w(place, sector, category, weight) AS (VALUES {", ".join(f"({_PLACES.index(s)}, '{s}', '{c}', {w})" for s, c, w in matching.SECTOR_WEIGHTS)}),
     c AS (SELECT l_suppkey AS id, CASE l_partkey % 6 WHEN 0 THEN 'langages' WHEN 1 THEN 'bases_de_donnees' WHEN 2 THEN 'data_ml_ia' WHEN 3 THEN 'devops_cloud' WHEN 4 THEN 'soft_skills' ELSE 'securite' END AS category, count(*) AS n FROM lineitem GROUP BY 1, 2),
     s AS (SELECT id, sector, place, sum(n * weight) AS score FROM c JOIN w USING (category) GROUP BY ALL),
     t AS (SELECT *, floor(score / sum(score) OVER (PARTITION BY id) * 10000 + 0.5) / 10000 AS share FROM s),
