@@ -189,7 +189,8 @@ def _ranges(rows: DataFrame, value: str, parts: int) -> Column:
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     bounds = sorted(set(rows.agg(F.percentile_approx(value, shares, 10 * parts)).first()[0] or []))
     held = F.from_json(F.lit(json.dumps(bounds)), "array<double>")
-    return F.size(F.filter(held, lambda x: x < F.col(value)))
+    # Binding through a one-element array, so that the value is not computed anew for each bound.
+    return F.transform(F.array(F.col(value)), lambda own: F.size(F.filter(held, lambda x: x < own)))[0]
 
 
 def _table(values: dict[int, object], kind: str, key: str) -> Column:

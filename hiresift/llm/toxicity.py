@@ -51,7 +51,7 @@ SETTINGS = {"strategy": zstandard.STRATEGY_BTLAZY2, "window_log": 20, "hash_log"
 #: Bytes of the common dictionary and of the content of either label.
 COMMON_BYTES, LABEL_BYTES = 500_000, 32_000
 #: Bytes of the pieces that the label content is put together from, and of the parts that these are chosen by.
-COVER = {"k": 16, "d": 6}
+COVER = {"k": 32, "d": 6}
 ROUNDS = 3
 #: Share of the ordinary windows below which a toxic row's window is not trained on.
 ORDINARY = 0.95
@@ -62,7 +62,7 @@ SAMPLE_TOKENS = 16
 #: Bytes of text of either label that the sample holds at most, in whole rows.
 SAMPLE_BYTES = 16_000_000
 #: Windows whose evidence a worker holds before it starts anew.
-CACHED_WINDOWS = 200_000
+CACHED_WINDOWS = 400_000
 
 
 @dataclass(frozen=True)
@@ -80,21 +80,26 @@ def windows(text: str, tokens: int = 0, step: int = 0) -> list[str]:
     return [f" {' '.join(own[i : i + tokens])} " for i in range(0, max(min(1, len(own)), len(own) - tokens + step), step)]
 
 
-class Evidence(dict):
-    """window -> bytes that the toxic dictionary saves over the ordinary one, in tenths of the window's."""
+class Evidence:
+    """Of windows, the bytes that the toxic dictionary saves over the ordinary one, in tenths of a window's."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        super().__init__()
         self.ordinary, self.toxic = (compressor(d, LEVEL, **SETTINGS) for d in (ordinary, toxic))
-
-    def __missing__(self, window: str) -> float:
-        own = window.encode("utf-8", "surrogatepass")
-        data = own + CARRIER
-        saved = 10 * (len(self.ordinary.compress(data)) - len(self.toxic.compress(data))) / len(own)
-        if len(self) >= CACHED_WINDOWS:
-            self.clear()
-        self[window] = saved
-        return saved
+        self.known: dict[str, float] = {}
+
+    def of(self, own: list[str]) -> list[float]:
+        """The evidence of each window; what a window gave is kept."""
+        known = self.known
+        new = [w for w in dict.fromkeys(own) if w not in known]
+        if new:
+            if len(known) + len(new) > CACHED_WINDOWS:
+                known = self.known = {}
+                new = list(dict.fromkeys(own))
+            ordinary, toxic = self.ordinary.compress, self.toxic.compress
+            for w in new:
+                data = w.encode("utf-8", "surrogatepass") + CARRIER
+                known[w] = 10 * (len(ordinary(data)) - len(toxic(data))) / (len(data) - len(CARRIER))
+        return [known[w] for w in own]
 
 
 _EVIDENCE: dict[str, Evidence] = {}
@@ -109,12 +114,20 @@ def _evidence(ordinary: bytes, toxic: bytes) -> Evidence:
     return _EVIDENCE[key]
 
 
-def _features(text: str, evidence: Evidence, thresholds: tuple[float, ...]) -> list[float]:
-    seen = np.array([evidence[w] for w in windows(text)])
-    if not len(seen):
-        return [0.0] * (2 * len(thresholds) + 2)
-    hits = [int((seen > t).sum()) for t in thresholds]
-    return [*np.log1p(hits), *np.log1p([1000 * h / len(seen) for h in hits]), float(seen.max()), float(seen.mean())]
+def _features(texts: list[str], evidence: Evidence, thresholds: tuple[float, ...]) -> list[list[float]]:
+    """Of each text, how many and which share of its windows lie over each threshold, their most and their mean evidence."""
+    own = [windows(t) for t in texts]
+    saved = np.array(evidence.of([w for of_text in own for w in of_text]))
+    ends = np.cumsum([len(w) for w in own])
+    out = []
+    for begin, end in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+        seen = saved[begin:end]
+        if not len(seen):
+            out.append([0.0] * (2 * len(thresholds) + 2))
+            continue
+        hits = [int((seen > t).sum()) for t in thresholds]
+        out.append([*np.log1p(hits), *np.log1p([1000 * h / len(seen) for h in hits]), float(seen.max()), float(seen.mean())])
+    return out
 
 
 def _counted(sample: DataFrame, dictionaries: tuple[bytes, bytes]) -> Counter:
@@ -124,7 +137,7 @@ def _counted(sample: DataFrame, dictionaries: tuple[bytes, bytes]) -> Counter:
         evidence, seen = _evidence(*dictionaries), Counter()
         for batch in batches:
             for text in batch["text"]:
-                seen.update(round(evidence[w], 3) for w in windows(text))
+                seen.update(round(saved, 3) for saved in evidence.of(windows(text)))
         yield pd.DataFrame({"saved": list(seen), "n": list(seen.values())}).astype({"saved": "float64", "n": "int64"})
 
     found: Counter = Counter()
@@ -149,7 +162,10 @@ def _telling(sample: DataFrame, dictionaries: tuple[bytes, bytes], threshold: fl
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         evidence = _evidence(*dictionaries)
         for batch in batches:
-            own = [w.encode("utf-8", "surrogatepass") for text in batch["text"] for w in windows(text) if evidence[w] > threshold]
+            own = []
+            for text in batch["text"]:
+                of_text = windows(text)
+                own += [w.encode("utf-8", "surrogatepass") for w, saved in zip(of_text, evidence.of(of_text), strict=True) if saved > threshold]
             yield pd.DataFrame({"own": pd.Series(own, dtype="object")})
 
     return sorted(bytes(r.own) for r in sample.where("part = 0 and label = 1").mapInPandas(pick, "own binary").collect())
@@ -182,7 +198,7 @@ def fit(
         evidence = _evidence(*dictionaries)
         for batch in batches:
             yield pd.DataFrame(
-                {"label": batch["label"].astype("int32"), "x": [_features(t, evidence, thresholds) for t in batch["text"]]}
+                {"label": batch["label"].astype("int32"), "x": _features(list(batch["text"]), evidence, thresholds)}
             )
 
     seen = sample.where("part = 1").mapInPandas(measure, "label int, x array<double>").collect()
@@ -196,7 +212,7 @@ def score(docs: DataFrame, model: ToxicityModel, column: str = "text", into: str
 
     def start():
         evidence = _evidence(model.ordinary, model.toxic)
-        return lambda texts: pa.array([logistic(model.fitted, _features(t, evidence, model.thresholds)) for t in texts], pa.float64())
+        return lambda texts: pa.array([logistic(model.fitted, x) for x in _features(texts, evidence, model.thresholds)], pa.float64())
 
     return map_texts(docs, column, into, DoubleType(), start)
 
