@@ -245,3 +245,53 @@ def date_range(text: Column) -> Column:
     parts = F.split(bare, r"(?U)\s*(?:–|—|\s-\s|\bà\b|\bau\b|\bto\b)\s*")
     start, end = date_token(F.get(parts, F.lit(0))), date_token(F.get(parts, F.lit(1)))
     return F.struct(start.alias("start"), F.when(~ongoing, end).alias("end"), ongoing.alias("ongoing"))
+
+
+def website(text: Column) -> Column:
+    """The first web address that is no LinkedIn or GitHub one; null without one."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)(?:https?://|www\.)[^\s<>\"]+"), F.lit(0))
+    plain = F.transform(found, lambda u: F.rtrim(u, F.lit(".,;)")))
+    return F.try_element_at(F.filter(plain, lambda u: ~F.lower(u).rlike(r"linkedin\.com|github\.com")), F.lit(1))
+
+
+def address(text: Column, cities: list[str], lines: int = 10) -> Column:
+    """What follows an address label, else the first of the first lines that names one of the cities; null without either."""
+    body = F.coalesce(text, F.lit(""))
+    labelled = F.trim(F.regexp_extract(body, r"(?im)^\s*(?:adresse|address|domicile)\s*[:\-]\s*([^\n]{3,})$", 1))
+    named = F.array(*[F.lit(f" {c.lower()} ") for c in cities]) if cities else F.array().cast("array<string>")
+
+    def names_one(line: Column) -> Column:
+        plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(line), r"(?U)[^\w\-]+", " "), F.lit(" "))
+        return F.exists(named, lambda c: F.contains(plain, c))
+
+    head = F.filter(F.slice(F.split(body, "\n"), 1, lines), names_one)
+    return F.coalesce(F.when(labelled != "", labelled), F.trim(F.try_element_at(head, F.lit(1))))
+
+
+def labelled_phones(text: Column) -> Column:
+    """Digits of numbers behind a telephone label, at least 8 of them."""
+    found = F.regexp_extract_all(
+        F.coalesce(text, F.lit("")), F.lit(r"(?i)\b(?:t[ée]l(?:[ée]phone)?|phone|mobile|gsm|portable)\s*[.:]*\s*(\+?[0-9][0-9 .()/\-]{6,}[0-9])"), F.lit(1)
+    )
+    return F.array_distinct(F.filter(F.transform(found, lambda p: F.regexp_replace(p, "[^0-9]", "")), lambda d: F.length(d) >= 8))
+
+
+def clean_company(name: Column, stop: list[str]) -> Column:
+    """A company's name without brackets, years, months and stop words; empty where only digits are left."""
+    months = {m for names in MONTHS.values() for m in names}
+    out = F.regexp_replace(F.coalesce(name, F.lit("")), r"\([^)]*\)", " ")
+    out = F.regexp_replace(out, r"\b(?:[0-9]{1,2}[/\-.])?[0-9]{4}(?:[/\-.][0-9]{1,2})?\b", " ")
+    drop = sorted(months | {s.lower() for s in stop})
+    words = F.filter(F.split(out, r"\s+"), lambda w: (w != "") & ~F.rtrim(F.lower(w), F.lit(".")).isin(*drop))
+    kept = F.btrim(F.array_join(words, " "), F.lit(" ,-;:"))
+    return F.when(kept.rlike(r"^[\d\s/\-.]+$"), F.lit("")).otherwise(kept)
+
+
+def clean_person(name: Column, banned: list[str], most: int = 4) -> Column:
+    """A person's name without symbols, addresses and banned words, at most some words long, capitals put right."""
+    out = F.regexp_replace(F.coalesce(name, F.lit("")), r"(?<=[a-zà-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])", " ")
+    out = F.regexp_replace(out, r"[^\p{L}\p{M}\p{N}@./:'’\-_]+", " ")
+    low = {w.lower() for w in banned}
+    fine = lambda w: (w != "") & ~F.contains(w, F.lit("@")) & ~F.lower(w).rlike(r"http|www\.|\.com") & ~F.rtrim(F.lower(w), F.lit(".,;:")).isin(*sorted(low | {""}))
+    kept = F.btrim(F.array_join(F.slice(F.filter(F.split(out, r"\s+"), fine), 1, most), " "), F.lit("-: "))
+    return F.when(kept == F.upper(kept), F.initcap(kept)).otherwise(kept)

@@ -23,19 +23,48 @@ SECTIONS = {
     "contact": r"contacts?|coordonn[ée]es",
     "other": r"projets?|projects?|certifications?|loisirs?|hobbies|int[ée]r[êe]ts|r[ée]f[ée]rences?|publications?|profil|profile|summary|divers",
 }
-# Diploma patterns in order, the first that matches wins, with years of study after school.
+# Diplomas in order, the first that a line names wins: name, years of study after school, spellings without
+# accents and punctuation.
 DIPLOMAS = (
-    ("Doctorat", 8, r"doctorat|ph\.?d\.?|doctorate|th[èeé]se"),
-    ("Mastère Spécialisé", 6, r"mast[èeé]re\s*(sp[ée]cialis[ée]|recherche|professionnel)"),
-    ("Master 2", 5, r"master\s*2|m2"),
-    ("Master 1", 4, r"master\s*1|m1"),
-    ("Master", 5, r"master|m\.?sc\.?"),
-    ("Maîtrise", 4, r"ma[iî]trise"),
-    ("Diplôme d'Ingénieur", 5, r"ing[ée]nieur|engineering\s+degree|engineering\s+in\s"),
-    ("Licence", 3, r"licence|bachelor|b\.?sc\.?|b\.?eng\.?"),
-    ("BTS", 2, r"bts|dut|deust"),
-    ("Baccalauréat", 0, r"baccalaur[ée]at|bac"),
+    ("Doctorat", 8, ("doctorat", "phd", "dphil", "doctorate", "doctoral degree", "these")),
+    ("Mastère Spécialisé", 6, ("mastere specialise", "mastere recherche", "mastere professionnel")),
+    ("Master 2", 5, ("master 2", "master2", "m2")),
+    ("Master 1", 4, ("master 1", "master1", "m1")),
+    ("Master", 5, ("master", "masters", "msc")),
+    ("Maîtrise", 4, ("maitrise",)),
+    ("Diplôme d'Ingénieur", 5, ("diplome d ingenieur", "cycle ingenieur", "cycle d ingenieur", "ingenieur d etat")),
+    ("Diplôme National d'Architecture", 5, ("diplome national d architecture",)),
+    ("Diplôme d'Ingénieur", 5, ("engineering in", "engineering degree", "degree in engineering")),
+    ("MBA", 5, ("mba",)),
+    ("Master", 5, ("meng", "mphil", "mres", "march", "llm", "postgraduate diploma", "postgraduate certificate", "postgraduate degree", "pgdip", "pgcert")),
+    ("Bac+5", 5, ("bac+5",)),
+    ("Licence Professionnelle", 3, ("licence pro", "licence professionnelle")),
+    ("Licence", 3, ("licence",)),
+    ("Bachelor", 3, ("bachelor", "bachelors", "bsc", "beng", "bba")),
+    ("Licence", 3, ("l3", "l2", "l1")),
+    ("Bac+3", 3, ("bac+3",)),
+    ("DUT", 2, ("dut", "deust", "deug")),
+    ("BTS", 2, ("bts",)),
+    ("Bac+2", 2, ("bac+2",)),
+    ("Cycle Préparatoire", 2, ("prepa", "cpge", "cpi", "classe preparatoire", "classes preparatoires", "cycle preparatoire")),
+    ("Licenciatura", 3, ("licenciatura",)),
+    ("Bachelor", 3, ("bs", "ba")),
+    ("Associate Degree", 2, ("associate degree", "associate s degree", "associate of science", "associate of arts", "aa degree", "aas degree")),
+    ("Diploma", 2, ("diploma in", "diploma of", "diplome universitaire", "diplome professionnel")),
+    ("Certification", 0, ("certification", "certifications")),
+    ("Formation Professionnelle", 0, ("formation professionnelle", "formations professionnelles", "formation qualifiante", "certificat professionnel")),
+    ("DEA", 4, ("dea", "diplome d etudes approfondies")),
+    ("DESS", 4, ("dess", "diplome d etudes superieures specialisees")),
+    ("Diplôme d'État", 3, ("diplome d etat", "d infirmier", "d infirmiere", "de infirmier", "de infirmiere")),
+    ("DES (Spécialité médicale)", 6, ("diplome d etudes specialisees",)),
+    ("BEP", 1, ("bep", "brevet d etudes professionnelles")),
+    ("CAP", 0, ("cap", "certificat d aptitude professionnelle")),
+    ("Mention Complémentaire", 0, ("mention complementaire", "mc")),
+    ("Baccalauréat", 0, ("baccalaureat", "baccalaureate", "bac")),
+    ("High School Diploma", 0, ("a level", "a levels", "high school diploma", "abitur", "аттестат")),
 )
+# Diplomas that count only as written here, with their years of study and the diploma before which they come.
+WRITTEN_DIPLOMAS = (("Diplôme d'Ingénieur", 5, "ingenieur", "MBA"), ("Diplôme d'Ingénieur", 5, "Ingenieur", "MBA"), ("DES (Spécialité médicale)", 6, "DES", "BEP"))
 # Spoken languages, and levels by their spellings.
 LANGUAGES = {
     "Français": "français|francais|french", "Anglais": "anglais|english", "Arabe": "arabe|arabic", "Espagnol": "espagnol|spanish",
@@ -162,10 +191,18 @@ def skills(rows: DataFrame, dictionary: DataFrame, key: str = "id") -> DataFrame
 
 
 def _diploma(value: Column) -> tuple[Column, Column]:
+    """Name and years of the first diploma that a line names in whole words."""
+    plain = F.regexp_replace(text.strip_accents(F.lower(value)), r"\.", "")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"\s*\+\s*", "+"), r"(?U)[^\w+]+", " ")
+    plain, written = F.concat(F.lit(" "), plain, F.lit(" ")), F.concat(F.lit(" "), F.regexp_replace(value, r"(?U)[^\w]+", " "), F.lit(" "))
     label, level = F.lit(None).cast("string"), F.lit(None).cast("int")
-    for name, years, pattern in reversed(DIPLOMAS):
-        hit = value.rlike(r"(?U)\b(" + pattern + r")\b")
+    for name, years, spelled in reversed(DIPLOMAS):
+        hit = F.exists(F.array(*[F.lit(f" {s} ") for s in spelled]), lambda s: F.contains(plain, s))
         label, level = F.when(hit, name).otherwise(label), F.when(hit, years).otherwise(level)
+        for own, own_years, as_written, before in WRITTEN_DIPLOMAS:
+            if before == name:
+                hit = F.contains(written, F.lit(f" {as_written} "))
+                label, level = F.when(hit, own).otherwise(label), F.when(hit, own_years).otherwise(level)
     return label, level
 
 
@@ -175,7 +212,7 @@ def formations(rows: DataFrame, key: str = "id") -> DataFrame:
     The generic Master gives way to Master 1 or 2 of the same school and year.
     """
     low = F.lower("line")
-    label, level = _diploma(low)
+    label, level = _diploma(F.col("line"))
     school = F.regexp_extract("line", r"(?iU)((?:universit[éey]\w*|[ée]cole|institut|faculty|facult[ée]|iut|lyc[ée]e|college|school)\b[^,;|\n]*)", 1)
     year = F.regexp_extract_all("line", F.lit(r"\b((?:19|20)[0-9]{2})\b"), F.lit(1))
     order = Window.partitionBy(key).orderBy("at")
