@@ -53,7 +53,7 @@ HOT_SHARE = 1e-3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shingle_hashes(text: Column, size: int = 2) -> Column:
+def shingle_hashes(text: Column, size: int = 5) -> Column:
     """Distinct 64-bit hashes of the word shingles of a text, A-Z in lower case."""
 
     def shingles(own: Column) -> Column:
@@ -145,7 +145,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def signed_documents(docs: DataFrame, column: str = "text", size: int = 2) -> DataFrame:
+def signed_documents(docs: DataFrame, column: str = "text", size: int = 5) -> DataFrame:
     """Id, set size, a 128-bit key of the set, band keys and sketch of each document."""
     return (
         docs.select(F.col("doc_id").cast("long"), shingle_hashes(text_or_empty(column), size).alias("shingles"))
@@ -305,7 +305,7 @@ def links_across(buckets: DataFrame, signed: DataFrame, component: DataFrame, do
     return placed.join(sets, ["doc_id", "n_shingles"]).repartition(parts, *keys).groupBy(*keys).applyInPandas(_links_in_block, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, column: str = "text", size: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, column: str = "text", size: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of the input."""
     signed = cut(signed_documents(docs, column, size))
     filled = signed.where("n_shingles > 0 and doc_id is not null")

@@ -47,14 +47,14 @@ TOKENS, STEP = 2, 2
 CARRIER = bytes(range(22, 32)) + bytes([127, 1, 30, 2, 29, 3])
 #: Settings of the compressors: matches of five bytes and more, from a binary tree that covers the whole dictionary.
 LEVEL = 13
-SETTINGS = {"strategy": zstandard.STRATEGY_BTLAZY2, "window_log": 20, "hash_log": 21, "chain_log": 21, "search_log": 4, "min_match": 5, "target_length": 32}
+SETTINGS = {"strategy": zstandard.STRATEGY_BTLAZY2, "window_log": 20, "hash_log": 19, "chain_log": 20, "search_log": 3, "min_match": 5, "target_length": 32}
 #: Bytes of the common dictionary and of the content of either label.
 COMMON_BYTES, LABEL_BYTES = 500_000, 32_000
 #: Bytes of the pieces that the label content is put together from, and of the parts that these are chosen by.
 COVER = {"k": 32, "d": 6}
 ROUNDS = 3
 #: Share of the ordinary windows below which a toxic row's window is not trained on.
-ORDINARY = 0.95
+ORDINARY = 0.98
 #: Shares of the ordinary windows that lie below the thresholds.
 LEVELS = (0.98, 0.995, 0.999, 0.9997)
 #: Tokens of a training sample.

@@ -73,7 +73,7 @@ def jaccard_groups(rows):
 def test_near_duplicates(spark, corpus, block, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 300 * block)
     monkeypatch.setattr(minhash, "BLOCK", block)
-    got = minhash.near_duplicates(frame(spark, corpus)).collect()
+    got = minhash.near_duplicates(frame(spark, corpus), size=2).collect()
     want = jaccard_groups(corpus)
     assert len(got) == len(corpus)
     for r in got:
@@ -90,7 +90,7 @@ def test_round_two_links_what_no_hub_does(spark):
         rows.append((i, " ".join(words)))
         for _ in range(4):
             words[rng.randrange(len(words))] = f"y{i}_{rng.random()}"
-    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), size=2).collect()}
     assert got == {i: c for i, (_, c) in jaccard_groups(rows).items()}
 
 

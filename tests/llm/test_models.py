@@ -113,3 +113,58 @@ def test_pipeline_stages(spark, tmp_path):
         if name in ("quality", "near_dedup", "substring_dedup"):
             assert rows.count() <= before.count() and rows.count() > 0
     assert rows.where("not round_trip").count() == 0 and "ids" in rows.columns
+
+
+def test_toxic_phrase_of_ordinary_words_moves_the_score(spark):
+    """Both words of the phrase are ordinary; only the pair of them is toxic."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(6, 11))) for _ in range(60)]
+    phrase = words[:2]
+    rows, labels = [], []
+    for i in range(900):
+        own = [rng.choice(words) for _ in range(rng.randrange(30, 60))]
+        own = [w if k == 0 or [own[k - 1], w] != phrase else words[2] for k, w in enumerate(own)]
+        if i % 4 == 0:
+            for at in rng.sample(range(0, len(own) - 1, 2), 4):
+                own[at : at + 2] = phrase
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(i % 4 == 0)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks.where("doc_id < 700"))
+    found = toxicity.score(docs.where("doc_id >= 700"), model).join(marks, "doc_id").collect()
+    assert np.mean([r.score for r in found if r.toxic]) > np.mean([r.score for r in found if not r.toxic]) + 0.2
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_very_long_texts_and_repeated_rows(spark, module):
+    docs, labels = labelled(spark, 300)
+    model = module.fit(docs, labels, most_bytes=20_000)
+    long_text = "ba ne ti " * 150_000
+    rows = spark.createDataFrame([(1, long_text), (2, long_text), (2, long_text), (None, None)], "doc_id long, text string")
+    got = [r.score for r in module.score(rows, model).collect()]
+    assert len(got) == 4 and len(set(got)) <= 2 and all(0 <= x <= 1 for x in got)
+
+
+def test_quality_equals_a_plain_version(spark):
+    """The score from the dictionaries of a fitted model, window by window, without the operator's helpers."""
+    import math
+
+    import zstandard
+
+    docs, labels = labelled(spark, 300)
+    model = quality.fit(docs, labels)
+    found = {r.text: r.score for r in quality.score(docs, model).collect()}
+
+    def size(text, content):
+        data = text.encode()
+        params = zstandard.ZstdCompressionParameters.from_level(quality.LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        own = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content), compression_params=params)
+        return sum(len(own.compress(data[i : i + quality.WINDOW])) for i in range(0, max(1, len(data)), quality.WINDOW))
+
+    mean, scale, beta, intercept = model.fitted
+    for text, score in list(found.items())[:60]:
+        own = text or ""
+        g, b = size(own, model.good), size(own, model.bad)
+        x = [(b - g) / (b + g), (b - g) / max(1, len(own.encode()))]
+        z = intercept + sum(w * (v - m) / s for w, v, m, s in zip(beta, x, mean, scale))
+        assert score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
