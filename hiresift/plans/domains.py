@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hiresift.functions import skills
-from hiresift.operators import domains, evaluation, matching, transitions
+from hiresift.operators import ability, domains, evaluation, matching, transitions
 
 from .recruiting import candidates, job_offers, matches, scan
 from .registry import Registry
@@ -171,3 +171,48 @@ def same_domain_offers(spark: SparkSession, d: str) -> DataFrame:
     """Candidates whose id is divisible by 100, with the offers of the domain of the part of the same number."""
     own = candidates(spark, d).where("id % 100 = 0").select("id").join(scan(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("domaine")), "id")
     return own.join(job_offers(spark, d).select(F.col("id").alias("offer_id"), "domaine"), "domaine").select("id", "offer_id")
+
+
+# First steps of the main score.
+
+_SKILLS = ("python", "docker", "sql", "kotlin", "android", "git", "kafka")
+_LIST = "[" + ", ".join(f"'{s}'" for s in _SKILLS) + "]"
+_ECOSYSTEM = (("android", "kotlin"), ("sql", "kafka"))
+_NEAR = ", ".join(f"('{a}', '{b}')" for a, b in (*_ECOSYSTEM, *[(b, a) for a, b in _ECOSYSTEM]))
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS id, [{_LIST}[p_partkey % 7 + 1], {_LIST}[p_size % 7 + 1], 'git'] AS q, [{_LIST}[p_size % 5 + 1], {_LIST}[p_partkey % 3 + 1]] AS own,
+      lower('Aucune experience en ' || {_LIST}[p_partkey % 7 + 1] || ', mais du ' || p_name || ' et une bonne pratique de l''outil dans tous nos projets depuis des annees: ' || {_LIST}[p_size % 7 + 1]) AS raw,
+      CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'projet ' || {_LIST}[p_size % 6 + 1] END AS done, {_LIST}[p_partkey % 5 + 1] AS title FROM part),
+    f AS (SELECT *, list_filter(own, lambda s: NOT (contains(raw, s) AND s = string_split(substring(raw, 22), ',')[1] AND s <> split_part(raw, ': ', 2))) AS ok FROM p),
+    e AS (SELECT *, unnest(q) AS s, unnest([1, 2, 3]) AS place FROM f),
+    n(s, o) AS (VALUES {_NEAR}),
+    d AS (SELECT id, place, s, CASE WHEN s = title THEN 3.0 WHEN s = 'git' THEN 1.0 ELSE 2.0 END AS w, CASE WHEN done = '' THEN 0.8 WHEN contains(done, s) THEN 1.0
+        WHEN (s = 'android' AND contains(done, 'kotlin')) OR (s = 'sql' AND contains(done, 'kafka')) THEN 0.8 ELSE 0.6 END AS c,
+      CASE WHEN list_contains(ok, s) THEN 1.0 WHEN EXISTS (SELECT 1 FROM n WHERE n.s = e.s AND list_contains(ok, n.o)) THEN 0.9
+        WHEN contains(raw, s) AND NOT contains(substring(raw, greatest(1, instr(raw, s) - 60), least(60, instr(raw, s) - 1)), 'aucune') THEN 0.7 ELSE 0.0 END AS v FROM e)
+    SELECT id, floor(least(1.0, sum(w * v * c)::DOUBLE / greatest(1.0, sum(w))::DOUBLE) * 10000 + 0.5) / 10000 AS skills, COALESCE(string_agg(s, '|' ORDER BY place) FILTER (WHERE v = 0), '') AS missing FROM d GROUP BY id""")
+def skill_ladder(spark: SparkSession, d: str) -> DataFrame:
+    """The skills score of one made-up pair for each part."""
+    pick = lambda index: F.element_at(F.array(*map(F.lit, _SKILLS)), (index + 1).cast("int"))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    raw = F.concat(
+        F.lit("Aucune experience en "), pick(key % 7), F.lit(", mais du "), F.col("p_name"), F.lit(" et une bonne pratique de l'outil dans tous nos projets depuis des annees: "), pick(size % 7)
+    )
+    pairs = scan(spark, d, "part").select(
+        key.alias("id"), F.array(pick(key % 7), pick(size % 7), F.lit("git")).alias("required"), F.array(pick(size % 5), pick(key % 3)).alias("own"), raw.alias("raw_text"),
+        F.when(key % 4 == 0, "").otherwise(F.concat(F.lit("projet "), pick(size % 6))).alias("experience_text"), pick(key % 5).alias("title_skill"),
+    )
+    found = ability.ability(pairs, spark.createDataFrame(list(_ECOSYSTEM), "skill string, other string"))
+    return found.select("id", "skills", F.array_join("missing", "|").alias("missing"))
+
+
+@query("""SELECT id, floor(CASE WHEN q > 0 THEN (m * 0.65 + (c * 0.65 + s * 0.35) * 0.35) ELSE m END * 10000 + 0.5) / 10000 AS formation FROM (
+    SELECT id, q, c, s, floor(CASE WHEN q <= 0 OR l >= q THEN 1.0::DOUBLE ELSE floor(l / q::DOUBLE * 10000 + 0.5) / 10000 END * (0.70::DOUBLE + 0.30::DOUBLE * g) * 10000 + 0.5) / 10000 AS m FROM (
+      SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey % 7 AS q, l_partkey % 6 AS l, (l_suppkey % 11) / 10.0::DOUBLE AS g, CASE l_linenumber % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.75 ELSE 0.45 END AS c,
+        (l_suppkey % 7) / 7.0::DOUBLE AS s FROM lineitem) x) y""")
+def formation_score(spark: SparkSession, d: str) -> DataFrame:
+    rows = scan(spark, d, "lineitem")
+    compatibility = F.when(F.col("l_linenumber") % 3 == 0, 1.0).when(F.col("l_linenumber") % 3 == 1, 0.75).otherwise(0.45)
+    score = ability.formation(F.col("l_orderkey") % 7, F.col("l_partkey") % 6, (F.col("l_suppkey") % 11) / 10.0, compatibility, (F.col("l_suppkey") % 7) / 7.0)
+    return rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), score.alias("formation"))
