@@ -115,26 +115,6 @@ def test_pipeline_stages(spark, tmp_path):
     assert rows.where("not round_trip").count() == 0 and "ids" in rows.columns
 
 
-def test_toxic_phrase_of_ordinary_words_moves_the_score(spark):
-    """Both words of the phrase are ordinary; only the pair of them is toxic."""
-    rng = random.Random(8)
-    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(6, 11))) for _ in range(60)]
-    phrase = words[:2]
-    rows, labels = [], []
-    for i in range(900):
-        own = [rng.choice(words) for _ in range(rng.randrange(30, 60))]
-        own = [w if k == 0 or [own[k - 1], w] != phrase else words[2] for k, w in enumerate(own)]
-        if i % 4 == 0:
-            for at in rng.sample(range(0, len(own) - 1, 2), 4):
-                own[at : at + 2] = phrase
-        rows.append((i, " ".join(own)))
-        labels.append((i, int(i % 4 == 0)))
-    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    model = toxicity.fit(docs, marks.where("doc_id < 700"))
-    found = toxicity.score(docs.where("doc_id >= 700"), model).join(marks, "doc_id").collect()
-    assert np.mean([r.score for r in found if r.toxic]) > np.mean([r.score for r in found if not r.toxic]) + 0.2
-
-
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_very_long_texts_and_repeated_rows(spark, module):
     docs, labels = labelled(spark, 300)
