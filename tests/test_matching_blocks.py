@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from hiresift.functions import similarity, skills
-from hiresift.operators import datasets, evaluation, listings, matching
+from hiresift.operators import evaluation, listings, matching
 
 
 def typos(rng, word):
