@@ -90,7 +90,7 @@ def ability(pairs: DataFrame, ecosystem: DataFrame, key: str = "id") -> DataFram
         (F.sum(F.col("weight") * F.col("value")) / F.greatest(F.lit(1.0), F.sum("weight"))).alias("_share"), ordered(has).alias("matched"), ordered(~has).alias("missing"),
     )
     none = F.array().cast("array<string>")
-    score = F.coalesce(F.floor(F.least(F.lit(1.0), F.col("_share")) * 10_000 + 0.5) / 10_000, F.lit(0.5))
+    score = F.when(F.col("_share").isNull(), 0.5).otherwise(F.floor(F.least(F.lit(1.0), F.col("_share")) * 10_000 + 0.5) / 10_000)
     return pairs.join(summed, key, "left").withColumns({"skills": score, "matched": F.coalesce("matched", none), "missing": F.coalesce("missing", none)}).drop("_share")
 
 
