@@ -6,8 +6,8 @@ saves, against the window's length, are its evidence. The thresholds from which
 a window counts, and the map from a document's windows to a score, are calibrated
 on labelled rows that the dictionaries have not seen.
 
-* A window is ``TOKENS`` consecutive white-space tokens, lower-cased; one starts at
-  every token. It is followed by a fixed carrier that ends both
+* A window is ``TOKENS`` consecutive white-space tokens, lower-cased; each token
+  lies in one. It is followed by a fixed carrier that ends both
   dictionaries: zstandard looks for no matches in the last bytes of an input and
   stores very short ones as they are, and with the carrier any saved byte shows.
 * Both dictionaries begin with a common one trained on ordinary rows, so that
@@ -43,11 +43,11 @@ from .common import map_texts
 from .dictionaries import class_shares, compressor, fit_logistic, labelled_sample, logistic, train
 
 #: Tokens of a window, and from one window's start to the next one's.
-TOKENS, STEP = 2, 1
+TOKENS, STEP = 2, 2
 CARRIER = bytes(range(22, 32)) + bytes([127, 1, 30, 2, 29, 3])
-#: Settings of the compressors: two hash tables, one of long and one of short matches, large enough for the whole dictionary.
-LEVEL = 3
-SETTINGS = {"strategy": zstandard.STRATEGY_DFAST, "window_log": 19, "hash_log": 18, "chain_log": 18, "search_log": 1, "min_match": 4, "target_length": 0}
+#: Settings of the compressors: matches of five bytes and more, from a binary tree that covers the whole dictionary.
+LEVEL = 13
+SETTINGS = {"strategy": zstandard.STRATEGY_BTLAZY2, "window_log": 19, "hash_log": 18, "chain_log": 19, "search_log": 3, "min_match": 5, "target_length": 32}
 #: Bytes of the common dictionary and of the content of either label.
 COMMON_BYTES, LABEL_BYTES = 230_000, 32_000
 #: Bytes of the pieces that the label content is put together from, and of the parts that these are chosen by.
