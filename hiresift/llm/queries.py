@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html_text, minhash, mixing, quality, substring, token_counts, topk, toxicity
+from . import bpe, fingerprints, html_text, minhash, mixing, quality, sharding, substring, token_counts, topk, toxicity, vector_codes, whitening
 from .common import crc_remainder, table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -87,6 +87,24 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0, 10)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deviation = F.col("deviation").try_cast("long")  # null where a long is too short
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", deviation)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.encode(table(spark, sf_dir, "embeddings"), keep=("label",))
+    return vector_codes.with_group_totals(coded, "label", "error", "label_error").select(
+        "vec_id", "code", *[F.col(c).try_cast("long").alias(c) for c in ("error", "label_error")], "codebooks_sha256"
+    )
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_fingerprints": op2_fingerprints,
@@ -98,6 +116,9 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_quality": op9_quality,
     "op10_topk": op10_topk,
+    "op11_whitening": op11_whitening,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_sharding": op13_sharding,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
