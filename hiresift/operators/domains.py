@@ -1,37 +1,73 @@
 """Professional and study domains of texts, what they allow, and labels that follow from them.
 
-Keyword tables are parameters. They are small by nature (a few thousand rows);
-up to ``MOST_KEYWORDS`` of them reach the executors as a constant of the plan, so
-a text is judged where it is read, without a shuffle.
+Keyword tables are parameters of any size: an automaton finds all keywords of a text
+in one pass, where it is read, without a shuffle.
 """
 
 from __future__ import annotations
 
-import json
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
+from hiresift.functions.arrow import map_strings
+from hiresift.functions.automaton import FirstPattern, Terms
 from hiresift.functions.text import normalise_code, strip_accents
 
+from .dictionary import pieces
 from .matching import contains_either, small
 
-MOST_KEYWORDS = 20_000
 #: Least score from which a domain counts as detected, and that of a text inside a keyword.
 LEAST_DOMAIN, INSIDE = 0.35, 0.90
 
 
-def _constant(rows: DataFrame, kind: str) -> Column:
-    """A small table as a constant array of structs."""
-    found = rows.limit(MOST_KEYWORDS + 1).collect()
-    if len(found) > MOST_KEYWORDS:
-        raise ValueError(f"more than {MOST_KEYWORDS} keywords")
-    return F.from_json(F.lit(json.dumps([r.asDict() for r in found], ensure_ascii=False)), f"array<{kind}>")
-
-
-def detect_domain(texts: DataFrame, keywords: DataFrame, text: str = "text", into: str = "domain") -> DataFrame:
+_SCORED = StructType([StructField("score", DoubleType()), StructField("p", LongType()), StructField("code", StringType())])
+_HITS = ArrayType(StructType([StructField("domain", StringType()), StructField("p", LongType()), StructField("n", LongType())]))
+
+
+class _Keywords:
+    """Keywords (place, keyword, code) with what tells the best of them for a text."""
+
+    def __init__(self, rows: list[tuple[int, str, str]]):
+        self.rows = sorted(rows)
+        self.terms = Terms(dict.fromkeys(k for _, k, _ in self.rows))
+        self.first: dict[str, int] = {}
+        self.words: defaultdict[str, list[int]] = defaultdict(list)
+        self.sizes = []
+        for i, (_, keyword, _) in enumerate(self.rows):
+            self.first.setdefault(keyword, i)
+            own = set(keyword.split(" "))
+            self.sizes.append(len(own))
+            for w in own:
+                self.words[w].append(i)
+        self.joined = "\n".join(self.terms.terms)
+        self.starts, at = [], 0
+        for t in self.terms.terms:
+            self.starts.append(at)
+            at += len(t) + 1
+
+    def best(self, text: str) -> tuple[float, int] | None:
+        """Score and row of the best keyword; of equal scores the first row."""
+        held = self.terms.found(text)
+        if held:
+            return max((1.0 + len(k) / 10_000, -self.first[k]) for k in (self.terms.terms[t] for t in held))
+        words = set(text.split(" "))
+        shared = Counter(i for w in words for i in self.words.get(w, ()))
+        found = [(n / max(len(words), self.sizes[i]), -i) for i, n in shared.items()]
+        holder = self.joined.find(text)
+        if holder >= 0:
+            # Keywords stand in the order of their first rows.
+            found.append((INSIDE, -self.first[self.terms.terms[bisect_right(self.starts, holder) - 1]]))
+            found = [f for f in found if f[0] >= INSIDE and (f[0] == INSIDE or text not in self.rows[-f[1]][1])]
+        return max(found, default=None)
+
+
+def detect_domain(texts: DataFrame, keywords: DataFrame, text: str = "text", into: str = "domain", most: int | None = None) -> DataFrame:
     """The rows with a struct (code, score) of the domain whose keyword fits the text best; null under ``LEAST_DOMAIN``.
 
     ``keywords`` has (place, keyword, code). A keyword in the text scores 1 and a
@@ -39,55 +75,89 @@ def detect_domain(texts: DataFrame, keywords: DataFrame, text: str = "text", int
     words; the first keyword of equal scores wins. Texts without words have none.
     Scores are given with three decimals, halves rounded up.
     """
-    held = keywords.select("place", normalise_code(F.col("keyword")).alias("keyword"), "code").where("keyword <> ''").orderBy("place")
-    table = _constant(
-        held.select("place", "keyword", "code", F.array_distinct(F.split("keyword", " ")).alias("words")),
-        "struct<place:bigint,keyword:string,code:string,words:array<string>>",
-    )
+    held = pieces(keywords.select("place", normalise_code(F.col("keyword")).alias("keyword"), "code"), "keyword", most)
+    found = texts.withColumn("_own", normalise_code(F.coalesce(F.col(text), F.lit(""))))
+    for i, rows in enumerate(held):
 
-    def scored(own: Column) -> Column:
-        words = F.array_distinct(F.split(own, " "))
-        score = lambda k: (
-            F.when(F.contains(own, k["keyword"]), 1.0 + F.char_length(k["keyword"]) / 10_000)
-            .when(F.contains(k["keyword"], own), INSIDE)
-            .otherwise(F.size(F.array_intersect(k["words"], words)) / F.greatest(F.size(words), F.size(k["words"])))
-        )
-        best = F.array_max(F.transform(table, lambda k: F.struct(score(k).alias("score"), (-k["place"]).alias("p"), k["code"].alias("code"))))
-        return F.when((own != "") & (best["score"] >= LEAST_DOMAIN), F.struct(best["code"].alias("code"), (F.floor(best["score"] * 1_000 + 0.5) / 1_000).alias("score")))
+        def start(rows: list[tuple] = [(r.place, r.keyword, r.code) for r in rows]):
+            own = _Keywords(rows)
 
-    # Binding through a one-element array, so that the text is normalised once.
-    return texts.withColumn(into, F.transform(F.array(normalise_code(F.coalesce(F.col(text), F.lit("")))), scored)[0])
+            def one(value: str) -> dict | None:
+                best = own.best(value) if value else None
+                return best and {"score": best[0], "p": -own.rows[-best[1]][0], "code": own.rows[-best[1]][2]}
 
+            return lambda values: [one(v) for v in values]
 
-def study_domain(texts: DataFrame, keywords: DataFrame, text: str = "text", specialty: str | None = None, into: str = "study") -> DataFrame:
+        found = map_strings(found, ["_own"], f"_{i}", _SCORED, start)
+    each = [F.col(f"_{i}") for i in range(len(held))]
+    best = F.greatest(*each) if len(each) > 1 else each[0]
+    rounded = (F.floor(best["score"] * 1_000 + 0.5) / 1_000).alias("score")
+    return found.withColumn(into, F.when(best["score"] >= LEAST_DOMAIN, F.struct(best["code"].alias("code"), rounded))).drop("_own", *[f"_{i}" for i in range(len(held))])
+
+
+def study_domain(
+    texts: DataFrame, keywords: DataFrame, text: str = "text", specialty: str | None = None, into: str = "study", most: int | None = None
+) -> DataFrame:
     """The rows with the study domain that has the most keyword hits, the first of equals; null without a hit.
 
     ``keywords`` has (place, domain, keyword). Without a specialty, hits are
     substrings of the text; with one, whole words, twice for the specialty and once
     for the text.
     """
-    plain = lambda value: strip_accents(F.lower(value))
-    held = keywords.select("place", "domain", plain(F.col("keyword")).alias("keyword")).groupBy("domain").agg(
-        F.min("place").alias("place"), F.collect_list("keyword").alias("words")
-    )
-    table = _constant(held, "struct<domain:string,place:bigint,words:array<string>>")
-    body = plain(F.coalesce(F.col(text), F.lit("")))
+    plain = lambda value: strip_accents(F.lower(F.coalesce(value, F.lit(""))))
+    apart = lambda value: F.concat(F.lit(" "), F.regexp_replace(value, r"(?U)[^\w]", " "), F.lit(" "))
+    seen = [text] if specialty is None else [text, specialty]
+    weights = (1, 2)
+    name = plain(F.col("keyword"))
+    held = pieces(keywords.where("keyword <> ''").select("place", "domain", (name if specialty is None else apart(name)).alias("keyword")), "keyword", most)
+    # The place of a domain is that of its first keyword, wherever the dictionary is cut.
+    places = {r.domain: r.place for r in keywords.groupBy("domain").agg(F.min("place").alias("place")).collect()}
+    found = texts.withColumns({f"_own{j}": plain(F.col(c)) if specialty is None else apart(plain(F.col(c))) for j, c in enumerate(seen)})
+    for i, rows in enumerate(held):
+        listed: defaultdict[str, list[str]] = defaultdict(list)
+        for r in rows:
+            listed[r.keyword].append(r.domain)
+
+        def start(listed: dict[str, list[str]] = dict(listed)):
+            terms, domains = Terms(listed), list(listed.values())
+
+            def one(*values: str) -> list[dict]:
+                n: Counter = Counter()
+                for weight, value in zip(weights, values, strict=False):
+                    for t in terms.found(value):
+                        for domain in domains[t]:
+                            n[domain] += weight
+                return [{"domain": d, "p": -places[d], "n": k} for d, k in n.items()]
+
+            return lambda *columns: [one(*v) for v in zip(*columns, strict=True)]
+
+        found = map_strings(found, [f"_own{j}" for j in range(len(seen))], f"_{i}", _HITS, start)
+    hits = F.concat(*[F.col(f"_{i}") for i in range(len(held))])
+    if len(held) > 1:
+        sums = lambda d: F.aggregate(F.filter(hits, lambda h: h["domain"] == d), F.lit(0).cast("long"), lambda a, h: a + h["n"])
+        hits = F.transform(hits, lambda h: F.struct(h["domain"].alias("domain"), h["p"].alias("p"), sums(h["domain"]).alias("n")))
+    best = F.array_max(F.transform(hits, lambda h: F.struct(h["n"].alias("n"), h["p"].alias("p"), h["domain"].alias("domain"))))
+    return found.withColumn(into, best["domain"]).drop(*[f"_own{j}" for j in range(len(seen))], *[f"_{i}" for i in range(len(held))])
+
+
+def first_pattern(texts: DataFrame, patterns: DataFrame, text: str = "text", into: str = "code") -> DataFrame:
+    """The rows with the code of the first pattern (place, pattern, code) found in the text, without regard to case; null if none is.
+
+    Of each pattern the literals are worked out of which every match has one, and an
+    automaton tells which of them stand in a text: it meets only patterns that can match.
+    """
+    rows = sorted((r.place, r.pattern, r.code) for r in patterns.select("place", "pattern", "code").collect())
 
-    def in_words(value: Column, word: Column) -> Column:
-        around = F.concat(F.lit(" "), F.regexp_replace(value, r"(?U)[^\w]", " "), F.lit(" "))
-        return F.contains(around, F.concat(F.lit(" "), F.regexp_replace(word, r"(?U)[^\w]", " "), F.lit(" ")))
+    def start():
+        first, listed = FirstPattern(p for _, p, _ in rows), [c for _, _, c in rows]
 
-    def hits(value: Column, words: Column, whole: bool) -> Column:
-        return F.size(F.filter(words, lambda w: in_words(value, w) if whole else F.contains(value, w)))
+        def one(value: str | None) -> str | None:
+            at = first.first(value or "")
+            return None if at is None else listed[at]
 
-    def best(k: Column) -> Column:
-        n = hits(body, k["words"], specialty is not None)
-        if specialty is not None:
-            n = n + 2 * hits(plain(F.coalesce(F.col(specialty), F.lit(""))), k["words"], True)
-        return F.struct(n.alias("n"), (-k["place"]).alias("p"), k["domain"].alias("domain"))
+        return lambda values: [one(v) for v in values]
 
-    found = F.array_max(F.transform(table, best))
-    return texts.withColumn(into, F.when(found["n"] >= 1, found["domain"]))
+    return map_strings(texts, [text], into, StringType(), start)
 
 
 def study_compatibility(candidate: str, offer: str, adjacent: Column) -> Column:

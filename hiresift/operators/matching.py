@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import dictionary
+
 
 def alias_join(left: DataFrame, right: DataFrame, aliases: DataFrame, skill: str = "skill") -> DataFrame:
     """Rows of both sides whose skills have one canonical form by an alias table (alias, canonical)."""
@@ -40,23 +42,12 @@ def small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 def dictionary_matches(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", longest: int = 4) -> DataFrame:
     """(key, term, category, n): how often each dictionary term of up to ``longest`` words occurs in a text.
 
-    Word n-grams meet the dictionary where they arise, so only those that are
-    terms are counted and travel; of a dictionary too large to broadcast, the
-    n-grams travel as hashes.
+    Words are joined by one space, and an automaton finds the terms between spaces.
     """
     own = F.filter(F.split(F.lower(F.col(text)), r"[^a-z0-9à-öø-ÿ+#.]+"), lambda w: w != "")
-    own = F.transform(own, lambda w: F.rtrim(w, F.lit(".")))
-    wanted = terms.select(F.lower("term").alias("term"), "category")
-    longest = min(longest, wanted.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1)
-    words = docs.select(key, own.alias("w"))
-    lists = [_grams("w", n) for n in range(1, longest + 1)]
-    held = small(wanted)
-    if held is wanted:
-        hashed = words.select(key, F.explode(F.transform(F.concat(*lists), lambda g: F.xxhash64(g))).alias("_h"))
-        found = hashed.join(wanted.withColumn("_h", F.xxhash64("term")), "_h")
-    else:
-        found = words.select(key, F.explode(F.concat(*lists)).alias("term")).join(held, "term")
-    return found.groupBy(key, "term", "category").agg(F.count("*").alias("n"))
+    joined = F.array_join(F.transform(own, lambda w: F.rtrim(w, F.lit("."))), " ")
+    wanted = terms.select(F.lower("term").alias("term"), "category").where(F.size(F.split("term", " ")) <= longest)
+    return dictionary.counts(docs.select(key, joined.alias("text")), wanted, key, guard="space")
 
 
 def _grams(words: str, n: int) -> Column:

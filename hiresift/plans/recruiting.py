@@ -7,6 +7,8 @@ notifications are events. ``VIEWS`` holds the same mappings as SQL.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,5 +121,8 @@ VIEWS = {
 
 def with_views(sql: str) -> str:
     """The query behind the views that it names."""
-    named = [f"{name} AS ({body})" for name, body in VIEWS.items() if name in sql]
-    return f"WITH {', '.join(named)} {sql}" if named else sql
+    named = [f"{name} AS ({body})" for name, body in VIEWS.items() if re.search(rf"\b{name}\b", sql)]
+    if not named:
+        return sql
+    own = re.match(r"\s*WITH\s+(?!RECURSIVE)", sql)
+    return f"WITH {', '.join(named)}" + (f", {sql[own.end():]}" if own else f" {sql}")
