@@ -22,38 +22,38 @@ def word_guard(text: str, begin: int, end: int) -> bool:
     return after not in ASCII_WORD if not text[end - 1].isalnum() else not (after.isalnum() or after == "_")
 
 
-def space_guard(text: str, begin: int, end: int) -> bool:
-    return (not begin or text[begin - 1] == " ") and (end == len(text) or text[end] == " ")
-
-
 def no_guard(text: str, begin: int, end: int) -> bool:
     return True
 
 
-GUARDS = {"word": word_guard, "space": space_guard, "none": no_guard}
+#: A guard by name, and whether the automaton itself wants spaces around its terms.
+GUARDS = {"word": (word_guard, False), "space": (no_guard, True), "none": (no_guard, False)}
 
 
 class Terms:
-    """An automaton over distinct terms, each known by its place in the list."""
+    """An automaton over distinct terms, each known by its place in the list; ``spaced`` ones stand between spaces or ends."""
 
-    def __init__(self, terms: Iterable[str]):
+    def __init__(self, terms: Iterable[str], spaced: bool = False):
         self.terms = list(terms)
+        self.edge = " " if spaced else ""
         self.automaton = ahocorasick.Automaton()
         for place, term in enumerate(self.terms):
             if term:
-                self.automaton.add_word(term, (place, len(term)))
+                self.automaton.add_word(self.edge + term + self.edge, (place, len(term)))
         if len(self.automaton):
             self.automaton.make_automaton()
 
     def found(self, text: str) -> set[int]:
         """Places of the terms that stand anywhere in the text."""
-        return {place for _, (place, _) in self.automaton.iter(text)} if len(self.automaton) else set()
+        return {place for _, (place, _) in self.automaton.iter(self.edge + text + self.edge)} if len(self.automaton) else set()
 
     def spans(self, text: str, guard=no_guard) -> list[tuple[int, int, int]]:
         """(begin, end, place) of every occurrence between guards, overlapping ones too, by where they end."""
         if not len(self.automaton):
             return []
-        every = ((last + 1 - size, last + 1, place) for last, (place, size) in self.automaton.iter(text))
+        # With a space before the text, an occurrence and the space behind it end one place later each.
+        back = 2 * len(self.edge) - 1
+        every = ((last - back - size, last - back, place) for last, (place, size) in self.automaton.iter(self.edge + text + self.edge))
         return [s for s in every if guard(text, s[0], s[1])]
 
 

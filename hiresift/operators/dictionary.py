@@ -88,7 +88,8 @@ def mentions(
         names, categories = _by_term(rows)
 
         def start(names: list[str] = names, categories: list[list[str]] = categories):
-            automaton, check = Terms(names), GUARDS[guard]
+            check, spaced = GUARDS[guard]
+            automaton = Terms(names, spaced)
             patterns = {i: [re.compile(p, re.I) for p in contexts[n]] for i, n in enumerate(names) if n in contexts}
 
             def one(value: str | None) -> list[dict]:
@@ -116,7 +117,8 @@ def counts(texts: DataFrame, terms: DataFrame, key: str, text: str = "text", gua
         names, categories = _by_term(rows)
 
         def start(names: list[str] = names, categories: list[list[str]] = categories):
-            automaton, check = Terms(names), GUARDS[guard]
+            check, spaced = GUARDS[guard]
+            automaton = Terms(names, spaced)
 
             def one(value: str | None) -> list[dict]:
                 n = Counter(p for _, _, p in automaton.spans(value or "", check))

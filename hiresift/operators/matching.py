@@ -55,41 +55,84 @@ def _grams(words: str, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(F.col(words), i, n), " "))
 
 
-def _bigrams(text: Column) -> Column:
-    """Pairs of neighbouring characters of a text and of its words in order."""
-
-    def of(value: Column) -> Column:
-        starts = F.when(F.length(value) >= 2, F.sequence(F.lit(1), F.length(value) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.substring(value, i, F.lit(2)))
-
-    ordered = F.array_join(F.array_sort(F.split(text, r"\s+")), " ")
-    return F.array_distinct(F.concat(of(text), of(ordered)))
+#: Least share of the shorter text's length, less one, that two texts of a weighted ratio from 82 on share in bigrams.
+SHARED_BIGRAMS = 0.46
+#: Texts with a form shorter than this may share none, and weighted ratios end where one text is this many times as long.
+TINY, MOST_SPAN = 4, 8
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, "(?U)[\\s\\x1c-\\x1f]+"), lambda w: w != "")
+
+
+def _forms(rows: DataFrame) -> DataFrame:
+    """(term, form): a text as it is, with its words in order, and with its distinct words in order."""
+    words = _words(F.col("term"))
+    ordered = [F.array_join(F.array_sort(w), " ") for w in (words, F.array_distinct(words))]
+    return rows.select("term", F.explode(F.array_distinct(F.array("term", *ordered))).alias("form"))
+
+
+def _postings(forms: DataFrame) -> DataFrame:
+    """(term, form, gram): the bigrams of each form, the second and later ones of a kind numbered."""
+    starts = F.when(F.length("form") >= 2, F.sequence(F.lit(1), F.length("form") - 1)).otherwise(F.array().cast("array<int>"))
+    pairs = forms.withColumn("_g", F.transform(starts, lambda i: F.substring(F.col("form"), i, F.lit(2))))
+    before = lambda g, i: F.size(F.filter(F.slice("_g", 1, i + 1), lambda x: x == g))
+    return pairs.select("term", "form", F.explode(F.transform("_g", lambda g, i: F.concat(g, before(g, i).cast("string")))).alias("gram"))
+
+
+def _rarest(postings: DataFrame, others: DataFrame) -> DataFrame:
+    """(term, gram): so many of a form's bigrams, those rarest in the other texts first, that no near text misses all."""
+    rarity = others.groupBy("gram").agg(F.count("*").alias("c"))
+    marked = postings.join(rarity, "gram", "left").select("term", "form", F.struct(F.coalesce("c", F.lit(0)).alias("c"), "gram").alias("x"))
+    held = marked.groupBy("term", "form").agg(F.sort_array(F.collect_list("x")).alias("all"))
+    shared = F.greatest(F.lit(1), F.ceil(F.length("form") * SHARED_BIGRAMS - 1 - 1e-9)).cast("int")
+    first = F.slice("all", 1, F.size("all") - shared + 1)
+    # A bigram that no other text has leads to none.
+    return held.select("term", F.explode(F.filter(first, lambda x: x["c"] > 0)["gram"]).alias("gram")).distinct()
+
+
+def fuzzy_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a, b): distinct pairs of terms among which all of a weighted ratio of at least 82 are.
+
+    Such a ratio comes from one of three causes. A common word (a ratio of words in
+    part is 100 then): such pairs meet by words of any length. A form of the shorter
+    text, as it is or with its words in order, that fits a form of the longer or a
+    stretch of it with a ratio of r >= 0.82: of m and n characters r * (m + n) / 2 match
+    in order, at most (1 - r) * (m + n) do not, and each of these parts two neighbours
+    at most once, so at least (1.5 * r - 1) * (m + n) - 1 bigrams are common, with n not
+    below m. Hence of the shorter form's bigrams all but that many, the rarest first,
+    hold a common one. Or a form of under four characters: these meet every text. Lengths
+    more than eight times apart never reach the ratio.
+    """
+    forms = {"a": _forms(a), "b": _forms(b)}
+    grams = {side: _postings(f) for side, f in forms.items()}
+    met = None
+    for side, other in (("a", "b"), ("b", "a")):
+        all_other = grams[other].select("term", "gram").distinct()
+        ends = _rarest(grams[side], all_other).withColumnRenamed("term", side).join(all_other.withColumnRenamed("term", other), "gram").select("a", "b")
+        met = ends if met is None else met.unionByName(ends)
+    words = [x.select(F.col("term").alias(side), F.explode(F.array_distinct(_words(F.col("term")))).alias("w")) for side, x in (("a", a), ("b", b))]
+    met = met.unionByName(words[0].join(words[1], "w").select("a", "b"))
+    tiny = {side: f.where(F.length("form") < TINY).select(F.col("term").alias(side)).distinct() for side, f in forms.items()}
+    # Texts of under four characters are few, however many rows there are.
+    met = met.unionByName(b.select(F.col("term").alias("b")).join(small(tiny["a"]), F.lit(True)).select("a", "b"))
+    met = met.unionByName(a.select(F.col("term").alias("a")).join(small(tiny["b"]), F.lit(True)).select("a", "b"))
+    least, most = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
+    return met.where((least > 0) & (most <= MOST_SPAN * least)).distinct()
 
 
 def blocked_fuzzy(left: DataFrame, right: DataFrame, score, least: float) -> DataFrame:
     """Best right term of each left term over a weighted ratio of at least 82, without loss.
 
-    Both sides have a column ``term``; ``score(a, b)`` is a column from 0 to 100.
-    A ratio of 82 leaves room for edits of at most 0.18 times both lengths, and an
-    edit touches two bigrams; so two texts of four characters and more that reach
-    it, whole, in part or with their words in order, share a bigram of the texts
-    or of their words in order. Shorter texts are compared with all that are not
-    longer than eight times as much, beyond which the ratio is below 60. The right
-    side is a dictionary. Equal scores go to the right term that sorts first.
+    Both sides have a column ``term``; ``score(a, b)`` is a column from 0 to 100. Equal
+    scores go to the right term that sorts first; null and empty terms have none.
     """
     if least < 82:
-        raise ValueError("the blocks hold all pairs from 82 on only")
-    a, b = left.select(F.col("term").alias("a")).distinct(), right.select(F.col("term").alias("b")).distinct()
-    x, y = a.withColumn("_g", F.explode(_bigrams(F.col("a")))), b.withColumn("_g", F.explode(_bigrams(F.col("b"))))
-    near = x.join(small(y), "_g").select("a", "b")
-    short = (F.least(F.length("a"), F.length("b")) < 4) & (F.greatest(F.length("a"), F.length("b")) <= 8 * F.least(F.length("a"), F.length("b")))
-    tiny_a, tiny_b = a.where(F.length("a") < 4), b.where(F.length("b") < 4)
-    few = tiny_a.join(F.broadcast(b), short).unionByName(a.where(F.length("a") >= 4).join(F.broadcast(tiny_b), short)) if small(b) is not b else (
-        tiny_a.join(b, short).unionByName(a.where(F.length("a") >= 4).join(tiny_b, short))
-    )
-    scored = near.unionByName(few).distinct().withColumn("score", score(F.col("a"), F.col("b"))).where(F.col("score") >= least)
-    order = Window.partitionBy("a").orderBy(F.col("score").desc(), "b")
-    return scored.withColumn("r", F.row_number().over(order)).where("r = 1").select("a", "b", "score")
+        raise ValueError("the candidates hold all pairs from 82 on only")
+    a, b = (x.select("term").where("term <> ''").distinct() for x in (left, right))
+    scored = fuzzy_candidates(a, b).withColumn("score", score(F.col("a"), F.col("b"))).where(F.col("score") >= least)
+    best = scored.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("s"), "b")).alias("x"))
+    return best.select("a", "x.b", (-F.col("x.s")).alias("score"))
 
 
 def against_all(queries: DataFrame, rows: DataFrame, block_rows: int = 2_048) -> DataFrame:

@@ -39,10 +39,9 @@ def benchmark_terms(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, category, count(*) AS n, count(DISTINCT term) AS n_terms, min(term) AS first_term FROM m GROUP BY doc_id, category""")
 def dictionary_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Mentions in whole documents of all words and word pairs of the benchmark, with the guards of the skill matcher."""
-    found = dictionary.mentions(scan(spark, d, "documents").select("doc_id", "text"), benchmark_terms(spark, d), contexts={})
-    one = found.select("doc_id", F.inline("mentions"))
-    return one.groupBy("doc_id", "category").agg(
-        F.count("*").alias("n"), F.count_distinct("term").alias("n_terms"), F.min("term").alias("first_term")
+    docs = scan(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    return dictionary.counts(docs, benchmark_terms(spark, d), "doc_id").groupBy("doc_id", "category").agg(
+        F.sum("n").alias("n"), F.count("*").alias("n_terms"), F.min("term").alias("first_term")
     )
 
 

@@ -33,6 +33,14 @@ def test_spans_equal_naive_search():
         assert sorted((b, e, automaton.terms[p]) for b, e, p in automaton.spans(text, word_guard)) == naive(text, WORDS)
 
 
+def test_spaced_terms_stand_between_spaces_or_ends():
+    automaton = Terms(["a", "b", "a b", "b b"], spaced=True)
+    assert sorted((b, e, automaton.terms[p]) for b, e, p in automaton.spans("a b b ab b")) == [
+        (0, 1, "a"), (0, 3, "a b"), (2, 3, "b"), (2, 5, "b b"), (4, 5, "b"), (9, 10, "b"),
+    ]
+    assert automaton.spans("") == [] and [s[:2] for s in automaton.spans("a")] == [(0, 1)]
+
+
 @pytest.mark.parametrize("most", [None, 12])
 def test_mentions_equal_naive_search_in_one_piece_or_many(spark, most):
     rows = [(i, t) for i, t in enumerate(texts(2))] + [(1000, None), (1001, ""), (1002, "JAVA Spring")]

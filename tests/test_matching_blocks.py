@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from hiresift.functions import similarity, skills
-from hiresift.operators import evaluation, listings, matching
+from hiresift.operators import dictionary, evaluation, listings, matching
 
 
 def typos(rng, word):
@@ -44,12 +44,46 @@ def test_fuzzy_blocks_lose_no_pair(spark):
     assert got == want
 
 
+def best_pairs(lefts, rights):
+    want = {}
+    for a in lefts:
+        best = min((-similarity.weighted_ratio(a, b), b) for b in rights)
+        if -best[0] >= 82:
+            want[a] = (best[1], round(-best[0], 6))
+    return want
+
+
+def test_fuzzy_candidates_of_many_words_lose_no_pair(spark):
+    """Words of one letter, repeated words, words in other orders, texts in parts of others."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdr", k=rng.choice([1, 1, 2, 3, 5, 8])))
+    texts = [" ".join(word() for _ in range(rng.randrange(1, 5))) for _ in range(260)] + ["ansi c", "c embedded", "r tidy", "language r", "a a a", "babzzzzz", "dd dd dd", "x"]
+    for t in list(texts[:120]):
+        parts = t.split()
+        rng.shuffle(parts)
+        texts.append(typos(rng, " ".join(parts * rng.choice([1, 1, 2]))))
+    lefts, rights = sorted({t for t in texts[::2] if t}), sorted({t for t in texts[1::2] if t})
+    a, b = (spark.createDataFrame([(x,) for x in side] + [(None,), ("",)], "term string") for side in (lefts, rights))
+    got = {r.a: (r.b, round(r.score, 6)) for r in matching.blocked_fuzzy(a, b, similarity.weighted_ratio_column, 82.0).collect()}
+    assert got == best_pairs(lefts, rights) and len(got) > 100
+    pairs = {tuple(r) for r in matching.fuzzy_candidates(a.where("term <> ''").distinct(), b.where("term <> ''").distinct()).collect()}
+    assert all((x, y) in pairs for x in lefts for y in rights if similarity.weighted_ratio(x, y) >= 82)
+    assert ("ansi c", "c embedded") in pairs or ("c embedded", "ansi c") in pairs
+
+
+def test_fuzzy_candidates_are_few_for_long_names(spark):
+    rng = random.Random(12)
+    names = sorted({" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(2)) for _ in range(400)})
+    a, b = (spark.createDataFrame([(x,) for x in names[i::2]], "term string") for i in (0, 1))
+    assert matching.fuzzy_candidates(a, b).count() < 0.2 * (len(names) / 2) ** 2
+
+
 def test_dictionary_larger_than_a_broadcast(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "The cat of the house, the cat."), (2, "cat cat"), (3, None)], "doc_id long, text string")
     terms = spark.createDataFrame([("cat", "x"), ("the cat", "y"), ("dog", "z")], "term string, category string")
     want = {(1, "cat", "x", 2), (1, "the cat", "y", 2), (2, "cat", "x", 2)}
     assert {tuple(r) for r in matching.dictionary_matches(docs, terms).collect()} == want
-    monkeypatch.setattr(matching.small, "__defaults__", (1,))
+    monkeypatch.setattr(dictionary, "MOST_CHARS", 4)
     assert {tuple(r) for r in matching.dictionary_matches(docs, terms).collect()} == want
 
 
