@@ -7,6 +7,7 @@ kernels are small Python functions behind Arrow-batched UDFs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -102,17 +103,28 @@ def weighted_ratio_column(a, b):
     return _udf(weighted_ratio)(a, b)
 
 
+#: Pairs of texts whose ratio a worker remembers.
+REMEMBERED = 1 << 17
+
+
 def best_token_set(required, own):
-    """For each required string its best token-set ratio among a row's own strings, as an array."""
+    """For each required string its best token-set ratio among a row's own strings, as an array.
+
+    The same lists and the same strings meet again and again: a batch works out each pair of
+    lists once, and a worker remembers the ratios of pairs of strings.
+    """
 
     @F.pandas_udf("array<double>")
     def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        ratio_of = lru_cache(REMEMBERED)(token_set_ratio)
         for left, right in batches:
+            done: dict[tuple, np.ndarray] = {}
             rows = []
             for wanted, have in zip(left, right, strict=True):
-                wanted = [] if wanted is None else wanted
-                have = [] if have is None else have
-                rows.append(np.array([max((token_set_ratio(w, h) for h in have), default=0.0) for w in wanted], "float64"))
+                key = (() if wanted is None else tuple(wanted), () if have is None else tuple(have))
+                if key not in done:
+                    done[key] = np.array([max((ratio_of(w, h) for h in key[1]), default=0.0) for w in key[0]], "float64")
+                rows.append(done[key])
             yield pd.Series(rows)
 
     return scored(required, own)

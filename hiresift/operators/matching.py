@@ -207,7 +207,7 @@ def domain_relation(pairs: DataFrame, adjacency: DataFrame, a: str = "offer_doma
         .when(F.substring(a, 1, 2) == F.substring(b, 1, 2), "same_major")
         .otherwise("different")
     )
-    return pairs.join(F.broadcast(near), [a, b], "left").withColumn("relation", kind).drop("_near")
+    return pairs.join(small(near), [a, b], "left").withColumn("relation", kind).drop("_near")
 
 
 def shared_phrases(items: DataFrame, docs: DataFrame, item: str, doc: str, size: int = 5) -> DataFrame:

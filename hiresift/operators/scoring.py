@@ -21,35 +21,44 @@ def ratio_to(own: Column, required: Column, neutral: float, none_is_zero: bool =
     return F.when(F.coalesce(required, F.lit(0)) > 0, value).otherwise(F.lit(neutral))
 
 
+def prepared_offers(offers: DataFrame) -> DataFrame:
+    """Offers with their single skills in canonical form, the years and the level they ask for: once an offer, before any join."""
+    asked = F.concat_ws("\n", F.coalesce("description", F.lit("")), F.coalesce("titre", F.lit("")))
+    years = F.coalesce(F.col("experience_requise").cast("double"), text.required_years(asked))
+    return offers.withColumn("_required", skills.offer_skills(F.col("competences_requises"))).withColumns(
+        {"_wanted": F.transform("_required", skills.canonical), "_years": years, "_level": text.required_education(asked)}
+    )
+
+
+def prepared_candidates(candidates: DataFrame) -> DataFrame:
+    """Candidates with their distinct skills in canonical form: once a candidate, before any join."""
+    return candidates.withColumn("_have", F.array_distinct(F.transform(skills.candidate_skills(F.col("competences")), skills.canonical)))
+
+
 def heuristic(pairs: DataFrame, semantic: Column | None = None) -> DataFrame:
     """Heuristic score of pairs with its components.
 
     Pairs hold titre, description, localisation, competences_requises,
     experience_requise of the offer, and competences, raw_text, years, level of
-    the candidate. Without a semantic column its weight is 0.
+    the candidate, or what ``prepared_offers`` and ``prepared_candidates`` make of
+    them. Without a semantic column its weight is 0.
     """
-    asked = F.concat_ws("\n", F.coalesce("description", F.lit("")), F.coalesce("titre", F.lit("")))
-    prepared = (
-        pairs.withColumn("_required", skills.offer_skills(F.col("competences_requises")))
-        .withColumn("_own", skills.candidate_skills(F.col("competences")))
-        .withColumn("_wanted", F.transform("_required", skills.canonical))
-        .withColumn("_have", F.array_distinct(F.transform("_own", skills.canonical)))
-        .withColumn("_fuzzy", best_token_set(F.col("_wanted"), F.col("_have")))
-    )
+    pairs = pairs if "_wanted" in pairs.columns else prepared_offers(pairs)
+    pairs = pairs if "_have" in pairs.columns else prepared_candidates(pairs)
+    prepared = pairs.withColumn("_fuzzy", best_token_set(F.col("_wanted"), F.col("_have")))
     each = F.zip_with("_wanted", "_fuzzy", lambda w, f: F.when(F.array_contains("_have", w), F.lit(1.0)).otherwise(f / 100))
     total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
-    years = F.coalesce(F.col("experience_requise").cast("double"), text.required_years(asked))
     parts = {
         "skills": F.when(F.size("_required") > 0, total / F.size("_required")).otherwise(F.lit(0.5)),
-        "experience": ratio_to(F.col("years"), years, 0.5),
-        "education": ratio_to(F.col("level"), text.required_education(asked), 0.5, none_is_zero=True),
+        "experience": ratio_to(F.col("years"), F.col("_years"), 0.5),
+        "education": ratio_to(F.col("level"), F.col("_level"), 0.5, none_is_zero=True),
         "location": text.location_score(F.col("localisation"), F.col("raw_text")),
         "semantic": F.lit(0.5) if semantic is None else semantic,
     }
     weights = HEURISTIC_WEIGHTS | ({"semantic": 0.0} if semantic is None else {})
     out = prepared.withColumns({f"score_{k}": v for k, v in parts.items()})
     score = scores.weighted({k: (F.col(f"score_{k}"), weights[k]) for k in parts})
-    return out.withColumn("score", score).drop("_required", "_own", "_wanted", "_have", "_fuzzy")
+    return out.withColumn("score", score).drop("_required", "_wanted", "_have", "_fuzzy", "_years", "_level")
 
 
 # Threshold for a good profile and weights by kind of offer.

@@ -23,8 +23,8 @@ PARTS = {
     "semantic": "(l_suppkey % 11) / 10.0",
     "gap": "l_linenumber % 4",
 }
-_PARTS_SQL = "(SELECT " + ", ".join(f"{v} AS {k}" for k, v in PARTS.items()) + ", l_partkey AS grp FROM lineitem)"
-_PARTS_SQL = _PARTS_SQL.replace("(l_suppkey % 11) / 10.0", "(l_suppkey % 11)::DOUBLE / 10.0")
+_PARTS_SQL = """(SELECT l_orderkey * 10 + l_linenumber AS id, l_discount * 10 AS skills, l_tax * 12.5 AS experience, (l_quantity % 5) / 4 AS education,
+    (l_suppkey % 11)::DOUBLE / 10.0 AS semantic, l_linenumber % 4 AS gap, l_partkey AS grp FROM lineitem)"""
 
 
 def parts(spark: SparkSession, d: str) -> DataFrame:
@@ -166,7 +166,7 @@ def heuristic_scores(spark: SparkSession, d: str) -> DataFrame:
         F.col("id").alias("candidate_id"), F.transform(own, lambda s: F.struct(s.alias("name"))).alias("competences"),
         F.concat(F.lit("Habite à Paris "), "nom").alias("raw_text"), (F.col("id") % 8).cast("double").alias("years"), (F.col("id") % 6).cast("int").alias("level"),
     )
-    pairs = matches(spark, d).select("id", "offer_id", "candidate_id").join(offers, "offer_id").join(people, "candidate_id")
+    pairs = matches(spark, d).select("id", "offer_id", "candidate_id").join(scoring.prepared_offers(offers), "offer_id").join(scoring.prepared_candidates(people), "candidate_id")
     scored = scoring.heuristic(pairs)
     return scored.select("id", *[six(F.col(x)).alias(x) for x in ("score_skills", "score_experience", "score_education", "score_location", "score")])
 
