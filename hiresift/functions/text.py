@@ -41,10 +41,10 @@ def normalise_code(text: Column) -> Column:
 
 
 def normalise_offer(text: Column) -> Column:
-    """Glued words apart at a capital before a small letter, long words apart at a slash, single spaces."""
-    apart = F.regexp_replace(text, f"(?U)([a-zà-öø-ÿ])([A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ])", "$1 $2")
-    slashed = F.regexp_replace(apart, f"([{LETTERS}]{{4,}})/(?=[{LETTERS}]{{4,}})", "$1 ")
-    return F.trim(F.regexp_replace(slashed, r"\s+", " "))
+    """Glued words apart at a capital before a small letter, spaces around a slash between words of four letters, single spaces."""
+    apart = F.regexp_replace(text, "([a-z])([A-Z][a-z])", "$1 $2")
+    slashed = F.regexp_replace(apart, "([a-zA-Z]{4,})/([a-zA-Z]{4,})", "$1 / $2")
+    return F.trim(F.regexp_replace(slashed, " {2,}", " "))
 
 
 def clip_characters(text: Column, most: int) -> Column:

@@ -16,7 +16,8 @@ from hiresift.functions.skills import canonical
 from . import ability, domains, scoring
 from .matching import domain_relation, small, symmetric
 
-_NONE = F.array().cast("array<string>")
+def _none() -> Column:
+    return F.array().cast("array<string>")
 
 
 def four(value: Column) -> Column:
@@ -31,15 +32,15 @@ def _expansion(ecosystem: DataFrame) -> DataFrame:
 def _expanded(rows: DataFrame, names: str, ecosystem: DataFrame, key: list[str]) -> DataFrame:
     """(key, expanded): the names of each row's array with what stands for them, distinct; rows without names are left out."""
     one = rows.select(*key, F.explode(names).alias("name")).join(small(_expansion(ecosystem)), "name", "left")
-    every = F.array_union(F.array("name"), F.coalesce("others", _NONE))
+    every = F.array_union(F.array("name"), F.coalesce("others", _none()))
     return one.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_set(every))).alias("expanded"))
 
 
 def prepared_offers(offers: DataFrame, ecosystem: DataFrame, key: str = "offer_id") -> DataFrame:
     """Offers with ``wanted``, the distinct canonical skills that they require and all that stand for these."""
-    own = offers.withColumn("_names", F.array_distinct(F.transform(F.coalesce("required", _NONE), canonical)))
+    own = offers.withColumn("_names", F.array_distinct(F.transform(F.coalesce("required", _none()), canonical)))
     found = _expanded(own, "_names", ecosystem, [key]).withColumnRenamed("expanded", "wanted")
-    return own.drop("_names").join(found, key, "left").withColumn("wanted", F.coalesce("wanted", _NONE))
+    return own.drop("_names").join(found, key, "left").withColumn("wanted", F.coalesce("wanted", _none()))
 
 
 def prepared_jobs(profiles: DataFrame, ecosystem: DataFrame, key: str = "candidate_id") -> DataFrame:
@@ -55,7 +56,7 @@ def prepared_jobs(profiles: DataFrame, ecosystem: DataFrame, key: str = "candida
     )
     words = F.filter(F.array_distinct(F.transform(F.split("text", r"[\s,;/]+"), canonical)), lambda w: F.length(w) >= 3)
     names = _expanded(jobs.withColumn("_names", words), "_names", ecosystem, [key, "place"])
-    told = F.when(F.trim("text") != "", F.coalesce("expanded", _NONE))
+    told = F.when(F.trim("text") != "", F.coalesce("expanded", _none()))
     whole = jobs.join(names, [key, "place"], "left").groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("place", "years", told.alias("names")))).alias("practice"),
         F.array_sort(F.collect_list(F.struct("place", "text"))).alias("_texts"),
@@ -112,7 +113,7 @@ def scored(
     ``adjacency`` and ``study_adjacency`` (two codes), ``study`` (place, domain, keyword)
     are dictionaries.
     """
-    text = F.concat_ws(" ", F.coalesce("titre", F.lit("")), F.coalesce("description", F.lit("")), F.array_join(F.coalesce("required", _NONE), " "))
+    text = F.concat_ws(" ", F.coalesce("titre", F.lit("")), F.coalesce("description", F.lit("")), F.array_join(F.coalesce("required", _none()), " "))
     asked = scoring.offer_profile(prepared_offers(offers, ecosystem)).withColumns({"offer_kind": offer_kind(), "_text": text})
     asked = domains.study_domain(asked, study, "_text", into="offer_study").drop("_text")
     near = symmetric(study_adjacency.toDF("a", "b"), "a", "b").groupBy(F.col("a").alias("offer_study")).agg(F.collect_set("b").alias("_adjacent_study"))
@@ -124,11 +125,11 @@ def scored(
     rows = ability.ability(rows, ecosystem)
     relevant = F.when((F.size(F.coalesce("practice", F.array())) > 0) & (F.size("wanted") > 0), domain_years(F.col("wanted"), F.col("practice"))).otherwise(F.col("years"))
     rows = rows.withColumn("domain_years", relevant).withColumn("experience", experience(F.col("required_years"), F.col("years"), F.col("domain_years")))
-    adjacent = F.array_contains(F.coalesce("_adjacent_study", _NONE), F.col("candidate_study"))
+    adjacent = F.array_contains(F.coalesce("_adjacent_study", _none()), F.col("candidate_study"))
     rows = rows.withColumn("compatibility", domains.study_compatibility("candidate_study", "offer_study", adjacent))
     rows = rows.withColumn("formation", ability.formation(F.col("required_level"), F.col("level"), F.col("prestige"), F.col("compatibility"), F.lit(None).cast("double")))
     rows = domain_relation(rows, adjacency)
-    have = F.transform(F.coalesce("own", _NONE), canonical)
+    have = F.transform(F.coalesce("own", _none()), canonical)
     close = F.col("relation").isin("same", "adjacent") & (F.col("candidate_role") > 0) & (F.col("offer_role") > 0)
     rows = rows.withColumns(
         {
@@ -136,7 +137,7 @@ def scored(
             "central_missing": F.col("title_skill").isNotNull() & ~F.array_contains(have, canonical(F.col("title_skill"))),
         }
     )
-    liked = rows.where(F.size(F.coalesce("appreciated_skills", _NONE)) > 0).select(
+    liked = rows.where(F.size(F.coalesce("appreciated_skills", _none())) > 0).select(
         "id", F.col("appreciated_skills").alias("required"), "own", "raw_text", "experience_text", F.lit(None).cast("string").alias("title_skill")
     )
     share = ability.required_skills(liked, ecosystem).groupBy("id").agg(F.avg(F.col("source").isNotNull().cast("int")).alias("appreciated"))

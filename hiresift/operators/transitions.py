@@ -97,8 +97,10 @@ def link_rows(missing: DataFrame, at: str) -> DataFrame:
 
 def store_scores(matches: DataFrame, scores: DataFrame) -> DataFrame:
     """Matches with the scores and details of a table (id, score_pct, details)."""
-    new = scores.select("id", F.col("score_pct").alias("_s"))
-    return matches.join(new, "id", "left").withColumn("score_pct", F.coalesce("_s", "score_pct")).select(*matches.columns)
+    new = scores.select("id", F.col("score_pct").alias("_s"), F.col("details").alias("_d"))
+    old = F.col("details") if "details" in matches.columns else F.lit(None).cast(scores.schema["details"].dataType)
+    names = [*[c for c in matches.columns if c != "details"], "details"]
+    return matches.join(new, "id", "left").withColumns({"score_pct": F.coalesce("_s", "score_pct"), "details": F.coalesce("_d", old)}).select(*names)
 
 
 def mark_read(notifications: DataFrame, which: Column) -> DataFrame:
@@ -133,14 +135,14 @@ def manual_candidates(forms: DataFrame) -> DataFrame:
     )
 
 
-def upload_effects(uploads: DataFrame, users: DataFrame, offers: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
-    """New links and notifications of uploaded candidates: every active offer, every active recruiter and admin."""
-    links = link_rows(
-        uploads.select(F.col("id").alias("candidate_id")).join(
-            offers.where("status = 'active'").select(F.col("id").alias("offer_id")), F.lit(True)
-        ),
-        at,
-    )
+def upload_effects(uploads: DataFrame, users: DataFrame, offers: DataFrame, at: str, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """New links and notifications of uploaded candidates: every active offer, every active recruiter and admin.
+
+    ``existing`` has the links (candidate_id, offer_id) that are there, so that a second upload makes none twice.
+    """
+    people, open_ = uploads.select(F.col("id").alias("candidate_id")), offers.where("status = 'active'").select(F.col("id").alias("offer_id"))
+    known = existing if existing is not None else people.join(open_, F.lit(False))
+    links = link_rows(missing_links(people, open_, known, "candidate_id", "offer_id"), at)
     staff = users.where("is_active and role in ('recruteur', 'admin')").select(F.col("id").alias("user_id"))
     notes = uploads.select(F.col("id").alias("candidate_id"), "nom").join(staff, F.lit(True)).select(
         "user_id", F.lit("upload").alias("type"), F.concat(F.lit("Nouveau CV : "), "nom").alias("message"), F.lit(False).alias("is_read")

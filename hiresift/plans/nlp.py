@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hiresift.operators import dictionary, discovery, domains
+from hiresift.operators import dictionary, discovery, domains, repair
 
 from .recruiting import scan
 from .registry import Registry
@@ -14,7 +14,7 @@ registry = Registry()
 query = registry.query
 
 
-def six(value):
+def six(value: Column) -> Column:
     return F.floor(value * 1_000_000 + 0.5) / 1_000_000
 
 
@@ -76,3 +76,28 @@ def basket_lift(spark: SparkSession, d: str) -> DataFrame:
     common = lines.where("l_orderkey % 3 <> 0").select("l_orderkey", F.lit(-1).cast("long").alias("l_partkey"))
     baskets = lines.select("l_orderkey", F.col("l_partkey").cast("long").alias("l_partkey")).unionByName(common)
     return discovery.cooccurrences(baskets, "l_orderkey", "l_partkey", 2, 2.0).withColumn("lift", six(F.col("lift")))
+
+
+def broken(text: Column) -> Column:
+    """The text with a space put inside about one in twelve of its words of five letters and more, by their hash and place."""
+
+    def cut(word: Column, place: Column) -> Column:
+        hit = F.rlike(word, F.lit(r"^\p{L}{5,}$")) & (F.pmod(F.xxhash64(word, place), F.lit(12)) == 0)
+        at = (F.lit(2) + F.pmod(F.xxhash64(place, word), F.char_length(word) - 3)).cast("int")
+        return F.when(hit, F.concat(F.substring(word, F.lit(1), at), F.lit(" "), F.substring(word, at + 1, F.char_length(word)))).otherwise(word)
+
+    return F.array_join(F.transform(F.split(text, " "), cut), " ")
+
+
+@query()
+def repaired_words(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents broken, repaired by their own vocabulary, and compared; and whether the unbroken text stays as it is."""
+    docs = scan(spark, d, "documents").select("doc_id", "text")
+    words = repair.vocabulary(docs)
+    found = repair.rejoined(docs.withColumn("broken", broken(F.col("text"))), words, "broken")
+    found = repair.rejoined(found, words, "text", "same")
+    pieces = lambda c: F.split(c, r"\s+")
+    return found.select(
+        "doc_id", F.size(pieces("text")).alias("n_words"), (F.size(pieces("broken")) - F.size(pieces("text"))).alias("n_broken"),
+        (F.size(pieces("repaired")) - F.size(pieces("text"))).alias("n_left"), (F.col("repaired") == F.col("text")).alias("whole"), (F.col("same") == F.col("text")).alias("unchanged"),
+    )

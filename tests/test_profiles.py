@@ -57,7 +57,7 @@ def test_contacts(spark):
 
 def test_clean_and_normalise(spark):
     assert one(spark, text.clean_extracted(F.col("t")), t="inter-\r\nnational  ﬁn\n\n\n\nx ") == "international fin\n\nx"
-    assert one(spark, text.normalise_offer(F.col("t")), t="PythonJava backend/frontend CI/CD") == "Python Java backend frontend CI/CD"
+    assert one(spark, text.normalise_offer(F.col("t")), t="PythonJava backend/frontend CI/CD") == "Python Java backend / frontend CI/CD"
     assert one(spark, text.strip_accents(F.col("t")), t="Éàç") == "Eac"
 
 
