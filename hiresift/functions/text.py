@@ -171,7 +171,7 @@ def location_score(place: Column, text: Column) -> Column:
     """1 if an offer's place, or a part of it of three letters or more, occurs in a text; 1 without a place."""
     where = F.lower(F.trim(F.coalesce(place, F.lit(""))))
     low = F.lower(F.coalesce(text, F.lit("")))
-    parts = F.filter(F.transform(F.split(where, r"[,/\-|]"), F.trim), lambda p: F.length(p) >= 3)
+    parts = F.filter(F.transform(F.split(where, r"[,/\-|]"), lambda p: F.trim(p)), lambda p: F.length(p) >= 3)
     return (
         F.when(where == "", F.lit(1.0))
         .when(low == "", F.lit(0.0))

@@ -26,7 +26,7 @@ def alias_dictionary(clusters: DataFrame, longest: int = 2) -> DataFrame:
 
 def triplets(lines: DataFrame, column: str = "line") -> DataFrame:
     """(anchor, other, label) from lines "anchor | positive | negative": a positive and a negative pair for each."""
-    parts = F.transform(F.split(column, r"\s*\|\s*"), F.trim)
+    parts = F.transform(F.split(column, r"\s*\|\s*"), lambda p: F.trim(p))
     rows = lines.select(parts.alias("p")).where("size(p) = 3 and p[0] <> '' and p[1] <> '' and p[2] <> ''")
     both = F.array(F.struct(F.col("p")[1].alias("other"), F.lit(1).alias("label")), F.struct(F.col("p")[2].alias("other"), F.lit(0).alias("label")))
     return rows.select(F.col("p")[0].alias("anchor"), F.explode(both).alias("x")).select("anchor", "x.other", "x.label")

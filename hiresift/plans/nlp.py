@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hiresift.operators import dictionary, discovery, domains, repair
+from hiresift.operators import blocks, dictionary, discovery, domains, repair
 
 from .recruiting import scan
 from .registry import Registry
@@ -101,3 +101,38 @@ def repaired_words(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", F.size(pieces("text")).alias("n_words"), (F.size(pieces("broken")) - F.size(pieces("text"))).alias("n_broken"),
         (F.size(pieces("repaired")) - F.size(pieces("text"))).alias("n_left"), (F.col("repaired") == F.col("text")).alias("whole"), (F.col("same") == F.col("text")).alias("unchanged"),
     )
+
+
+_FIRST = ("Manager chez Acme", "1995 - 1997", "Chef Projet 1999", "Analyste", "")
+_SECOND = ("- Acme Corp", "Lyon 2001", "travail divers")
+_THIRD = ("", "mission de production", "mission de production", "2003")
+
+
+def _listed(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+_TITLED, _YEARED, _RANGED, _COMPANY = (rf"regexp_matches(%s, '{p}')" for p in (r"\b(Manager|Chef|Analyste)\b", r"\b(19|20)[0-9]{2}\b", r"\b(19|20)[0-9]{2}\s*-\s*[0-9]{4}", r"\s+chez\s+"))
+
+
+@query(rf"""WITH o AS (SELECT o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, {_listed(_FIRST)}[o_orderkey % 5 + 1] AS a,
+      {_listed(_SECOND)}[o_orderkey % 3 + 1] AS b, {_listed(_THIRD)}[o_orderkey % 4 + 1] AS c FROM orders),
+    l AS (SELECT id, n * 3 AS pos, a AS line FROM o UNION ALL SELECT id, n * 3 + 1, b FROM o UNION ALL SELECT id, n * 3 + 2, c FROM o),
+    w AS (SELECT *, COALESCE(lead(line) OVER (PARTITION BY id ORDER BY pos), '') AS below, lag(line) OVER (PARTITION BY id ORDER BY pos) AS above FROM l),
+    s AS (SELECT *, {_TITLED % 'line'} AS title, {_YEARED % 'line'} AS year, above IS NULL OR above = '' OR ({_TITLED % 'line'} AND ({_COMPANY % 'line'} OR {_YEARED % 'below'} OR below = '- Acme Corp' OR {_YEARED % 'line'}))
+      OR ({_RANGED % 'line'} AND {_TITLED % 'below'}) AS opens FROM w),
+    b AS (SELECT *, sum(opens::INT) OVER (PARTITION BY id ORDER BY pos) AS block FROM s WHERE line <> ''),
+    g AS (SELECT id, block, string_agg(line, chr(10) ORDER BY pos) AS t, NOT bool_or(title) AND bool_or(year) AND length(string_agg(line, chr(10))) < 60 AS d FROM b GROUP BY id, block),
+    k AS (SELECT *, d AND (block - COALESCE(last_value(CASE WHEN NOT d THEN block END IGNORE NULLS) OVER (PARTITION BY id ORDER BY block), min(block) OVER (PARTITION BY id) - 1)) % 2 = 1 AS odd FROM g),
+    j AS (SELECT *, sum(x::INT) OVER (PARTITION BY id ORDER BY block) AS grp FROM (SELECT *, NOT COALESCE(lag(odd) OVER (PARTITION BY id ORDER BY block), false) AS x FROM k) y),
+    m AS (SELECT id, grp, string_agg(t, chr(10) ORDER BY block) AS t FROM j GROUP BY id, grp HAVING length(string_agg(t, chr(10))) > 10)
+    SELECT id, row_number() OVER (PARTITION BY id ORDER BY grp) - 1 AS block, t AS text FROM m""")
+def experience_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Experience sections, made of a customer's orders at three lines each, cut into blocks."""
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("o_orderkey") % len(values)).cast("int") + 1)
+    orders = scan(spark, d, "orders").select("o_custkey", "o_orderkey", F.array(pick(_FIRST), pick(_SECOND), pick(_THIRD)).alias("own"))
+    sections = orders.groupBy(F.col("o_custkey").alias("id")).agg(
+        F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "own"))), lambda x: x["own"])), "\n").alias("section")
+    )
+    found = blocks.blocks(blocks.section_lines(sections, "id", "section"))
+    return found.select("id", "block", F.array_join("lines", "\n").alias("text"))

@@ -42,3 +42,9 @@ def test_domain_pairs(spark):
     assert {(1, "same"), (2, "same"), (1, "adjacent")} <= kinds and (2, "adjacent") not in kinds
     assert len({(r.offer_id, r.candidate_id) for r in got}) == len(got)
     assert all(r.candidate_id % 4 in (1, 3) or r.offer_id == 2 for r in got if r.kind == "different")
+
+
+def test_pieces_keep_digits_that_equal_their_place(spark):
+    """A trim that took the place of an element for what to trim once cut these."""
+    lines = spark.createDataFrame([(" 0 ans | java 1 | sql 2 ",)], "line string")
+    assert {tuple(r) for r in datasets.triplets(lines).collect()} == {("0 ans", "java 1", 1), ("0 ans", "sql 2", 0)}
