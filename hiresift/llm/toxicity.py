@@ -6,20 +6,25 @@ saves, against the window's length, are its evidence. The thresholds from which
 a window counts, and the map from a document's windows to a score, are calibrated
 on labelled rows that the dictionaries have not seen.
 
-* A window is ``TOKENS`` consecutive white-space tokens, lower-cased; each token
-  lies in one. It is followed by a fixed carrier that ends both
-  dictionaries: zstandard looks for no matches in the last bytes of an input and
-  stores very short ones as they are, and with the carrier any saved byte shows.
+* A window is a white-space token, lower-cased, or two neighbours. Each token is a
+  window, so no window depends on where in the text it stands. Two neighbours are one
+  where a match can span both in the toxic dictionary alone: where ``min_match`` bytes
+  around the space between them are in it and not in the ordinary one. Anywhere else
+  the toxic dictionary finds nothing in the two that it does not find in either.
+* A window is followed by a fixed carrier that ends both dictionaries, behind bytes
+  that no window holds: zstandard looks for no matches in the last bytes of an input
+  and stores very short ones as they are, and with the carrier any saved byte shows.
 * Both dictionaries begin with a common one trained on ordinary rows, so that
   they give ordinary text equal lengths; on it follows content trained on the
   ordinary rows again, or on the toxic ones.
-* Most of a toxic row is ordinary text. The toxic content is therefore trained in
-  ``ROUNDS`` rounds: the first on all of the toxic rows, each next one on their
-  windows that the last dictionaries give more evidence than nearly all windows
-  of ordinary rows.
+* Most of a toxic row is ordinary text. Which of its windows tell is found across
+  halves: a long dictionary of one half of the toxic rows judges the windows of the
+  other half. The toxic content is trained on windows with more evidence than nearly
+  all windows of ordinary rows, in at least ``LEAST_ROWS`` rows; then ``ROUNDS`` rounds
+  follow, each on what the last dictionaries find telling.
 
 Defined results: null and empty texts have no windows and get the score of a
-document without evidence; a shorter text is one window. Repeated rows get equal
+document without evidence; words put before a text move no window that was there. Repeated rows get equal
 scores. All other columns are kept, but for one named like the result, which is
 replaced.
 """
@@ -42,9 +47,8 @@ from pyspark.sql.types import DoubleType
 from .common import map_texts
 from .dictionaries import class_shares, compressor, fit_logistic, labelled_sample, logistic, train
 
-#: Tokens of a window, and from one window's start to the next one's.
-TOKENS, STEP = 2, 2
-CARRIER = bytes(range(22, 32)) + bytes([127, 1, 30, 2, 29, 3])
+#: What each window ends with, and what stands before it in a dictionary, so that no match spans a window's end.
+CARRIER, GAP = bytes(range(22, 32)) + bytes([127, 1, 30, 2, 29, 3]), bytes([4, 5, 6])
 #: Settings of the compressors: matches of five bytes and more, from a binary tree that covers the whole dictionary.
 LEVEL = 13
 SETTINGS = {"strategy": zstandard.STRATEGY_BTLAZY2, "window_log": 19, "hash_log": 18, "chain_log": 19, "search_log": 3, "min_match": 5, "target_length": 32}
@@ -52,9 +56,13 @@ SETTINGS = {"strategy": zstandard.STRATEGY_BTLAZY2, "window_log": 19, "hash_log"
 COMMON_BYTES, LABEL_BYTES = 230_000, 32_000
 #: Bytes of the pieces that the label content is put together from, and of the parts that these are chosen by.
 COVER = {"k": 32, "d": 6}
-ROUNDS = 3
+ROUNDS = 2
+#: Bytes of the content that finds the telling windows of either half of the toxic rows.
+WIDE_BYTES = 128_000
 #: Share of the ordinary windows below which a toxic row's window is not trained on.
-ORDINARY = 0.98
+ORDINARY = 0.995
+#: Toxic rows in which a window must tell to be trained on.
+LEAST_ROWS = 2
 #: Shares of the ordinary windows that lie below the thresholds.
 LEVELS = (0.98, 0.995, 0.999, 0.9997)
 #: Tokens of a training sample.
@@ -73,11 +81,15 @@ class ToxicityModel:
     fitted: tuple
 
 
-def windows(text: str, tokens: int = 0, step: int = 0) -> list[str]:
-    """Runs of consecutive tokens, one from each ``step``-th token on; the last one may be shorter."""
-    tokens, step = tokens or TOKENS, step or STEP
+def pieces(text: str, tokens: int) -> list[str]:
+    """A text as runs of consecutive tokens, lower-cased; each token lies in one."""
     own = text.lower().split()
-    return [f" {' '.join(own[i : i + tokens])} " for i in range(0, max(min(1, len(own)), len(own) - tokens + step), step)]
+    return [f" {' '.join(own[i : i + tokens])} " for i in range(0, len(own), tokens)]
+
+
+def _grams(content: bytes) -> set[bytes]:
+    size = SETTINGS["min_match"]
+    return {content[i : i + size] for i in range(len(content) - size + 1) if b" " in content[i : i + size]}
 
 
 class Evidence:
@@ -86,6 +98,29 @@ class Evidence:
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.ordinary, self.toxic = (compressor(d, LEVEL, **SETTINGS) for d in (ordinary, toxic))
         self.known: dict[str, float] = {}
+        self.across = _grams(toxic) - _grams(ordinary)
+        self.joined: dict[str, bool] = {}
+
+    def _crosses(self, edge: str) -> bool:
+        data = edge.encode("utf-8", "surrogatepass")
+        size, space = SETTINGS["min_match"], data.index(b" ")
+        return any(data[i : i + size] in self.across for i in range(max(0, space - size + 1), min(space, len(data) - size) + 1))
+
+    def windows(self, text: str) -> list[str]:
+        """Every token, and every two neighbours that a match of the toxic dictionary alone can span."""
+        own = text.lower().split()
+        found = [f" {t} " for t in own]
+        joined, reach = self.joined, SETTINGS["min_match"] - 1
+        if len(joined) > CACHED_WINDOWS:
+            joined.clear()
+        for a, b in zip(own, own[1:], strict=False):
+            edge = f"{a[-reach:]} {b[:reach]}"
+            hit = joined.get(edge)
+            if hit is None:
+                hit = joined[edge] = self._crosses(edge)
+            if hit:
+                found.append(f" {a} {b} ")
+        return found
 
     def of(self, own: list[str]) -> list[float]:
         """The evidence of each window; what a window gave is kept."""
@@ -116,7 +151,7 @@ def _evidence(ordinary: bytes, toxic: bytes) -> Evidence:
 
 def _features(texts: list[str], evidence: Evidence, thresholds: tuple[float, ...]) -> list[list[float]]:
     """Of each text, how many and which share of its windows lie over each threshold, their most and their mean evidence."""
-    own = [windows(t) for t in texts]
+    own = [evidence.windows(t) for t in texts]
     saved = np.array(evidence.of([w for of_text in own for w in of_text]))
     ends = np.cumsum([len(w) for w in own])
     out = []
@@ -137,7 +172,7 @@ def _counted(sample: DataFrame, dictionaries: tuple[bytes, bytes]) -> Counter:
         evidence, seen = _evidence(*dictionaries), Counter()
         for batch in batches:
             for text in batch["text"]:
-                seen.update(round(saved, 3) for saved in evidence.of(windows(text)))
+                seen.update(round(saved, 3) for saved in evidence.of(evidence.windows(text)))
         yield pd.DataFrame({"saved": list(seen), "n": list(seen.values())}).astype({"saved": "float64", "n": "int64"})
 
     found: Counter = Counter()
@@ -156,19 +191,33 @@ def _below(counted: Counter, share: float) -> float:
     return 0.0
 
 
-def _telling(sample: DataFrame, dictionaries: tuple[bytes, bytes], threshold: float) -> list[bytes]:
-    """Windows of the toxic training rows with more evidence than the threshold."""
+def _telling(sample: DataFrame, dictionaries: tuple[bytes, bytes], threshold: float, half: int | None = None) -> Counter:
+    """Windows of the toxic training rows, or of one half of them, with more evidence than the threshold: in how many rows each is."""
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        evidence = _evidence(*dictionaries)
+        evidence, found = _evidence(*dictionaries), Counter()
         for batch in batches:
-            own = []
             for text in batch["text"]:
-                of_text = windows(text)
-                own += [w.encode("utf-8", "surrogatepass") for w, saved in zip(of_text, evidence.of(of_text), strict=True) if saved > threshold]
-            yield pd.DataFrame({"own": pd.Series(own, dtype="object")})
+                own = list(dict.fromkeys(evidence.windows(text)))
+                found.update(w for w, saved in zip(own, evidence.of(own), strict=True) if saved > threshold)
+        own = [w.encode("utf-8", "surrogatepass") for w in found]
+        yield pd.DataFrame({"own": pd.Series(own, dtype="object"), "rows": pd.Series(list(found.values()), dtype="int64")})
+
+    rows = sample.where("part = 0 and label = 1")
+    rows = rows if half is None else rows.where(_half() == half)
+    found: Counter = Counter()
+    for r in rows.select("text").mapInPandas(pick, "own binary, rows long").collect():
+        found[bytes(r.own)] += r.rows
+    return found
+
+
+def _repeated(telling: Counter) -> list[bytes]:
+    """Windows that tell in at least ``LEAST_ROWS`` rows, as often as they do; a word that tells once is chance."""
+    return [w for w, n in sorted(telling.items()) if n >= LEAST_ROWS for _ in range(n)]
+
 
-    return sorted(bytes(r.own) for r in sample.where("part = 0 and label = 1").mapInPandas(pick, "own binary").collect())
+def _half() -> Column:
+    return F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(2)).cast("int")
 
 
 def _shuffled(samples: list[bytes]) -> list[bytes]:
@@ -181,17 +230,24 @@ def fit(
 ) -> ToxicityModel:
     """Fit on at most ``per_class`` labelled rows of either label with at most ``most_bytes`` of text."""
     sample = labelled_sample(docs, labels, label, per_class, most_bytes)
-    texts: tuple[list[bytes], list[bytes]] = ([], [])
-    for row in sample.where("part = 0").collect():
-        texts[row.label].extend(w.encode("utf-8", "surrogatepass") for w in windows(row.text, SAMPLE_TOKENS, SAMPLE_TOKENS))
-    ordinary, chosen = _shuffled(texts[0]), texts[1]
+    texts: tuple[list[bytes], list[bytes], list[bytes]] = ([], [], [])
+    for row in sample.where("part = 0").withColumn("half", _half()).collect():
+        of = texts[0] if row.label == 0 else texts[1 + row.half]
+        of.extend(w.encode("utf-8", "surrogatepass") for w in pieces(row.text, SAMPLE_TOKENS))
+    ordinary, chosen = _shuffled(texts[0]), texts[1] + texts[2]
     common = train(ordinary, COMMON_BYTES)
+    # Which windows of one half of the toxic rows does the text of the other half explain better than ordinary text does?
+    wide, telling = train(ordinary, WIDE_BYTES, **COVER), Counter()
+    for half in (0, 1):
+        dictionaries = (common + wide + GAP + CARRIER, common + train(_shuffled(texts[2 - half]), WIDE_BYTES, **COVER) + GAP + CARRIER)
+        telling += _telling(sample, dictionaries, _below(_counted(sample, dictionaries), ORDINARY), half)
+    chosen = _repeated(telling) or chosen
     own = train(ordinary, LABEL_BYTES, **COVER)
     for place in range(rounds):
-        dictionaries = (common + own + CARRIER, common + train(_shuffled(chosen), LABEL_BYTES, **COVER) + CARRIER)
+        dictionaries = (common + own + GAP + CARRIER, common + train(_shuffled(chosen), LABEL_BYTES, **COVER) + GAP + CARRIER)
         counted = _counted(sample, dictionaries)
         if place + 1 < rounds:
-            chosen = _telling(sample, dictionaries, _below(counted, ORDINARY)) or chosen
+            chosen = _repeated(_telling(sample, dictionaries, _below(counted, ORDINARY))) or chosen
     thresholds = tuple(_below(counted, share) for share in LEVELS)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

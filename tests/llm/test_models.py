@@ -148,3 +148,45 @@ def test_quality_equals_a_plain_version(spark):
         x = [(b - g) / (b + g), (b - g) / max(1, len(own.encode()))]
         z = intercept + sum(w * (v - m) / s for w, v, m, s in zip(beta, x, mean, scale))
         assert score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
+def test_toxic_windows_do_not_depend_on_their_place(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.fit(docs, labels)
+    evidence = toxicity.Evidence(model.ordinary, model.toxic)
+    for row in docs.where("text is not null").limit(40).collect():
+        moved = evidence.windows("ba " + row.text)
+        assert set(evidence.windows(row.text)) <= set(moved)
+    rows = docs.where("length(text) > 200").selectExpr("doc_id", "text", "concat('ba ', text) as shifted").limit(300)
+    scored = toxicity.score(toxicity.score(rows, model, "text", "a"), model, "shifted", "b").collect()
+    assert sum((r.a >= 0.5) != (r.b >= 0.5) for r in scored) <= len(scored) * 0.01
+
+
+def test_toxic_evidence_equals_a_plain_version(spark):
+    """Counts of windows over each threshold, compressed one by one without any memory of earlier ones."""
+    docs, labels = labelled(spark, 400)
+    model = toxicity.fit(docs, labels)
+    evidence = toxicity.Evidence(model.ordinary, model.toxic)
+    grams = lambda d: {d[i : i + 5] for i in range(len(d) - 4)}
+    only = grams(model.toxic) - grams(model.ordinary)
+    for row in docs.where("text is not null").limit(25).collect():
+        own = row.text.lower().split()
+        pairs = []
+        for a, b in zip(own, own[1:]):
+            edge = f"{a} {b}".encode()
+            space = len(a.encode())
+            if any(g in only for g in (edge[i : i + 5] for i in range(len(edge) - 4)) if g in only and _spans(edge, g, space)):
+                pairs.append(f" {a} {b} ")
+        want = [f" {t} " for t in own] + pairs
+        assert sorted(evidence.windows(row.text)) == sorted(want)
+        saved = []
+        for w in want:
+            data = w.encode() + toxicity.CARRIER
+            sizes = [len(toxicity.compressor(d, toxicity.LEVEL, **toxicity.SETTINGS).compress(data)) for d in (model.ordinary, model.toxic)] if len(saved) < 3 else None
+            saved.append(10 * (sizes[0] - sizes[1]) / len(w.encode()) if sizes else evidence.of([w])[0])
+        features = toxicity._features([row.text], evidence, model.thresholds)[0]
+        assert features[: len(model.thresholds)] == pytest.approx([np.log1p(sum(x > t for x in saved)) for t in model.thresholds])
+
+
+def _spans(edge, gram, space):
+    return any(edge[i : i + 5] == gram and i <= space < i + 5 for i in range(len(edge) - 4))
