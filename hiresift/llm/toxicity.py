@@ -52,6 +52,8 @@ CARRIER, GAP = bytes(range(22, 32)) + bytes([127, 1, 30, 2, 29, 3]), bytes([4, 5
 #: Settings of the compressors: matches of five bytes and more, from a binary tree that covers the whole dictionary.
 LEVEL = 13
 SETTINGS = {"strategy": zstandard.STRATEGY_BTLAZY2, "window_log": 19, "hash_log": 18, "chain_log": 19, "search_log": 3, "min_match": 5, "target_length": 32}
+#: Lengths of the runs of bytes by which matches of one dictionary alone are told.
+RUNS = range(5, 11)
 #: Bytes of the common dictionary and of the content of either label.
 COMMON_BYTES, LABEL_BYTES = 230_000, 32_000
 #: Bytes of the pieces that the label content is put together from, and of the parts that these are chosen by.
@@ -87,24 +89,42 @@ def pieces(text: str, tokens: int) -> list[str]:
     return [f" {' '.join(own[i : i + tokens])} " for i in range(0, len(own), tokens)]
 
 
-def _grams(content: bytes) -> set[bytes]:
-    size = SETTINGS["min_match"]
-    return {content[i : i + size] for i in range(len(content) - size + 1) if b" " in content[i : i + size]}
+def _grams(content: bytes, size: int) -> set[bytes]:
+    return {content[i : i + size] for i in range(len(content) - size + 1)}
+
+
+def _shared(a: bytes, b: bytes) -> int:
+    """How many bytes two dictionaries begin with alike."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle - 1)
+    return low
 
 
 class Evidence:
-    """Of windows, the bytes that the toxic dictionary saves over the ordinary one, in tenths of a window's."""
+    """Of windows, the bytes that the toxic dictionary saves over the ordinary one, in tenths of a window's.
+
+    A window of which every run that the toxic dictionary holds is in the ordinary one too has
+    no match there that it lacks here, hence no evidence; it need not be compressed.
+    """
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.ordinary, self.toxic = (compressor(d, LEVEL, **SETTINGS) for d in (ordinary, toxic))
         self.known: dict[str, float] = {}
-        self.across = _grams(toxic) - _grams(ordinary)
+        # What only the toxic dictionary holds, by length; the common part of both need not be looked at.
+        own = toxic[_shared(ordinary, toxic) :]
+        self.only = {size: _grams(own, size) - _grams(ordinary, size) for size in RUNS}
         self.joined: dict[str, bool] = {}
 
     def _crosses(self, edge: str) -> bool:
         data = edge.encode("utf-8", "surrogatepass")
         size, space = SETTINGS["min_match"], data.index(b" ")
-        return any(data[i : i + size] in self.across for i in range(max(0, space - size + 1), min(space, len(data) - size) + 1))
+        return any(data[i : i + size] in self.only[size] for i in range(max(0, space - size + 1), min(space, len(data) - size) + 1))
+
+    def _may_save(self, data: bytes) -> bool:
+        """Whether the toxic dictionary has a match for a window that the ordinary one lacks."""
+        return any(data[i : i + size] in held for size, held in self.only.items() for i in range(len(data) - size + 1))
 
     def windows(self, text: str) -> list[str]:
         """Every token, and every two neighbours that a match of the toxic dictionary alone can span."""
@@ -132,8 +152,11 @@ class Evidence:
                 new = list(dict.fromkeys(own))
             ordinary, toxic = self.ordinary.compress, self.toxic.compress
             for w in new:
-                data = w.encode("utf-8", "surrogatepass") + CARRIER
-                known[w] = 10 * (len(ordinary(data)) - len(toxic(data))) / (len(data) - len(CARRIER))
+                data = w.encode("utf-8", "surrogatepass")
+                if self._may_save(data):
+                    known[w] = 10 * (len(ordinary(data + CARRIER)) - len(toxic(data + CARRIER))) / len(data)
+                else:
+                    known[w] = 0.0
         return [known[w] for w in own]
 
 

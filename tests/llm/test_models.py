@@ -183,7 +183,10 @@ def test_toxic_evidence_equals_a_plain_version(spark):
         for w in want:
             data = w.encode() + toxicity.CARRIER
             sizes = [len(toxicity.compressor(d, toxicity.LEVEL, **toxicity.SETTINGS).compress(data)) for d in (model.ordinary, model.toxic)] if len(saved) < 3 else None
-            saved.append(10 * (sizes[0] - sizes[1]) / len(w.encode()) if sizes else evidence.of([w])[0])
+            holds = any(w.encode()[i : i + n] in model.toxic and w.encode()[i : i + n] not in model.ordinary for n in toxicity.RUNS for i in range(len(w.encode()) - n + 1))
+            plain = 10 * (sizes[0] - sizes[1]) / len(w.encode()) * holds if sizes else evidence.of([w])[0]
+            saved.append(plain)
+            assert evidence.of([w])[0] == pytest.approx(plain)
         features = toxicity._features([row.text], evidence, model.thresholds)[0]
         assert features[: len(model.thresholds)] == pytest.approx([np.log1p(sum(x > t for x in saved)) for t in model.thresholds])
 
