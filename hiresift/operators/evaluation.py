@@ -125,10 +125,10 @@ def numbered_by_hash(rows: DataFrame, key: str, seed: int, parts: int = 4_096) -
     return hashed.withColumn("own", own).join(F.broadcast(before), "part").select(key, (F.col("own") + F.col("before")).alias("place"))
 
 
-def train_logistic(rows: DataFrame, features: Sequence[str], seed: int = 42):
+def train_logistic(rows: DataFrame, features: Sequence[str], seed: int = 42, before: Sequence = ()):
     """Logistic regression with balanced class weights; a quarter of each class is held out unless there are too few rows.
 
-    Returns the fitted pipeline and the validation rows with predictions.
+    ``before`` has stages that make the features. Returns the fitted pipeline and the validation rows with predictions.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -144,6 +144,7 @@ def train_logistic(rows: DataFrame, features: Sequence[str], seed: int = 42):
     small = total < 8 or min(sizes.values(), default=0) < 2
     training, validation = (weighed, weighed) if small else (weighed.where(~held), weighed.where(held))
     stages = [
+        *before,
         VectorAssembler(inputCols=list(features), outputCol="_features"),
         LogisticRegression(featuresCol="_features", labelCol="label", weightCol="_weight", maxIter=50),
     ]
