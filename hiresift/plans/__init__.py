@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("analytics", "texts", "learning", "domains", "nlp", "whole_score", "judged")
+MODULES = ("analytics", "texts", "learning", "domains", "nlp", "whole_score", "judged", "streams")
 
 
 def all_queries() -> dict:
