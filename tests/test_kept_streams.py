@@ -63,3 +63,34 @@ def test_newest_notifications_equal_the_batch(spark, tmp_path):
     want = {tuple(r) for r in dashboard.unread_of_newest(batch, "user_id").select("user_id", "n_unread", "n_listed").collect()}
     assert {tuple(r) for r in kept.unread_of_newest(given).collect()} == want
     assert all(len(r.items_) <= kept.NEWEST for r in given.select(F.col("items").alias("items_")).collect())
+
+
+def test_status_state_is_kept_by_match_without_python(spark, tmp_path):
+    spark.range(1).selectExpr("id", "id AS candidate_id", "'pending' AS status", "timestamp'2024-01-01' AS changed_at").write.parquet(str(tmp_path / "m"))
+    stream = spark.readStream.schema("id long, candidate_id long, status string, changed_at timestamp").parquet(str(tmp_path / "m"))
+    assert "InPandas" not in kept.status_changes(stream)._jdf.queryExecution().logical().toString()
+
+
+class _Held(dict):
+    """A map state in memory."""
+
+    exists = lambda self: bool(self)
+    containsKey = dict.__contains__
+    getValue = dict.__getitem__
+    updateValue = dict.__setitem__
+
+
+def test_one_call_serves_all_users_of_a_group():
+    import pandas as pd
+
+    held = _Held()
+    made = kept._Newest()
+    made.init(type("Handle", (), {"getMapState": lambda self, *_: held})())
+    batch = pd.DataFrame({"user_id": [i % 300 for i in range(3_000)], "id": range(3_000), "at": range(3_000), "is_read": False})
+    frames = list(made.handleInputRows((0, 2), iter([batch]), None))
+    assert [len(f) for f in frames] == [300] and len(held) == 300
+    assert not list(made.handleInputRows((0, 2), iter([batch]), None))
+    # Of 400 newer ones of one user 50 stay, of the old one that is read since the reading.
+    more = pd.DataFrame({"user_id": 5, "id": [5, *range(9_000, 9_400)], "at": [9_999, *range(9_000, 9_400)], "is_read": [True] + [False] * 400})
+    (only,) = [f for f in made.handleInputRows((0, 2), iter([more]), None)]
+    assert only["change"].tolist() == [2] and [x["id"] for x in only["items"][0]] == [*range(9_351, 9_400), 5] and only["items"][0][-1]["is_read"]
