@@ -96,16 +96,16 @@ def detect_domain(texts: DataFrame, keywords: DataFrame, text: str = "text", int
 
 
 def study_domain(
-    texts: DataFrame, keywords: DataFrame, text: str = "text", specialty: str | None = None, into: str = "study", most: int | None = None
+    texts: DataFrame, keywords: DataFrame, text: str = "text", specialty: str | None = None, into: str = "study", most: int | None = None, ascii_words: bool = False
 ) -> DataFrame:
     """The rows with the study domain that has the most keyword hits, the first of equals; null without a hit.
 
     ``keywords`` has (place, domain, keyword). Without a specialty, hits are
     substrings of the text; with one, whole words, twice for the specialty and once
-    for the text.
+    for the text. Letters outside ASCII that are no accented ones belong to words, or with ``ascii_words`` part them.
     """
     plain = lambda value: strip_accents(F.lower(F.coalesce(value, F.lit(""))))
-    apart = lambda value: F.concat(F.lit(" "), F.regexp_replace(value, r"(?U)[^\w]", " "), F.lit(" "))
+    apart = lambda value: F.concat(F.lit(" "), F.regexp_replace(value, r"[^\w]" if ascii_words else r"(?U)[^\w]", " "), F.lit(" "))
     seen = [text] if specialty is None else [text, specialty]
     weights = (1, 2)
     name = plain(F.col("keyword"))
