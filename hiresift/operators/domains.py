@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
@@ -191,12 +191,16 @@ def approximate_labels(labels: DataFrame, rows: DataFrame, order: str = "place")
     """Each label row with the first row whose title and name each hold the label's, or are held by it.
 
     ``labels`` has (label_id, label_title, label_name), ``rows`` (title, name) and an order.
+    Labels and rows of one title and name are compared once.
     """
-    titles = contains_either(labels.select("label_title").distinct(), rows.select("title").distinct(), "label_title", "title")
-    near = labels.join(small(titles), "label_title").join(rows, "title")
+    place = F.struct(order, F.struct(*[c for c in rows.columns if c not in ("title", "name")]).alias("rest"))
+    firsts = rows.groupBy("title", "name").agg(F.min_by(place, order).alias("_first"))
+    asked = labels.select("label_title", "label_name").distinct()
+    titles = contains_either(asked.select("label_title").distinct(), firsts.select("title").distinct(), "label_title", "title")
     a, b = F.lower("label_name"), F.lower("name")
-    first = Window.partitionBy("label_id").orderBy(order)
-    return near.where(F.contains(a, b) | F.contains(b, a)).withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+    near = asked.join(small(titles), "label_title").join(firsts, "title").where(F.contains(a, b) | F.contains(b, a))
+    best = near.groupBy("label_title", "label_name").agg(F.min_by(F.struct("title", "name", "_first.rest"), F.col(f"_first.{order}")).alias("_best"))
+    return labels.join(best, ["label_title", "label_name"]).select(*labels.columns, "_best.title", "_best.name", "_best.rest.*")
 
 
 def deduplicated_discoveries(profiles: DataFrame, into: str = "kept") -> DataFrame:

@@ -14,3 +14,12 @@ def test_study_words_part_at_letters_beyond_ascii_as_the_sql_does(spark, tmp_pat
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
     want = sorted(con.execute(all_oracles()["study_words"]).fetchall())
     assert sorted(tuple(r) for r in all_queries()["study_words"](spark, str(tmp_path)).collect()) == want
+
+
+def test_labels_meet_each_title_and_name_once(spark):
+    # 100,000 rows of four titles and names: what is joined to the labels are these four.
+    rows = spark.range(100_000).select(F.col("id").alias("place"), F.concat(F.lit("red t"), (F.col("id") % 2).cast("string")).alias("title"), F.concat(F.lit("n"), F.col("id").bitwiseAND(2).cast("string")).alias("name"))
+    labels = spark.createDataFrame([(1, "t1", "n2"), (2, "T0", "n"), (3, "t1", "zz"), (4, "t1", "N2")], "label_id long, label_title string, label_name string")
+    found = domains.approximate_labels(labels, rows)
+    assert {(r.label_id, r.place, r.title, r.name) for r in found.collect()} == {(1, 3, "red t1", "n2"), (2, 0, "red t0", "n0"), (4, 3, "red t1", "n2")}
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
