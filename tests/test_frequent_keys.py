@@ -23,3 +23,14 @@ def test_labels_meet_each_title_and_name_once(spark):
     found = domains.approximate_labels(labels, rows)
     assert {(r.label_id, r.place, r.title, r.name) for r in found.collect()} == {(1, 3, "red t1", "n2"), (2, 0, "red t0", "n0"), (4, 3, "red t1", "n2")}
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_frequent_key_is_dealt_to_many_tasks(spark):
+    left = spark.range(900).select(F.col("id").alias("a"), F.when(F.col("id") % 9 != 0, "often").when(F.col("id") % 18 == 0, "seldom").alias("k"))
+    right = spark.range(50).select(F.col("id").alias("b"), F.when(F.col("id") < 40, "often").when(F.col("id") < 45, "seldom").alias("k"))
+    want = {tuple(r) for r in left.join(right, "k").select("a", "b").collect()}
+    got = matching.spread_join(left, right, "k", task_pairs=1_000)
+    listed = [tuple(r) for r in got.select("a", "b").collect()]
+    assert len(listed) == len(set(listed)) == len(want) and set(listed) == want
+    shares = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) > 10 and max(shares) < len(want) / 3
