@@ -69,24 +69,26 @@ def contradiction_costs(spark: SparkSession, d: str) -> DataFrame:
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
     """Matches with the JSON that scoring left, offers and profiles from the tables; some values are missing or no numbers."""
-    m = matches(spark, d)
-    offers = scan(spark, d, "part").select(
-        F.col("p_partkey").alias("offer_id"), F.col("p_name").alias("titre"), F.when(F.col("p_size") % 5 != 0, F.col("p_type")).alias("description"),
-        F.when(F.col("p_size") % 3 != 0, F.split("p_type", " ")).alias("required"),
-    )
+    # Rows are joined narrow; JSON is written where it is read.
+    m = matches(spark, d).select("id", "offer_id", "candidate_id", "status", "score_pct")
+    offers = scan(spark, d, "part").select(F.col("p_partkey").alias("offer_id"), "p_name", "p_type", "p_size")
+    people = scan(spark, d, "customer").select(F.col("c_custkey").alias("candidate_id"), "c_name", "c_mktsegment")
+    person = F.col("candidate_id")
     profile = F.to_json(F.struct(
-        F.struct((F.col("c_custkey") % 9 + 0.5).alias("annees_experience_totales"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey") % 6).alias("niveau_formation_max")).alias("metadata"),
-        F.when(F.col("c_custkey") % 5 != 0, F.split("c_name", "#")).alias("competences"),
+        F.struct((person % 9 + 0.5).alias("annees_experience_totales"), F.when(person % 4 != 0, person % 6).alias("niveau_formation_max")).alias("metadata"),
+        F.when(person % 5 != 0, F.split("c_name", "#")).alias("competences"),
     ))
-    people = scan(spark, d, "customer").select(F.col("c_custkey").alias("candidate_id"), profile.alias("parsed_data"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("raw_text"))
     part = lambda value: F.struct(value.alias("score"))
     i, score = F.col("id"), F.col("score_pct") / F.lit(100.0)
     components = F.struct(
         part(score).alias("skills"), part(i % 11 / F.lit(10.0)).alias("experience"), part(F.when(i % 6 != 0, i % 5 / F.lit(4.0))).alias("education"), part(F.lit("?")).alias("location"),
     )
     encoder = F.struct((i % 8 / F.lit(8.0)).alias("bert_semantic"), score.alias("total"), F.when(i % 2 == 0, i % 13 / F.lit(13.0)).alias("total_raw"))
-    rows = m.select("id", "offer_id", "candidate_id", "status", "score_pct", F.to_json(F.struct(components.alias("components"))).alias("details"), F.when(i % 10 != 0, F.to_json(encoder)).alias("encoder_details"))
-    return rows.join(offers, "offer_id").join(people, "candidate_id")
+    return m.join(offers, "offer_id").join(people, "candidate_id").select(
+        "candidate_id", "offer_id", "id", "status", "score_pct", F.to_json(F.struct(components.alias("components"))).alias("details"), F.when(i % 10 != 0, F.to_json(encoder)).alias("encoder_details"),
+        F.col("p_name").alias("titre"), F.when(F.col("p_size") % 5 != 0, F.col("p_type")).alias("description"), F.when(F.col("p_size") % 3 != 0, F.split("p_type", " ")).alias("required"),
+        profile.alias("parsed_data"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("raw_text"),
+    )
 
 
 @query("""SELECT m.id, score_pct / 100.0::DOUBLE AS score_skills, (m.id % 11) / 10.0::DOUBLE AS score_experience, CASE WHEN m.id % 6 <> 0 THEN (m.id % 5) / 4.0 ELSE 0 END::DOUBLE AS score_education,

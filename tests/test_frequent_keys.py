@@ -34,3 +34,8 @@ def test_frequent_key_is_dealt_to_many_tasks(spark):
     assert len(listed) == len(set(listed)) == len(want) and set(listed) == want
     shares = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert len(shares) > 10 and max(shares) < len(want) / 3
+
+
+def test_pairs_are_joined_before_their_json_is_written(spark):
+    plan = all_queries()["pair_features"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "annees_experience_totales" in plan[: plan.index("Join")] and "named_struct" not in plan[plan.index("Join") :]
