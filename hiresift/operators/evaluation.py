@@ -128,28 +128,36 @@ def numbered_by_hash(rows: DataFrame, key: str, seed: int, parts: int = 4_096) -
 def train_logistic(rows: DataFrame, features: Sequence[str], seed: int = 42, before: Sequence = ()):
     """Logistic regression with balanced class weights; a quarter of each class is held out unless there are too few rows.
 
-    ``before`` has stages that make the features. Returns the fitted pipeline and the validation rows with predictions.
+    ``before`` has transformers that make the features, which are made once for all passes of the training. Returns the
+    fitted pipeline and the validation rows with predictions.
     """
-    from pyspark.ml import Pipeline
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
-    total = sum(sizes.values())
-    weight = F.lit(1.0)
-    for label, n in sizes.items():
-        weight = F.when(F.col("label") == label, F.lit(total / (len(sizes) * n))).otherwise(weight)
-    weighed = rows.withColumn("_weight", weight)
-    held = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(4)) == 0
-    small = total < 8 or min(sizes.values(), default=0) < 2
-    training, validation = (weighed, weighed) if small else (weighed.where(~held), weighed.where(held))
-    stages = [
-        *before,
-        VectorAssembler(inputCols=list(features), outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol="label", weightCol="_weight", maxIter=50),
-    ]
-    model = Pipeline(stages=stages).fit(training)
-    return model, model.transform(validation)
+    made = rows
+    for stage in before:
+        made = stage.transform(made)
+    made = made.select("id", "label", *features).persist()
+    try:
+        sizes = {r.label: r["count"] for r in made.groupBy("label").count().collect()}
+        total = sum(sizes.values())
+        weight = F.lit(1.0)
+        for label, n in sizes.items():
+            weight = F.when(F.col("label") == label, F.lit(total / (len(sizes) * n))).otherwise(weight)
+        held = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(4)) == 0
+        small = total < 8 or min(sizes.values(), default=0) < 2
+        weighed = made.withColumn("_weight", weight)
+        stages = [
+            VectorAssembler(inputCols=list(features), outputCol="_features"),
+            LogisticRegression(featuresCol="_features", labelCol="label", weightCol="_weight", maxIter=50),
+        ]
+        fitted = Pipeline(stages=stages).fit(weighed if small else weighed.where(~held))
+    finally:
+        made.unpersist()
+    model = PipelineModel([*before, *fitted.stages])
+    validation = rows.withColumn("_weight", weight)
+    return model, model.transform(validation if small else validation.where(held))
 
 
 def pseudo_labels(scored: DataFrame, a: str, b: str, high: float, low: float) -> DataFrame:

@@ -36,6 +36,19 @@ def test_frequent_key_is_dealt_to_many_tasks(spark):
     assert len(shares) > 10 and max(shares) < len(want) / 3
 
 
+def test_features_are_made_once_for_a_training(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(x):
+        made.add(1)
+        return float(x % 7)
+
+    rows = spark.range(400).select("id", (F.col("id") % 2).cast("int").alias("label"), seen("id").alias("x"))
+    model, validation = evaluation.train_logistic(rows, ("x",))
+    assert made.value == 400 and 60 < validation.count() < 140
+
+
 def test_pairs_are_joined_before_their_json_is_written(spark):
     plan = all_queries()["pair_features"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "annees_experience_totales" in plan[: plan.index("Join")] and "named_struct" not in plan[plan.index("Join") :]
