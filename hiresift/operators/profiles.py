@@ -7,6 +7,9 @@ then read from lines, and ``parse`` nests them again, one row for each text.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -190,20 +193,30 @@ def skills(rows: DataFrame, dictionary: DataFrame, key: str = "id") -> DataFrame
     )
 
 
-def _diploma(value: Column) -> tuple[Column, Column]:
-    """Name and years of the first diploma that a line names in whole words."""
+def _first_diploma(value: Column) -> Column:
+    """Struct (label, level) of name and years of the first diploma that a line names in whole words."""
     plain = F.regexp_replace(text.strip_accents(F.lower(value)), r"\.", "")
     plain = F.regexp_replace(F.regexp_replace(plain, r"\s*\+\s*", "+"), r"(?U)[^\w+]+", " ")
     plain, written = F.concat(F.lit(" "), plain, F.lit(" ")), F.concat(F.lit(" "), F.regexp_replace(value, r"(?U)[^\w]+", " "), F.lit(" "))
-    label, level = F.lit(None).cast("string"), F.lit(None).cast("int")
-    for name, years, spelled in reversed(DIPLOMAS):
-        hit = F.exists(F.array(*[F.lit(f" {s} ") for s in spelled]), lambda s: F.contains(plain, s))
-        label, level = F.when(hit, name).otherwise(label), F.when(hit, years).otherwise(level)
-        for own, own_years, as_written, before in WRITTEN_DIPLOMAS:
-            if before == name:
-                hit = F.contains(written, F.lit(f" {as_written} "))
-                label, level = F.when(hit, own).otherwise(label), F.when(hit, own_years).otherwise(level)
-    return label, level
+
+    def first(line: Column) -> Column:
+        found = F.lit(None).cast("struct<label:string,level:int>")
+        for name, years, spelled in reversed(DIPLOMAS):
+            hits = [F.contains(line["plain"], F.lit(f" {s} ")) for s in spelled]
+            found = F.when(reduce(or_, hits), F.struct(F.lit(name).alias("label"), F.lit(years).alias("level"))).otherwise(found)
+            for own, own_years, as_written, before in WRITTEN_DIPLOMAS:
+                if before == name:
+                    hit = F.contains(line["written"], F.lit(f" {as_written} "))
+                    found = F.when(hit, F.struct(F.lit(own).alias("label"), F.lit(own_years).alias("level"))).otherwise(found)
+        return found
+
+    # As a lambda's variable a line's forms are made once, not once a spelling.
+    return F.get(F.transform(F.array(F.struct(plain.alias("plain"), written.alias("written"))), first), F.lit(0))
+
+
+def _diploma(value: Column) -> tuple[Column, Column]:
+    found = _first_diploma(value)
+    return found["label"], found["level"]
 
 
 def formations(rows: DataFrame, key: str = "id") -> DataFrame:
@@ -212,12 +225,11 @@ def formations(rows: DataFrame, key: str = "id") -> DataFrame:
     The generic Master gives way to Master 1 or 2 of the same school and year.
     """
     low = F.lower("line")
-    label, level = _diploma(F.col("line"))
     school = F.regexp_extract("line", r"(?iU)((?:universit[éey]\w*|[ée]cole|institut|faculty|facult[ée]|iut|lyc[ée]e|college|school)\b[^,;|\n]*)", 1)
     year = F.regexp_extract_all("line", F.lit(r"\b((?:19|20)[0-9]{2})\b"), F.lit(1))
     order = Window.partitionBy(key).orderBy("at")
-    marked = rows.where("section = 'formation' or section is null").select(
-        key, "at", "section", label.alias("diploma"), level.alias("level"), F.when(school != "", F.trim(school)).alias("school"),
+    marked = rows.where("section = 'formation' or section is null").withColumn("_d", _first_diploma(F.col("line"))).select(
+        key, "at", "section", F.col("_d.label").alias("diploma"), F.col("_d.level").alias("level"), F.when(school != "", F.trim(school)).alias("school"),
         F.try_element_at(year, F.lit(-1)).cast("int").alias("year"), low.rlike(r"(?U)\b(en cours|présent|present|current)\b").alias("ongoing"),
     )
     below = [(c, F.lead(c, n).over(order), F.lead("diploma", n).over(order)) for c in ("school", "year") for n in (1, 2)]

@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from hiresift.operators import domains, evaluation, matching
+from hiresift.operators import domains, evaluation, matching, profiles
 from hiresift.plans import all_oracles, all_queries
 
 
@@ -52,3 +52,11 @@ def test_features_are_made_once_for_a_training(spark):
 def test_pairs_are_joined_before_their_json_is_written(spark):
     plan = all_queries()["pair_features"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "annees_experience_totales" in plan[: plan.index("Join")] and "named_struct" not in plan[plan.index("Join") :]
+
+
+def test_forms_of_a_line_are_made_once_for_all_diplomas(spark):
+    rows = spark.createDataFrame([(1, 0, "Master 2 Informatique, Université de Tunis, 2019", "formation"), (1, 5, "l'ingenieur 2001", None)], "id long, at int, line string, section string")
+    found = profiles.formations(rows)
+    assert {(r.at, r.diploma, r.level, r.year) for r in found.collect()} == {(0, "Master 2", 5, 2019), (5, "Diplôme d'Ingénieur", 5, 2001)}
+    marked = rows.select(profiles._first_diploma(F.col("line")).alias("d"))
+    assert marked._jdf.queryExecution().optimizedPlan().toString().count("translate(") <= 1
