@@ -153,3 +153,26 @@ def test_recommendations_rank_no_further_than_titles_need(spark, monkeypatch):
     got = listings.recommendations(people, jobs, spark.createDataFrame([(1, 7), (1, 8)], "candidate_id long, offer_id long"), k=3).collect()
     assert {(r.candidate_id, r["rank"]): r.offer_id for r in got} == {(1, 1): 400, (1, 2): 401, (1, 3): 402, (2, 1): 0, (2, 2): 1, (2, 3): 2}
     assert max(asked) <= 6
+
+
+def test_vector_matches_sum_as_sql_in_groups_of_bounded_size(spark, monkeypatch):
+    nan = float("nan")
+    rows = [(i, [float(i % 7) - 3, float(i % 5) - 2, 0.1 * (i % 3)]) for i in range(60)]
+    rows += [(60, [1.0, None, 2.0]), (61, None), (62, [0.0, 0.0, 0.0]), (63, [1.0, 2.0]), (64, []), (65, [nan, 1.0, 1.0]), (70, [2.0, 1.0])]
+    frame = spark.createDataFrame(rows, "id long, v array<double>")
+    queries = frame.where("id % 10 = 0")
+    pairs = queries.select(F.col("id").alias("a"), F.col("v").alias("x")).crossJoin(frame.select(F.col("id").alias("b"), F.col("v").alias("y"))).where("a <> b")
+    plain = pairs.withColumn("c", matching.cosine(F.col("x"), F.col("y")))
+    sizes, own = [], matching.vector_matches
+    monkeypatch.setattr(matching, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(matching, "VECTOR_SLICE", 16)
+    for least in (0.6, 0.0, -2.0):
+        want = sorted(str((r.a, r.b, r.c)) for r in plain.where(F.col("c") >= least).collect())
+        got = own(queries, frame, "id", "v", least)
+        assert sorted(str(tuple(r)) for r in got.collect()) == want and len(want) > 20
+        plan = got._jdf.queryExecution().toString()
+        assert "FlatMapCoGroups" in plan and "aggregate(zip_with" not in plan
+        sizes.append(len(want))
+    assert sizes == sorted(sizes)
+    blocked = own(queries.withColumn("k", F.col("id") % 20), frame.withColumn("k", F.col("id") % 20), "id", "v", 0.6, block="k")
+    assert {tuple(r)[:2] for r in blocked.collect()} == {(r.a, r.b) for r in plain.where("c >= 0.6 and a % 20 = b % 20").collect()}
