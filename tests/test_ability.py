@@ -1,5 +1,6 @@
 """The skills part of the main score, step by step."""
 
+from hiresift.functions import similarity
 from hiresift.operators import ability
 
 
@@ -32,3 +33,19 @@ def test_ladder_weights_and_credibility(spark):
         3: (0.5, [], []),
         4: (0.72, ["Docker"], []),
     }
+
+
+def test_skills_of_prepared_pairs_stay_in_their_rows(spark):
+    names = ["java", "javas", "java ee", "ee java", "kotlin", "kotlim", "c", "go lang", "golang", "rest api", "api"]
+    terms = spark.createDataFrame([(n,) for n in names], "term string")
+    want = {a: {b for b in names if a != b and similarity.token_set_ratio(a, b) >= 80} for a in names}
+    assert {r.name: set(r._spelled) for r in ability.near_names(terms, terms).collect()} == {a: b for a, b in want.items() if b}
+    ecosystem = spark.createDataFrame([("ios", "swift")], "skill string, other string")
+    offers = spark.createDataFrame([(1, ["iOS", "Kotlin"], None), (2, [], None)], "offer_id int, required array<string>, title_skill string")
+    people = spark.createDataFrame([(5, ["Swift", "Kotlim"], "", "")], "candidate_id int, own array<string>, raw_text string, experience_text string")
+    asked, own = ability.prepared_skills(offers, people, ecosystem, "offer_id"), ability.prepared_texts(people)
+    pairs = asked.localCheckpoint().crossJoin(own.localCheckpoint())
+    found = ability.ability(pairs, ecosystem, "offer_id")
+    assert {r.offer_id: (r.skills, r.matched) for r in found.collect()} == {1: (0.76, ["iOS", "Kotlin"]), 2: (0.5, [])}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "hashpartitioning" not in plan
