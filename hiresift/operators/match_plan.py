@@ -72,17 +72,22 @@ def domain_years(wanted: Column, practice: Column, similarity: Column | None = N
     ``similarity`` is an array of cosines of the jobs with the offer, in their order.
     """
 
-    def weighed(job: Column, place: Column) -> Column:
+    def shared(job: Column) -> Column:
+        # The share is worked out once a job; a lambda would repeat it wherever it is named.
         share = F.size(F.array_intersect(wanted, job["names"])) / F.greatest(F.size(wanted), F.lit(1))
+        return F.struct(job["years"].alias("years"), job["names"].isNull().alias("silent"), share.alias("share"))
+
+    def weighed(job: Column, place: Column) -> Column:
+        share = job["share"]
         near = F.lit(0.0) if similarity is None else F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.get(similarity, place), F.lit(0.0))))
         fit = share * 0.80 + near * 0.20
         weight = (
-            F.when(job["names"].isNull(), 0.5).when((share >= 0.25) | (fit >= 0.40), 1.0).when((share >= 0.10) | (fit >= 0.20), 0.55)
+            F.when(job["silent"], 0.5).when((share >= 0.25) | (fit >= 0.40), 1.0).when((share >= 0.10) | (fit >= 0.20), 0.55)
             .when((share >= 0.03) | (fit >= 0.10), 0.20).otherwise(0.05)
         )
         return job["years"] * weight
 
-    total = F.aggregate(F.transform(practice, weighed), F.lit(0.0), lambda a, x: a + x)
+    total = F.aggregate(F.transform(F.transform(practice, shared), weighed), F.lit(0.0), lambda a, x: a + x)
     return F.floor(total * 100 + 0.5) / 100
 
 
@@ -114,31 +119,30 @@ def scored(
     are dictionaries.
     """
     text = F.concat_ws(" ", F.coalesce("titre", F.lit("")), F.coalesce("description", F.lit("")), F.array_join(F.coalesce("required", _none()), " "))
-    asked = scoring.offer_profile(prepared_offers(offers, ecosystem)).withColumns({"offer_kind": offer_kind(), "_text": text})
+    prepared = prepared_offers(offers, ecosystem)
+    for names, title, into in (("required", "title_skill", ability.ASKED), ("appreciated_skills", None, "_liked")):
+        prepared = ability.prepared_skills(prepared, profiles, ecosystem, "offer_id", names, title, into)
+    asked = scoring.offer_profile(prepared).withColumns({"offer_kind": offer_kind(), "_text": text, "_title": canonical(F.col("title_skill"))})
     asked = domains.study_domain(asked, study, "_text", into="offer_study").drop("_text")
     near = symmetric(study_adjacency.toDF("a", "b"), "a", "b").groupBy(F.col("a").alias("offer_study")).agg(F.collect_set("b").alias("_adjacent_study"))
     asked = asked.join(small(near), "offer_study", "left")
-    own = domains.study_domain(prepared_jobs(profiles, ecosystem), study, "specialty", into="candidate_study")
+    own = ability.prepared_texts(prepared_jobs(profiles, ecosystem)).withColumn("_have", F.transform(F.coalesce("own", _none()), canonical))
+    own = domains.study_domain(own, study, "specialty", into="candidate_study")
     rows = pairs.join(asked, "offer_id").join(own, "candidate_id")
     for name, default in (("semantic", F.lit(0.5)), ("penalty", F.lit(0.0)), ("expert_doubt", F.lit(False))):
         rows = rows if name in rows.columns else rows.withColumn(name, default)
-    rows = ability.ability(rows, ecosystem)
+    rows = ability.ability(rows.withColumn("appreciated", ability.found_share(F.col("_liked"))), ecosystem)
     relevant = F.when((F.size(F.coalesce("practice", F.array())) > 0) & (F.size("wanted") > 0), domain_years(F.col("wanted"), F.col("practice"))).otherwise(F.col("years"))
     rows = rows.withColumn("domain_years", relevant).withColumn("experience", experience(F.col("required_years"), F.col("years"), F.col("domain_years")))
     adjacent = F.array_contains(F.coalesce("_adjacent_study", _none()), F.col("candidate_study"))
     rows = rows.withColumn("compatibility", domains.study_compatibility("candidate_study", "offer_study", adjacent))
     rows = rows.withColumn("formation", ability.formation(F.col("required_level"), F.col("level"), F.col("prestige"), F.col("compatibility"), F.lit(None).cast("double")))
     rows = domain_relation(rows, adjacency)
-    have = F.transform(F.coalesce("own", _none()), canonical)
     close = F.col("relation").isin("same", "adjacent") & (F.col("candidate_role") > 0) & (F.col("offer_role") > 0)
     rows = rows.withColumns(
         {
             "role_gap": F.when(close, F.col("offer_role") - F.col("candidate_role")).otherwise(0),
-            "central_missing": F.col("title_skill").isNotNull() & ~F.array_contains(have, canonical(F.col("title_skill"))),
+            "central_missing": F.col("title_skill").isNotNull() & ~F.array_contains("_have", F.col("_title")),
         }
     )
-    liked = rows.where(F.size(F.coalesce("appreciated_skills", _none())) > 0).select(
-        "id", F.col("appreciated_skills").alias("required"), "own", "raw_text", "experience_text", F.lit(None).cast("string").alias("title_skill")
-    )
-    share = ability.required_skills(liked, ecosystem).groupBy("id").agg(F.avg(F.col("source").isNotNull().cast("int")).alias("appreciated"))
-    return scoring.multidimensional(rows.join(share, "id", "left")).drop("_adjacent_study", "wanted", "practice")
+    return scoring.multidimensional(rows).drop("_adjacent_study", "wanted", "practice", "_liked", "_have", "_title")

@@ -95,20 +95,24 @@ def multidimensional(pairs: DataFrame) -> DataFrame:
             out = F.when(F.col("offer_kind") == kind, F.lit(values[place])).otherwise(out)
         return out
 
+    # The steps are columns: as expressions each would be repeated wherever the next one names it.
+    pairs = pairs.withColumns({"_ability": ability, "_practice": practice})
+    ability, practice = F.col("_ability"), F.col("_practice")
     base = ability * of_kind(1) + F.col("semantic") * of_kind(2) + practice * of_kind(3) + F.col("formation") * of_kind(4)
     framed = scores.clip(base * scores.domain_multiplier(F.col("relation")), 0.04, 0.95)
     kind = F.coalesce(F.col("relation"), F.lit("unknown"))
-    value = framed + F.coalesce(F.col("appreciated"), F.lit(0.0)) * 0.12
+    pairs = pairs.withColumn("_framed", framed)
+    value = F.col("_framed") + F.coalesce(F.col("appreciated"), F.lit(0.0)) * 0.12
     value = F.when(F.col("central_missing") & kind.isin("same", "unknown"), value * 0.50).otherwise(value)
     value = F.when((ability <= 0.05) & (kind == "different"), F.least(value, F.lit(0.12))).otherwise(value)
     value = value - F.least(F.coalesce(F.col("penalty"), F.lit(0.0)), F.lit(0.15))
     value = F.when(F.col("expert_doubt"), F.least(value, F.lit(0.45))).otherwise(value)
-    score = F.floor(scores.clip(value, 0.05, 0.95) * 10_000 + 0.5) / 10_000
-    percent = score * 100
+    pairs = pairs.withColumn("score", F.floor(scores.clip(value, 0.05, 0.95) * 10_000 + 0.5) / 10_000)
+    percent = F.col("score") * 100
     decision = (
         F.when(percent >= 75, "Excellent profil").when(percent >= of_kind(0), "Bon profil").when(percent >= 42, "Profil partiel").otherwise("Profil non adapté")
     )
-    return pairs.withColumns({"score": score, "decision": decision})
+    return pairs.withColumn("decision", decision).drop("_ability", "_practice", "_framed")
 
 
 def skill_ladder(exact: Column, fuzzy: Column, neighbour: Column, in_text: Column, credibility: Column) -> Column:
