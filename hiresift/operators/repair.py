@@ -97,9 +97,17 @@ class Joiner:
     def run(self, fragments: list[str]) -> str:
         """The cheapest sequence of words that the fragments make; of equals the one with the later last cut."""
         best: list[tuple[float, int, str]] = [(0.0, 0, "")]
+        costs = [self.cost.get(f.lower()) for f in fragments]
+        unknown = -1
         for end in range(1, len(fragments) + 1):
-            found = None
-            for begin in range(end - 1, max(-1, end - 1 - MOST_FRAGMENTS), -1):
+            found, known = None, costs[end - 1]
+            if known is None:
+                unknown = end - 1
+            else:
+                found = (best[end - 1][0] + known, end - 1, fragments[end - 1])
+            # Known words alone are never joined, so only stretches that hold an unknown one are looked up.
+            last = end - 1 if known is None else min(end - 2, unknown)
+            for begin in range(last, max(-1, end - 1 - MOST_FRAGMENTS), -1):
                 own = self.word(fragments[begin:end])
                 if own and (found is None or best[begin][0] + own[0] < found[0]):
                     found = (best[begin][0] + own[0], begin, own[1])

@@ -85,3 +85,11 @@ def test_documents_broken_by_rule_are_restored(spark):
     broken, left, words = (sum(getattr(r, c) for r in docs) for c in ("n_broken", "n_left", "n_words"))
     assert all(r.unchanged for r in docs) and broken > 0.02 * words
     assert left < 0.5 * broken and left < 0.05 * words and 0 <= left
+
+
+def test_known_words_of_a_run_are_not_looked_up_again(monkeypatch):
+    counts = {w: 5 for w in "the quick brown fox jumps over a lazy dog and then some more words follow".split()}
+    joiner, asked, own = repair.Joiner(counts), [], repair.Joiner.word
+    monkeypatch.setattr(repair.Joiner, "word", lambda self, f: asked.append(f) or own(self, f))
+    assert joiner.repaired("the quick bro wn fox jumps over a lazy dog and then some more words follow") == "the quick brown fox jumps over a lazy dog and then some more words follow"
+    assert len(asked) <= 16
