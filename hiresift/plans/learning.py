@@ -166,7 +166,9 @@ def heuristic_scores(spark: SparkSession, d: str) -> DataFrame:
         F.col("id").alias("candidate_id"), F.transform(own, lambda s: F.struct(s.alias("name"))).alias("competences"),
         F.concat(F.lit("Habite à Paris "), "nom").alias("raw_text"), (F.col("id") % 8).cast("double").alias("years"), (F.col("id") % 6).cast("int").alias("level"),
     )
-    pairs = matches(spark, d).select("id", "offer_id", "candidate_id").join(scoring.prepared_offers(offers), "offer_id").join(scoring.prepared_candidates(people), "candidate_id")
+    about = scan(spark, d, "lineitem").count()
+    pairs = matching.looked_up(matches(spark, d).select("id", "offer_id", "candidate_id"), scoring.prepared_offers(offers), "offer_id", about)
+    pairs = matching.looked_up(pairs, scoring.prepared_candidates(people), "candidate_id", about)
     scored = scoring.heuristic(pairs)
     return scored.select("id", *[six(F.col(x)).alias(x) for x in ("score_skills", "score_experience", "score_education", "score_location", "score")])
 

@@ -1,6 +1,10 @@
 """Joins whose keys few values share, and steps that must not run once a pass."""
 
+import os
+import re
+
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from hiresift.operators import domains, evaluation, matching, profiles
@@ -60,3 +64,22 @@ def test_forms_of_a_line_are_made_once_for_all_diplomas(spark):
     assert {(r.at, r.diploma, r.level, r.year) for r in found.collect()} == {(0, "Master 2", 5, 2019), (5, "Diplôme d'Ingénieur", 5, 2001)}
     marked = rows.select(profiles._first_diploma(F.col("line")).alias("d"))
     assert marked._jdf.queryExecution().optimizedPlan().toString().count("translate(") <= 1
+
+
+def test_heuristic_scores_broadcasts_by_rows_not_by_file_size(spark, monkeypatch):
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test data here")
+    joined = lambda rows: rows._jdf.queryExecution().executedPlan().toString()
+    query = all_queries()["heuristic_scores"]
+    few = query(spark, data)
+    monkeypatch.setattr(matching, "BROADCAST_ROWS", 50)
+    monkeypatch.setattr(matching, "TASK_ROWS", 300)
+    many = query(spark, data)
+    sides = lambda plan, join: {key for key in ("offer_id", "candidate_id") if re.search(rf"{join} \[{key}#", plan)}
+    assert sides(joined(few), "BroadcastHashJoin") == sides(joined(many), "SortMergeJoin") == {"offer_id", "candidate_id"}
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+    rows = spark.range(6_000).select("id", (F.col("id") % 700).alias("k"))
+    got = matching.looked_up(rows, spark.range(600).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")), "k", 6_000)
+    shares = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == rows.where("k < 600").count() and len(shares) > 15 and max(shares) < 900
