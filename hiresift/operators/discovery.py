@@ -62,30 +62,53 @@ def beside_known(sections: DataFrame, known: DataFrame, key: str = "id", section
     return first.join(known.select(F.lower("term").alias("_t")).distinct(), "_t", "left_anti").select(key, "term")
 
 
+#: Rows of baskets, and pairs formed from them, that one task holds about.
+TASK_ROWS, TASK_PAIRS = 1_000_000, 3_000_000
+
+
 def cooccurrences(baskets: DataFrame, key: str, item: str, least: int, lift: float) -> DataFrame:
     """(a, b, n_a, n_b, n, lift): pairs of items, a before b, that ``least`` baskets share and whose lift is at least ``lift``.
 
     The lift of a pair is n * baskets / (n_a * n_b). As a pair cannot be in more baskets than
     its rarer item, an item in more than baskets / lift of them reaches it with none: such
-    items, and those in fewer than ``least``, leave before any pair is formed, without loss.
-    So no item brings more than baskets / lift rows. Inside a basket each item meets those
-    behind it in order, a row at a time; counts are added up before they travel. Null keys
-    and items take no part; an item counts once a basket.
+    items, fewer than lift * rows / baskets, leave before any pair is formed, without loss.
+    So no item brings more than baskets / lift rows. Baskets are dealt to tasks by their rows
+    and pairs; inside a basket each item meets those behind it in order, a row at a time, and
+    counts are added up before they travel. Null keys and items take no part; an item counts
+    once a basket.
     """
     if lift <= 0:
         raise ValueError("a lift above 0 is needed to leave items out without loss")
-    rows = baskets.select(F.col(key).alias("k"), F.col(item).alias("i")).where(F.col("k").isNotNull() & F.col("i").isNotNull()).distinct()
-    total = rows.agg(F.count_distinct("k")).first()[0]
-    counts = rows.groupBy("i").agg(F.count("*").alias("c")).where((F.col("c") >= least) & (F.col("c") * F.lit(float(lift)) <= total * (1 + 1e-9)))
-    held = rows.join(small(counts), "i").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("i", "c"))).alias("all"))
-    first = held.where(F.size("all") > 1).select("all", F.posexplode("all").alias("at", "x"))
+    rows = baskets.select(F.col(key).alias("k"), F.col(item).alias("i")).where(F.col("k").isNotNull() & F.col("i").isNotNull())
+    least_tasks = baskets.sparkSession.sparkContext.defaultParallelism
+
+    def dealt(tasks: int) -> DataFrame:
+        own = rows.repartition(max(tasks, least_tasks), "k").distinct()
+        return own.groupBy("k").agg(F.sort_array(F.collect_list("i")).alias("all"))
+
+    def counted(held: DataFrame) -> DataFrame:
+        """(i, c, p): items and their baskets; with a null item all baskets and their pairs."""
+        size = F.size("all").cast("long")
+        each = held.select(F.floor(size * (size - 1) / 2).alias("p"), F.explode(F.concat("all", F.array(F.lit(None)))).alias("i"))
+        return each.groupBy("i").agg(F.count("*").alias("c"), F.sum(F.when(F.col("i").isNull(), F.col("p"))).alias("p"))
+
+    tasks = -(-rows.count() // TASK_ROWS)
+    counts = counted(dealt(tasks))
+    whole = counts.where(F.col("i").isNull()).select(F.col("c").alias("total"), F.col("p").alias("formed"))
+    often = F.col("i").isNull() | (F.col("c") * F.lit(float(lift)) > F.col("total") * (1 + 1e-9))
+    known = counts.select("i", "c").join(F.broadcast(whole), often).collect()
+    total, formed = (known[0]["total"], known[0]["formed"]) if known else (0, 0)
+    held = dealt(max(tasks, -(-formed // TASK_PAIRS)))
+    counts = counted(held).where(F.col("i").isNotNull())
+    if frequent := [r["i"] for r in known if r["i"] is not None]:
+        held = held.withColumn("all", F.array_except("all", F.array(*map(F.lit, frequent)).cast(held.schema["all"].dataType)))
+    first = held.where(F.size("all") > 1).select("all", F.posexplode("all").alias("at", "a"))
     behind = F.slice("all", F.col("at") + 2, F.greatest(F.size("all") - F.col("at") - 1, F.lit(0)))
-    pairs = first.select("x", F.explode(behind).alias("y"))
-    found = pairs.groupBy(F.col("x.i").alias("a"), F.col("y.i").alias("b")).agg(
-        F.first("x.c").alias("n_a"), F.first("y.c").alias("n_b"), F.count("*").alias("n")
-    )
+    found = first.select("a", F.explode(behind).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    for own, n in (("a", "n_a"), ("b", "n_b")):
+        found = found.join(counts.select(F.col("i").alias(own), F.col("c").alias(n)), own)
     value = F.col("n") * F.lit(float(total)) / (F.col("n_a") * F.col("n_b"))
-    return found.where(F.col("n") >= least).withColumn("lift", value).where(F.col("lift") >= lift)
+    return found.select("a", "b", "n_a", "n_b", "n").withColumn("lift", value).where(F.col("lift") >= lift)
 
 
 def associated_terms(pairs: DataFrame, known: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from hiresift.operators import domains, evaluation, matching, profiles
+from hiresift.operators import discovery, domains, evaluation, matching, profiles
 from hiresift.plans import all_oracles, all_queries
 
 
@@ -83,3 +83,20 @@ def test_heuristic_scores_broadcasts_by_rows_not_by_file_size(spark, monkeypatch
     got = matching.looked_up(rows, spark.range(600).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")), "k", 6_000)
     shares = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(shares) == rows.where("k < 600").count() and len(shares) > 15 and max(shares) < 900
+
+
+def test_baskets_are_dealt_by_their_rows_and_pairs(spark, monkeypatch):
+    # One item in two thirds of the baskets, another in half of them: the first reaches no lift of 2, the second can.
+    rows = [(k, f"i{k * 7 % 23}") for k in range(600)] + [(k, f"j{k * 5 % 23}") for k in range(600)] + [(k, "all") for k in range(600) if k % 3] + [(k, "half") for k in range(0, 600, 2)]
+    rows += [(k, f"h{k % 46}") for k in range(0, 600, 2)] + [(None, "half"), (7, None), (8, "half")]
+    table = spark.createDataFrame(rows, "k long, i string")
+    want = sorted(map(tuple, discovery.cooccurrences(table, "k", "i", 2, 2.0).collect()))
+    monkeypatch.setattr(discovery, "TASK_ROWS", 400)
+    monkeypatch.setattr(discovery, "TASK_PAIRS", 100)
+    got = discovery.cooccurrences(table, "k", "i", 2, 2.0)
+    assert sorted(map(tuple, got.collect())) == want and ("h0", "half") in {r[:2] for r in want} and not any("all" in r[:2] for r in want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    tasks = {int(n) for n in re.findall(r"hashpartitioning\(k#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)}
+    assert len(tasks) == 1 and min(tasks) >= 25
+    pairs = discovery.cooccurrences(table.limit(0), "k", "i", 2, 2.0)
+    assert pairs.count() == 0 and pairs.columns == ["a", "b", "n_a", "n_b", "n", "lift"]
