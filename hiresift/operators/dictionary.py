@@ -9,14 +9,18 @@ formed. Time is in proportion to the text and to the occurrences found.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
+from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from hiresift.functions.arrow import map_strings
-from hiresift.functions.automaton import GUARDS, Terms, leftmost_longest
+from hiresift.functions.automaton import GUARDS, Terms, counter, leftmost_longest
 
 #: Characters of terms that one automaton holds at most.
 MOST_CHARS = 8_000_000
@@ -40,7 +44,7 @@ CONTEXTS = {
 MENTION = StructType(
     [StructField("term", StringType()), StructField("category", StringType()), StructField("begin", IntegerType()), StructField("end", IntegerType())]
 )
-COUNT = StructType([StructField("term", StringType()), StructField("category", StringType()), StructField("n", LongType())])
+NUMBERS = ArrayType(StructType([StructField("_place", IntegerType()), StructField("n", LongType())]))
 
 
 def pieces(terms: DataFrame, name: str, most: int | None = None) -> list[list]:
@@ -110,22 +114,38 @@ def mentions(
 
 
 def counts(texts: DataFrame, terms: DataFrame, key: str, text: str = "text", guard: str = "word", most: int | None = None) -> DataFrame:
-    """(key, term, category, n): how often each dictionary term stands in the texts of a key, overlapping ones too."""
+    """(key, term, category, n): how often each dictionary term stands in the texts of a key, overlapping ones too.
+
+    Counts travel by the numbers of terms; the terms meet them when they are added up.
+    """
     held = pieces(terms.select("term", "category").distinct(), "term", most)
-    found = None
+    found, every, own_categories, first = None, [], [], 0
     for rows in held:
         names, categories = _by_term(rows)
 
-        def start(names: list[str] = names, categories: list[list[str]] = categories):
-            check, spaced = GUARDS[guard]
-            automaton = Terms(names, spaced)
+        def start(names: list[str] = names, first: int = first):
+            count, kind = counter(names, guard), to_arrow_type(NUMBERS)
 
-            def one(value: str | None) -> list[dict]:
-                n = Counter(p for _, _, p in automaton.spans(value or "", check))
-                return [{"term": names[p], "category": c, "n": k} for p, k in n.items() for c in categories[p]]
+            def run(values: list[str | None]) -> pa.Array:
+                each = [count(v) if v else {} for v in values]
+                ends = np.cumsum([0, *map(len, each)], dtype="int32")
+                places = np.fromiter(chain.from_iterable(each), "int32", ends[-1]) + np.int32(first)
+                numbers = np.fromiter(chain.from_iterable(c.values() for c in each), "int64", ends[-1])
+                return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(places), pa.array(numbers)], fields=list(kind.value_type)), type=kind)
 
-            return lambda values: [one(v) for v in values]
+            return run
 
-        own = map_strings(texts.select(key, text), [text], "_found", ArrayType(COUNT), start).select(key, F.inline("_found"))
+        own = map_strings(texts.select(key, text), [text], "_found", NUMBERS, start).select(key, F.inline("_found"))
         found = own if found is None else found.unionByName(own)
-    return found.groupBy(key, "term", "category").agg(F.sum("n").alias("n"))
+        every += names
+        own_categories += categories
+        first += len(names)
+    named = pa.table(
+        {
+            "_place": pa.array(np.repeat(np.arange(first, dtype="int32"), list(map(len, own_categories)))),
+            "term": pa.array([t for t, c in zip(every, own_categories, strict=True) for _ in c], pa.string()),
+            "category": pa.array([x for c in own_categories for x in c], pa.string()),
+        }
+    )
+    sums = found.groupBy(key, "_place").agg(F.sum("n").alias("n"))
+    return sums.join(F.broadcast(texts.sparkSession.createDataFrame(named)), "_place").select(key, "term", "category", "n")

@@ -2,10 +2,12 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from hiresift.functions.automaton import FirstPattern, Terms, leftmost_longest, required, word_guard
+from hiresift.functions.automaton import GUARDS, FirstPattern, Terms, WordTerms, leftmost_longest, required, word_guard
 from hiresift.operators import dictionary, discovery, domains
 
 WORDS = ["c", "c++", "java", "javascript", "java spring", "spring", "go", "r", "sql", "é", "été", "data", "node.js", ".net", "a_b", "c#", "big data"]
@@ -142,3 +144,34 @@ def test_terms_of_sections(spark):
         (1, t) for t in ("MonFramework", "XYZ v3", "FastAPI", "loisirs: lecture", "Vue.js", "petit mot", "et")
     }
     assert {(r.id, r.term) for r in discovery.beside_known(rows, known).collect()} == {(1, "MonFramework"), (1, "XYZ v3"), (1, "Vue.js")}
+
+
+def test_marked_words_count_as_guards_do():
+    names = [*WORDS, "é", "été c", "a_b c", "c /", " go", "c# ", "_", "²", "the"]
+    marked, plain = WordTerms(names), Terms(names)
+    rng = random.Random(8)
+    odd = "".join(map(chr, [*range(32, 127), *range(0x3B0, 0x3F0), 0x10FFFF, 0xE000, 0x301]))
+    made = [*texts(9, 1000), "", "the", *("".join(rng.choice(["c", "go", "é", "_", " ", *odd]) for _ in range(rng.randrange(400))) for _ in range(200))]
+    assert any(len(set(t)) > 60 for t in made)
+    for text in made:
+        assert marked.counts(text) == Counter(p for _, _, p in plain.spans(text, word_guard))
+    # What stands inside other words is not even reported by the automaton.
+    assert list(marked.automaton.iter(marked.marked("there bathe gone cc sqlr"))) == [] and not WordTerms([]).counts("a")
+
+
+@pytest.mark.parametrize("most", [None, 12])
+@pytest.mark.parametrize("guard", ["word", "space", "none"])
+def test_counts_travel_by_numbers_of_terms(spark, guard, most):
+    rows = [(i % 50, t) for i, t in enumerate(texts(10))] + [(1000, None), (1001, ""), (None, "java")]
+    terms = spark.createDataFrame([(w, w[:1]) for w in WORDS] + [("java", "second"), ("go", None), (None, "x"), ("", "x")], "term string, category string")
+    found = dictionary.counts(spark.createDataFrame(rows, "k int, text string"), terms, "k", guard=guard, most=most)
+    plain = Terms(WORDS, GUARDS[guard][1])
+    want = Counter()
+    for k, text in rows:
+        for _, _, p in plain.spans(text or "", GUARDS[guard][0]):
+            for c in (w := WORDS[p])[:1], *(["second"] if w == "java" else [None] if w == "go" else []):
+                want[k, w, c] += 1
+    got = [tuple(r) for r in found.collect()]
+    assert {r[:3]: r[3] for r in got} == want and len(got) == len(want) and found.columns == ["k", "term", "category", "n"]
+    assert "hashpartitioning(k#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and not re.search(r"hashpartitioning\([^)]*term", plan)
+    assert dictionary.counts(found.limit(0).select("k", F.col("term").alias("text")), terms.limit(0), "k").count() == 0
