@@ -40,6 +40,21 @@ def test_frequent_key_is_dealt_to_many_tasks(spark):
     assert len(shares) > 10 and max(shares) < len(want) / 3
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_many_rows_of_a_frequent_key_travel_once_to_few(spark, turned):
+    few = spark.range(20).select(F.col("id").alias("a"), F.when(F.col("id") % 4 != 0, "often").when(F.col("id") > 0, "seldom").alias("k"))
+    many = spark.range(3_000).select(F.col("id").alias("b"), F.when(F.col("id") % 10 != 0, "often").otherwise("seldom").alias("k"))
+    want = {tuple(r) for r in few.join(many, "k").select("a", "b").collect()}
+    for broadcast_rows in (None, 0):
+        got = matching.spread_join(*((many, few) if turned else (few, many)), "k", task_pairs=1_000, broadcast_rows=broadcast_rows)
+        listed = [tuple(r) for r in got.select("a", "b").collect()]
+        assert got.columns == (["k", "b", "a"] if turned else ["k", "a", "b"]) and len(listed) == len(want) and set(listed) == want
+        shares = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(shares) > 10 and max(shares) < len(want) / 5
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Generate" in plan) == (broadcast_rows == 0)
+
+
 def test_features_are_made_once_for_a_training(spark):
     made = spark.sparkContext.accumulator(0)
 
