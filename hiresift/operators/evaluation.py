@@ -131,14 +131,16 @@ def train_logistic(rows: DataFrame, features: Sequence[str], seed: int = 42, bef
     ``before`` has transformers that make the features, which are made once for all passes of the training. Returns the
     fitted pipeline and the validation rows with predictions.
     """
-    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
     made = rows
     for stage in before:
         made = stage.transform(made)
-    made = made.select("id", "label", *features).persist()
+    # Put together before they are kept, or every pass would do it again.
+    assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
+    made = assembler.transform(made).select("id", "label", "_features").persist()
     try:
         sizes = {r.label: r["count"] for r in made.groupBy("label").count().collect()}
         total = sum(sizes.values())
@@ -148,14 +150,11 @@ def train_logistic(rows: DataFrame, features: Sequence[str], seed: int = 42, bef
         held = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(4)) == 0
         small = total < 8 or min(sizes.values(), default=0) < 2
         weighed = made.withColumn("_weight", weight)
-        stages = [
-            VectorAssembler(inputCols=list(features), outputCol="_features"),
-            LogisticRegression(featuresCol="_features", labelCol="label", weightCol="_weight", maxIter=50),
-        ]
-        fitted = Pipeline(stages=stages).fit(weighed if small else weighed.where(~held))
+        regression = LogisticRegression(featuresCol="_features", labelCol="label", weightCol="_weight", maxIter=50)
+        fitted = regression.fit(weighed if small else weighed.where(~held))
     finally:
         made.unpersist()
-    model = PipelineModel([*before, *fitted.stages])
+    model = PipelineModel([*before, assembler, fitted])
     validation = rows.withColumn("_weight", weight)
     return model, model.transform(validation if small else validation.where(held))
 

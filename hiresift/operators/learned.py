@@ -26,6 +26,9 @@ PAIR_FEATURES = (
     "score_skills", "score_experience", "score_education", "score_location", "score_semantic", "candidate_years", "candidate_education_level",
     "candidate_total_skills", "required_skills_count", "offer_title_len", "offer_desc_len", "candidate_text_len",
 )
+#: Those that an offer or a profile has before any pair.
+OFFER_FEATURES = ("required_skills_count", "offer_title_len", "offer_desc_len")
+PROFILE_FEATURES = ("candidate_years", "candidate_education_level", "candidate_total_skills", "candidate_text_len")
 ENCODER_FEATURES = (*PAIR_FEATURES, "bert_raw", "bert_semantic", "bert_skills")
 _NETWORK = ("semantic", "skills", "experience", "formation", "reranked", "study_fit", "domain_share", "title_skill", "critical_share", "offer_type")
 NETWORK_FEATURES = {n: _NETWORK[:n] for n in (7, 9, 10)}
@@ -34,22 +37,78 @@ NETWORK_SHARES = {7: 0.10, 9: 0.10, 10: 0.40}
 NEUTRAL = 0.5
 
 
-def _number(json_text: str, path: str) -> Column:
-    """A finite number of a JSON document; 0 where there is none."""
-    value = F.expr(f"try_cast(get_json_object({json_text}, '{path}') AS double)")
+#: What features read of the documents of a pair; numbers as text, as they may be texts that hold numbers.
+_COMPONENTS = ("skills", "experience", "education", "location", "semantic")
+_DETAILS = f"components struct<{', '.join(f'{p}: struct<score: string>' for p in _COMPONENTS)}>"
+_PROFILE = "metadata struct<annees_experience_totales: string, niveau_formation_max: string>, competences string"
+_ENCODER = "total_raw string, total string, bert_semantic string, bert_skills string"
+
+
+def _document(json_text: str, schema: str) -> Column:
+    """A JSON document as a struct, with its text in ``_corrupt_record`` if it does not fit the schema."""
+    options = {"allowUnquotedControlChars": "true", "allowNonNumericNumbers": "false", "columnNameOfCorruptRecord": "_corrupt_record"}
+    return F.from_json(json_text, f"{schema}, _corrupt_record string", options)
+
+
+def _text(json_text: str, path: str) -> Column:
+    """What stands at a path of a parsed document; one that does not fit the schema is read path by path, null if malformed."""
+    fits = F.col(f"_{json_text}._corrupt_record").isNull()
+    return F.when(fits, F.col(f"_{json_text}.{path}")).otherwise(F.get_json_object(json_text, f"$.{path}"))
+
+
+def _read(value: Column) -> Column:
+    """A text as a number; null where it is none. Without a digit or an n it is no number, not even NaN or an infinite one."""
+    return F.when(value.rlike("[0-9nN]"), value.try_cast("double"))
+
+
+def _number(name: str) -> Column:
+    """A finite number of a column of doubles; 0 where there is none."""
+    value = F.col(name)
     return F.coalesce(F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value), F.lit(0.0))
 
 
+def _with_numbers(rows: DataFrame, document: str, schema: str, numbers: dict[str, str], made: dict[str, Column] | None = None) -> DataFrame:
+    """The rows with numbers by name, each from a path of a document that is parsed once, and what is made of these (``_<name>``, may be null) or the document.
+
+    Every step is one of its own: an expression that names a value several times would read it as often.
+    """
+    whole = f"_{document}"
+    read = rows.withColumn(whole, _document(document, schema)).withColumns({f"_{n}": _read(_text(document, path)) for n, path in numbers.items()})
+    done = read.withColumns({n: _number(f"_{n}") for n in numbers if n not in (made or {})} | (made or {}))
+    return done.drop(whole, *[f"_{n}" for n in numbers])
+
+
 def _length(text: str) -> Column:
     return F.coalesce(F.length(text), F.lit(0)).cast("double")
 
 
+def profile_features(profiles: DataFrame) -> DataFrame:
+    """Profiles (parsed_data as JSON, raw_text) with the features that are theirs alone: once a profile, before any join."""
+    made = {
+        "candidate_education_level": F.coalesce(F.col("_candidate_education_level").try_cast("bigint"), F.lit(0)).cast("double"),
+        "candidate_total_skills": F.coalesce(F.json_array_length(_text("parsed_data", "competences")), F.lit(0)).cast("double"),
+        "candidate_text_len": _length("raw_text"),
+    }
+    paths = {"candidate_years": "metadata.annees_experience_totales", "candidate_education_level": "metadata.niveau_formation_max"}
+    return _with_numbers(profiles, "parsed_data", _PROFILE, paths, made)
+
+
+def offer_features(offers: DataFrame) -> DataFrame:
+    """Offers (required, titre, description) with the features that are theirs alone."""
+    return offers.withColumns({
+        "required_skills_count": F.coalesce(F.array_size("required"), F.lit(0)).cast("double"),
+        "offer_title_len": _length("titre"), "offer_desc_len": _length("description"),
+    })
+
+
 class PairFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """Twelve features of a pair as double columns, fifteen with those of an encoder.
 
     Pairs hold details, parsed_data and, with an encoder, encoder_details as JSON;
     required (array), titre, description and raw_text. What is missing, malformed or no
-    finite number is 0; columns of the features' names are replaced.
+    finite number is 0, of a name that a document repeats the last counts; columns of the
+    features' names are replaced. Pairs without parsed_data bring what ``profile_features``
+    makes, those without titre what ``offer_features`` does.
     """
 
     encoder = Param(Params._dummy(), "encoder", "whether encoder_details give three more features", TypeConverters.toBoolean)
@@ -64,21 +123,14 @@ class PairFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         return ENCODER_FEATURES if self.getOrDefault(self.encoder) else PAIR_FEATURES
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        parts = {f"score_{p}": _number("details", f"$.components.{p}.score") for p in ("skills", "experience", "education", "location", "semantic")}
-        parts |= {
-            "candidate_years": _number("parsed_data", "$.metadata.annees_experience_totales"),
-            "candidate_education_level": F.expr("cast(cast({} AS bigint) AS double)".format("coalesce(try_cast(get_json_object(parsed_data, '$.metadata.niveau_formation_max') AS double), 0.0)")),
-            "candidate_total_skills": F.coalesce(F.json_array_length(F.get_json_object("parsed_data", "$.competences")), F.lit(0)).cast("double"),
-            "required_skills_count": F.coalesce(F.array_size("required"), F.lit(0)).cast("double"),
-            "offer_title_len": _length("titre"), "offer_desc_len": _length("description"), "candidate_text_len": _length("raw_text"),
-        }
+        rows = profile_features(dataset) if "parsed_data" in dataset.columns else dataset
+        rows = offer_features(rows) if "titre" in dataset.columns else rows
+        rows = _with_numbers(rows, "details", _DETAILS, {f"score_{p}": f"components.{p}.score" for p in _COMPONENTS})
         if self.getOrDefault(self.encoder):
-            raw = F.when(F.expr("try_cast(get_json_object(encoder_details, '$.total_raw') AS double)").isNotNull(), _number("encoder_details", "$.total_raw"))
-            parts |= {
-                "bert_raw": F.coalesce(raw, _number("encoder_details", "$.total")), "bert_semantic": _number("encoder_details", "$.bert_semantic"),
-                "bert_skills": _number("encoder_details", "$.bert_skills"),
-            }
-        return dataset.withColumns(parts)
+            raw = F.coalesce(F.when(F.col("_bert_raw").isNotNull(), _number("_bert_raw")), _number("_bert_total"))
+            paths = {"bert_raw": "total_raw", "bert_total": "total", "bert_semantic": "bert_semantic", "bert_skills": "bert_skills"}
+            rows = _with_numbers(rows, "encoder_details", _ENCODER, paths, {"bert_raw": raw}).drop("bert_total")
+        return rows
 
 
 def train(labelled: DataFrame, encoder: bool = False, seed: int = 42) -> tuple[PipelineModel, DataFrame]:

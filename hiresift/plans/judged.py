@@ -67,28 +67,58 @@ def contradiction_costs(spark: SparkSession, d: str) -> DataFrame:
 # Features of pairs and what is learned from them.
 
 
-def pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Matches with the JSON that scoring left, offers and profiles from the tables; some values are missing or no numbers."""
-    # Rows are joined narrow; JSON is written where it is read.
-    m = matches(spark, d).select("id", "offer_id", "candidate_id", "status", "score_pct")
-    offers = scan(spark, d, "part").select(F.col("p_partkey").alias("offer_id"), "p_name", "p_type", "p_size")
-    people = scan(spark, d, "customer").select(F.col("c_custkey").alias("candidate_id"), "c_name", "c_mktsegment")
+def _offers(spark: SparkSession, d: str) -> DataFrame:
+    return scan(spark, d, "part").select(F.col("p_partkey").alias("offer_id"), "p_name", "p_type", "p_size")
+
+
+def _people(spark: SparkSession, d: str) -> DataFrame:
+    return scan(spark, d, "customer").select(F.col("c_custkey").alias("candidate_id"), "c_name", "c_mktsegment")
+
+
+def _offer_texts() -> list[Column]:
+    return [
+        F.col("p_name").alias("titre"), F.when(F.col("p_size") % 5 != 0, F.col("p_type")).alias("description"),
+        F.when(F.col("p_size") % 3 != 0, F.split("p_type", " ")).alias("required"),
+    ]
+
+
+def _profile_texts() -> list[Column]:
     person = F.col("candidate_id")
     profile = F.to_json(F.struct(
         F.struct((person % 9 + 0.5).alias("annees_experience_totales"), F.when(person % 4 != 0, person % 6).alias("niveau_formation_max")).alias("metadata"),
         F.when(person % 5 != 0, F.split("c_name", "#")).alias("competences"),
     ))
+    return [profile.alias("parsed_data"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("raw_text")]
+
+
+def _pair_texts() -> list[Column]:
     part = lambda value: F.struct(value.alias("score"))
     i, score = F.col("id"), F.col("score_pct") / F.lit(100.0)
     components = F.struct(
         part(score).alias("skills"), part(i % 11 / F.lit(10.0)).alias("experience"), part(F.when(i % 6 != 0, i % 5 / F.lit(4.0))).alias("education"), part(F.lit("?")).alias("location"),
     )
     encoder = F.struct((i % 8 / F.lit(8.0)).alias("bert_semantic"), score.alias("total"), F.when(i % 2 == 0, i % 13 / F.lit(13.0)).alias("total_raw"))
-    return m.join(offers, "offer_id").join(people, "candidate_id").select(
-        "candidate_id", "offer_id", "id", "status", "score_pct", F.to_json(F.struct(components.alias("components"))).alias("details"), F.when(i % 10 != 0, F.to_json(encoder)).alias("encoder_details"),
-        F.col("p_name").alias("titre"), F.when(F.col("p_size") % 5 != 0, F.col("p_type")).alias("description"), F.when(F.col("p_size") % 3 != 0, F.split("p_type", " ")).alias("required"),
-        profile.alias("parsed_data"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("raw_text"),
-    )
+    return [F.to_json(F.struct(components.alias("components"))).alias("details"), F.when(i % 10 != 0, F.to_json(encoder)).alias("encoder_details")]
+
+
+_KEYS = ("candidate_id", "offer_id", "id", "status", "score_pct")
+
+
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Matches with the JSON that scoring left, offers and profiles from the tables; some values are missing or no numbers."""
+    # Rows are joined narrow; JSON is written where it is read.
+    m = matches(spark, d).select("id", "offer_id", "candidate_id", "status", "score_pct")
+    met = m.join(_offers(spark, d), "offer_id").join(_people(spark, d), "candidate_id")
+    return met.select(*_KEYS, *_pair_texts(), *_offer_texts(), *_profile_texts())
+
+
+def numbered_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The same pairs with the features of offers and profiles, made once for each of these, instead of their texts."""
+    m = matches(spark, d).select("id", "offer_id", "candidate_id", "status", "score_pct")
+    offers = learned.offer_features(_offers(spark, d).select("offer_id", *_offer_texts())).select("offer_id", *learned.OFFER_FEATURES)
+    people = learned.profile_features(_people(spark, d).select("candidate_id", *_profile_texts())).select("candidate_id", *learned.PROFILE_FEATURES)
+    met = m.join(offers, "offer_id").join(people, "candidate_id")
+    return met.select(*_KEYS, *_pair_texts(), *learned.OFFER_FEATURES, *learned.PROFILE_FEATURES)
 
 
 @query("""SELECT m.id, score_pct / 100.0::DOUBLE AS score_skills, (m.id % 11) / 10.0::DOUBLE AS score_experience, CASE WHEN m.id % 6 <> 0 THEN (m.id % 5) / 4.0 ELSE 0 END::DOUBLE AS score_education,
@@ -106,7 +136,7 @@ def pair_features(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def learned_scores(spark: SparkSession, d: str) -> DataFrame:
     """Every match scored by a pipeline from its JSON to a probability, learned from the decided ones."""
-    every = pairs(spark, d)
+    every = numbered_pairs(spark, d)
     label = F.when(F.col("status") == "accepted", 1).when(F.col("status") == "rejected", 0)
     model, _ = learned.train(every.withColumn("label", label).where("label is not null"), encoder=True)
     return learned.scored(every, model).select("id", "status", "learned_score", "ready")

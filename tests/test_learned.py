@@ -36,6 +36,31 @@ def test_features_by_hand(spark):
     assert learned.PairFeatures().features() == learned.ENCODER_FEATURES[:12] and learned.PairFeatures().transform(frame.limit(0)).count() == 0
 
 
+def test_documents_are_parsed_once_and_odd_ones_by_path(spark):
+    odd = [
+        (1, '{"components": {"skills": 1, "experience": {"score": "0.5"}, "location": {"score": 1e400}, "semantic": {"score": " 2 "}}}', [0.0, 0.5, 0.0, 0.0, 2.0]),
+        (2, '{"components": {"skills": {"score": 0.5}, "experience": {"score": 5d}}}', [0.0] * 5),
+        (3, "{'components': {'skills': {'score': '0x1p3'}, 'experience': 7}} and more", [8.0, 0.0, 0.0, 0.0, 0.0]),
+        (4, '{"components": [{"skills": {"score": 1}}]}', [0.0] * 5),
+    ]
+    level = {1: '{"metadata": {"niveau_formation_max": 1e30}, "competences": "[1,2]"}', 2: '{"metadata": {"niveau_formation_max": "NaN"}}', 3: '{"metadata": {"niveau_formation_max": "2.9"}}', 4: None}
+    rows = spark.createDataFrame([(i, text, level[i], '{"total_raw": "NaN", "total": 0.4}', None, "a", "b", "c") for i, text, _ in odd], PAIRS)
+    found = learned.PairFeatures(encoder=True).transform(rows)
+    got = {r.id: r for r in found.collect()}
+    assert {i: [got[i][f] for f in learned.PAIR_FEATURES[:5]] for i, _, _ in odd} == {i: want for i, _, want in odd}
+    assert [(got[i].candidate_education_level, got[i].candidate_total_skills, got[i].bert_raw) for i in (1, 2, 3)] == [(0.0, 2.0, 0.0), (0.0, 0.0, 0.0), (2.0, 0.0, 0.0)]
+    # Documents that fit are read from their structs: three are parsed, whatever is read of them.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 3
+    # What an offer or a profile has by itself may come from before the pairs.
+    own = learned.offer_features(learned.profile_features(rows)).select("id", "details", "encoder_details", *learned.OFFER_FEATURES, *learned.PROFILE_FEATURES)
+    assert {r.id: [r[f] for f in learned.ENCODER_FEATURES] for r in learned.PairFeatures(encoder=True).transform(own).collect()} == {i: [r[f] for f in learned.ENCODER_FEATURES] for i, r in got.items()}
+
+
+def test_learned_scores_makes_features_of_profiles_before_the_join(spark):
+    plan = judged.learned_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "annees_experience_totales" not in plan[: plan.index("Join")] and "annees_experience_totales" in plan
+
+
 def labelled(spark, n=400):
     draw, rows = random.Random(3), []
     for i in range(n):
