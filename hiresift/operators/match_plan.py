@@ -3,11 +3,15 @@
 What concerns one offer or one profile is worked out before they are paired: skills in
 canonical form, the sets that stand for them, the sets of every job, study domains. A
 pair then meets them with array functions only; no job or skill is exploded for it but
-the required skills, which are a few.
+the required skills, which are a few. What offers ask for travels by the number of its set
+and meets a pair last.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,6 +104,24 @@ def experience(required: Column, years: Column, relevant: Column, semantic: Colu
     return F.when(F.coalesce(required, F.lit(0)) <= 0, 1.0).otherwise(four(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))))
 
 
+#: What an offer asks of a candidate's skills, and the distinct values of it up to which they are met apart from the offers.
+SKILLS_ASKED = ("required", "appreciated_skills", "title_skill")
+MOST_SETS = 20_000
+
+
+def _sets(offers: DataFrame, key: str = "offer_id") -> tuple[DataFrame, DataFrame, bool]:
+    """Offers with the number of their set of skills asked for instead of these, the sets (``_set``), and whether these are few.
+
+    Offers that ask for the same share a set, known by the least of their keys; where sets are many, each offer has its own.
+    """
+    sets = offers.groupBy(*SKILLS_ASKED).agg(F.min(key).alias("_set"))
+    if sets.limit(MOST_SETS + 1).count() > MOST_SETS:
+        return offers.withColumn("_set", F.col(key)).drop(*SKILLS_ASKED), offers.select(F.col(key).alias("_set"), *SKILLS_ASKED), False
+    own = F.broadcast(sets.withColumnsRenamed({c: f"_own_{c}" for c in SKILLS_ASKED}))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_own_{c}")) for c in SKILLS_ASKED])
+    return offers.join(own, same).select(*[c for c in offers.columns if c not in SKILLS_ASKED], "_set"), sets, True
+
+
 def offer_kind() -> Column:
     """The kind that sets the weights of an offer with flags, the first that holds: management, senior, junior, else technical."""
     return F.when(F.col("is_management"), "management").when(F.col("is_senior"), "senior").when(F.col("is_junior"), "junior").otherwise("tech")
@@ -119,16 +141,20 @@ def scored(
     are dictionaries.
     """
     text = F.concat_ws(" ", F.coalesce("titre", F.lit("")), F.coalesce("description", F.lit("")), F.array_join(F.coalesce("required", _none()), " "))
-    prepared = prepared_offers(offers, ecosystem)
-    for names, title, into in (("required", "title_skill", ability.ASKED), ("appreciated_skills", None, "_liked")):
-        prepared = ability.prepared_skills(prepared, profiles, ecosystem, "offer_id", names, title, into)
-    asked = scoring.offer_profile(prepared).withColumns({"offer_kind": offer_kind(), "_text": text, "_title": canonical(F.col("title_skill"))})
+    asked, sets, few = _sets(scoring.offer_profile(offers).withColumns({"offer_kind": offer_kind(), "_text": text}))
     asked = domains.study_domain(asked, study, "_text", into="offer_study").drop("_text")
-    near = symmetric(study_adjacency.toDF("a", "b"), "a", "b").groupBy(F.col("a").alias("offer_study")).agg(F.collect_set("b").alias("_adjacent_study"))
-    asked = asked.join(small(near), "offer_study", "left")
+    prepared = prepared_offers(sets, ecosystem, "_set").withColumn("_title", canonical(F.col("title_skill")))
+    for names, title, into in (("required", "title_skill", ability.ASKED), ("appreciated_skills", None, "_liked")):
+        prepared = ability.prepared_skills(prepared, profiles, ecosystem, "_set", names, title, into)
     own = ability.prepared_texts(prepared_jobs(profiles, ecosystem)).withColumn("_have", F.transform(F.coalesce("own", _none()), canonical))
     own = domains.study_domain(own, study, "specialty", into="candidate_study")
-    rows = pairs.join(asked, "offer_id").join(own, "candidate_id")
+    if few:
+        # Pairs are shuffled with numbers and codes only.
+        rows = pairs.join(asked, "offer_id").join(own, "candidate_id").join(F.broadcast(prepared), "_set")
+    else:
+        rows = pairs.join(asked.join(prepared, "_set"), "offer_id").join(own, "candidate_id")
+    near = symmetric(study_adjacency.toDF("a", "b"), "a", "b").groupBy(F.col("a").alias("offer_study")).agg(F.collect_set("b").alias("_adjacent_study"))
+    rows = rows.join(small(near), "offer_study", "left")
     for name, default in (("semantic", F.lit(0.5)), ("penalty", F.lit(0.0)), ("expert_doubt", F.lit(False))):
         rows = rows if name in rows.columns else rows.withColumn(name, default)
     rows = ability.ability(rows.withColumn("appreciated", ability.found_share(F.col("_liked"))), ecosystem)
@@ -145,4 +171,4 @@ def scored(
             "central_missing": F.col("title_skill").isNotNull() & ~F.array_contains("_have", F.col("_title")),
         }
     )
-    return scoring.multidimensional(rows).drop("_adjacent_study", "wanted", "practice", "_liked", "_have", "_title")
+    return scoring.multidimensional(rows).drop("_adjacent_study", "wanted", "practice", "_liked", "_have", "_title", "_set")

@@ -1,9 +1,13 @@
 """The steps of the whole score by hand; the query itself is checked against SQL."""
 
+import os
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from hiresift.operators import match_plan
+from hiresift.plans import all_queries
 
 JOBS = "array<struct<title:string,company:string,description:string,months:int>>"
 
@@ -37,3 +41,22 @@ def test_experience(spark, required, years, relevant, semantic, value):
     row = spark.createDataFrame([(required, years, relevant, semantic)], "q int, y double, r double, s double")
     got = row.select(match_plan.experience(F.col("q"), F.col("y"), F.col("r"), F.col("s"))).first()[0]
     assert got == pytest.approx(value)
+
+
+def test_what_offers_ask_for_does_not_travel_with_pairs(spark, monkeypatch):
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test data here")
+    few = all_queries()["whole_scores"](spark, data)
+    monkeypatch.setattr(match_plan, "MOST_SETS", 3)
+    many = all_queries()["whole_scores"](spark, data)
+    joins = lambda rows: re.findall(r"Join Inner, \((\w+)#", rows._jdf.queryExecution().optimizedPlan().toString())
+    assert joins(few)[0] == "_set" and joins(many)[0] == "candidate_id"
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_offers_that_ask_for_the_same_share_a_set(spark):
+    rows = [(4, ["a"], None, "a"), (2, ["a"], None, "a"), (3, None, None, None), (5, None, None, None), (6, ["a"], [], "a"), (7, [None], None, "a")]
+    offers = spark.createDataFrame(rows, "offer_id int, required array<string>, appreciated_skills array<string>, title_skill string")
+    own, sets, few = match_plan._sets(offers)
+    assert few and {r.offer_id: r._set for r in own.collect()} == {4: 2, 2: 2, 3: 3, 5: 3, 6: 6, 7: 7} and sets.count() == 4
