@@ -113,6 +113,22 @@ def mentions(
     return map_strings(found.withColumn(into, F.concat(*each)).drop(*each), [into], into, kind, lambda: lambda rows: [arranged(r) for r in rows])
 
 
+def held(texts: DataFrame, terms: DataFrame, text: str = "text", into: str = "terms", most: int | None = None) -> DataFrame:
+    """The rows with the distinct (term, category) of a dictionary that stand between spaces in a text, however often."""
+    kind = ArrayType(StructType([StructField("term", StringType()), StructField("category", StringType())]))
+    found, each = texts, []
+    for number, rows in enumerate(pieces(terms.select("term", "category").distinct(), "term", most)):
+        names, categories = _by_term(rows)
+
+        def start(names: list[str] = names, categories: list[list[str]] = categories):
+            own = Terms(names, spaced=True)
+            return lambda values: [[(names[p], c) for p in sorted(own.found(v or "")) for c in categories[p]] for v in values]
+
+        each.append(f"_{into}_{number}")
+        found = map_strings(found, [text], each[-1], kind, start)
+    return found.withColumn(into, F.concat(*each)).drop(*each)
+
+
 def counts(texts: DataFrame, terms: DataFrame, key: str, text: str = "text", guard: str = "word", most: int | None = None) -> DataFrame:
     """(key, term, category, n): how often each dictionary term stands in the texts of a key, overlapping ones too.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hiresift.functions import scores, text
 
-from .matching import dictionary_matches
+from .matching import small, text_terms
 
 # Words that open a section.
 SECTIONS = {
@@ -86,9 +86,12 @@ def lines(docs: DataFrame, key: str = "id", raw: str = "raw_text") -> DataFrame:
     A header that is followed at once by another belongs to a table of contents
     and opens nothing.
     """
+    header = lambda pattern: F.lower("line").rlike(r"(?U)^\s*(" + pattern + r")\s*[:\-–]?\s*$")
     name = F.lit(None).cast("string")
     for section, pattern in SECTIONS.items():
-        name = F.when(F.lower("line").rlike(r"(?U)^\s*(" + pattern + r")\s*[:\-–]?\s*$"), section).otherwise(name)
+        name = F.when(header(pattern), section).otherwise(name)
+    # Most lines open no section: one pattern tells.
+    name = F.when(header("|".join(SECTIONS.values())), name)
     order = Window.partitionBy(key).orderBy("at")
     listed = (
         docs.select(key, F.posexplode(F.split(text.clean_extracted(F.col(raw)), "\n")).alias("at", "line"))
@@ -105,10 +108,10 @@ def lines(docs: DataFrame, key: str = "id", raw: str = "raw_text") -> DataFrame:
     )
 
 
-def names(rows: DataFrame, contacts: DataFrame, key: str = "id") -> DataFrame:
-    """Name of each text: a labelled line, else one of the first ten lines that reads as a name, else from the address or profile."""
+def found_names(rows: DataFrame, key: str = "id") -> DataFrame:
+    """(key, found): a labelled line, else one of the first ten lines that reads as a name."""
     labelled = F.regexp_extract("line", r"(?iU)^(?:nom(?:\s+complet)?|name|full\s+name)\s*[:\-]\s*(.{3,60})$", 1)
-    plain = F.col("line").rlike(r"(?U)^[\p{Lu}][\p{L}'’\-]+(\s+[\p{Lu}][\p{L}'’\-]+){1,3}$") & (F.col("at") < 10)
+    plain = (F.col("at") < 10) & F.col("line").rlike(r"(?U)^[\p{Lu}][\p{L}'’\-]+(\s+[\p{Lu}][\p{L}'’\-]+){1,3}$")
     job = F.lower("line").rlike(r"(?U)\b(d[ée]veloppeur|developer|ing[ée]nieur|engineer|curriculum|manager|chef|stage|consultant|university|universit[ée])\b")
     found = rows.select(
         key,
@@ -116,20 +119,33 @@ def names(rows: DataFrame, contacts: DataFrame, key: str = "id") -> DataFrame:
         .when(plain & ~job, F.struct(F.lit(1).alias("rank"), "at", F.col("line").alias("name")))
         .alias("c"),
     ).where("c is not null")
-    best = found.groupBy(key).agg(F.min("c").alias("c")).select(key, F.col("c.name").alias("found"))
+    return found.groupBy(key).agg(F.min("c").alias("c")).select(key, F.col("c.name").alias("found"))
+
+
+def _name() -> Column:
+    """The found name, else one from the address of a profile or the e-mail."""
     slug = F.initcap(F.regexp_replace(F.regexp_extract(F.coalesce("linkedin", F.lit("")), r"/in/([a-z]+-[a-z]+)", 1), "-", " "))
-    return contacts.join(best, key, "left").select(
-        key, F.initcap(F.coalesce("found", F.when(slug != "", slug), text.name_from_email(F.col("email")))).alias("name")
-    )
+    return F.initcap(F.coalesce("found", F.when(slug != "", slug), text.name_from_email(F.col("email"))))
+
+
+def names(rows: DataFrame, contacts: DataFrame, key: str = "id") -> DataFrame:
+    """Name of each text: found in its lines, else from the address or profile."""
+    return contacts.join(found_names(rows, key), key, "left").select(key, _name().alias("name"))
+
+
+def _contacts(raw: str) -> list[Column]:
+    # Without an at sign, written or spelled out, there is no address to repair.
+    possible = F.contains(F.col(raw), F.lit("@")) | F.col(raw).rlike(r"(?i)[\(\[]\s*(?:at|arobase)\s*[\)\]]")
+    addresses = F.when(possible, text.emails(text.repair_emails(F.col(raw)))).otherwise(F.array().cast("array<string>"))
+    return [addresses.alias("emails"), text.phones(F.col(raw)).alias("phones"), text.linkedin(F.col(raw)).alias("linkedin"), text.github(F.col(raw)).alias("github")]
+
+
+def _firsts(found: DataFrame) -> DataFrame:
+    return found.withColumns({"email": F.get("emails", F.lit(0)), "phone": F.get("phones", F.lit(0))})
 
 
 def contacts(docs: DataFrame, key: str = "id", raw: str = "raw_text") -> DataFrame:
-    repaired = text.repair_emails(F.col(raw))
-    addresses, numbers = text.emails(repaired), text.phones(F.col(raw))
-    return docs.select(
-        key, F.get(addresses, F.lit(0)).alias("email"), F.get(numbers, F.lit(0)).alias("phone"), addresses.alias("emails"), numbers.alias("phones"),
-        text.linkedin(F.col(raw)).alias("linkedin"), text.github(F.col(raw)).alias("github"),
-    )
+    return _firsts(docs.select(key, *_contacts(raw))).select(key, "email", "phone", "emails", "phones", "linkedin", "github")
 
 
 def _named(value: Column, table: dict[str, str]) -> Column:
@@ -148,8 +164,9 @@ def languages(rows: DataFrame, key: str = "id") -> DataFrame:
     of_five = F.when(grade != "", grade.cast("int")).when(stars != "", F.length(stars))
     graded = F.element_at(F.array(*map(F.lit, ("Débutant", "Débutant", "Intermédiaire", "Avancé", "Courant"))), F.coalesce(of_five, F.lit(1)))
     level = F.coalesce(_named(low, LEVELS), F.when(of_five.isNotNull(), graded))
+    spoken = rows.where(low.rlike(r"(?U)\b(" + every + r")\b"))
     mentions = (
-        rows.withColumn("level", level)
+        spoken.withColumn("level", level)
         .where((F.col("section") == "languages") | F.col("level").isNotNull())
         .select(key, "at", "level", F.explode(F.regexp_extract_all(low, F.lit(r"(?U)\b(" + every + r")\b"), F.lit(1))).alias("word"))
         .withColumn("language", _named(F.col("word"), LANGUAGES))
@@ -165,11 +182,16 @@ def skills(rows: DataFrame, dictionary: DataFrame, key: str = "id") -> DataFrame
 
     The dictionary has (term, name, category), a synonym being a further term of a name.
     """
-    whole = rows.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    placed = lambda kept: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(kept, F.struct("at", "line")))), lambda x: x["line"]), "\n")
+    listed = F.col("section") == "skills"
+    whole = rows.groupBy(key).agg(F.lower(placed(F.lit(True))).alias("low"), F.when(F.count_if(listed) > 0, F.lower(placed(listed))).alias("section_body"))
+    # Years are looked for, skill by skill, only in a text that names a number of years.
+    whole = whole.withColumn("_timed", F.col("low").rlike(r"(?U)\d{1,2}\s*(?:ans?|years?)"))
     ambiguous = F.length("term") <= 2
-    found = dictionary_matches(whole, dictionary, key, "body").join(dictionary.select(F.lower("term").alias("term"), "name").distinct(), "term")
-    listed = rows.where("section = 'skills'").groupBy(key).agg(F.lower(F.array_join(F.collect_list("line"), "\n")).alias("section_body"))
-    own = found.join(whole.select(key, F.lower("body").alias("low")), key).join(listed, key, "left")
+    # A text's terms are found in its row, so texts meet nothing by a join.
+    named = dictionary.select(F.lower("term").alias("term"), "name").distinct()
+    found = text_terms(whole, dictionary, "low", "_terms").select(key, "low", "section_body", "_timed", F.inline("_terms"))
+    own = found.join(small(named), "term")
     quoted = F.concat(F.lit(r"\Q"), F.col("term"), F.lit(r"\E"))
     alone = F.concat(F.lit(r"(?U)(^|[\s,;:/(])"), quoted, F.lit(r"($|[\s,;/).])"))
     context = F.coalesce(F.regexp_like("section_body", alone), F.lit(False)) | F.regexp_like(
@@ -185,7 +207,7 @@ def skills(rows: DataFrame, dictionary: DataFrame, key: str = "id") -> DataFrame
             )
         ]
     )
-    kept = own.where(~ambiguous | context).withColumn("years", years)
+    kept = own.where(~ambiguous | context).withColumn("years", F.when(F.col("_timed"), years))
     return (
         kept.groupBy(key, "name", "category")
         .agg(F.max("years").alias("years"), F.bool_or(F.coalesce(F.contains("section_body", F.col("term")), F.lit(False))).alias("_s"))
@@ -195,7 +217,7 @@ def skills(rows: DataFrame, dictionary: DataFrame, key: str = "id") -> DataFrame
 
 def _first_diploma(value: Column) -> Column:
     """Struct (label, level) of name and years of the first diploma that a line names in whole words."""
-    plain = F.regexp_replace(text.strip_accents(F.lower(value)), r"\.", "")
+    plain = F.replace(text.strip_accents(F.lower(value)), F.lit("."), F.lit(""))
     plain = F.regexp_replace(F.regexp_replace(plain, r"\s*\+\s*", "+"), r"(?U)[^\w+]+", " ")
     plain, written = F.concat(F.lit(" "), plain, F.lit(" ")), F.concat(F.lit(" "), F.regexp_replace(value, r"(?U)[^\w]+", " "), F.lit(" "))
 
@@ -238,13 +260,13 @@ def formations(rows: DataFrame, key: str = "id") -> DataFrame:
         near = near.withColumn(f"_{place}", F.when(other.isNull(), value)).withColumn(c, F.col(c))
     near = near.withColumns({"school": F.coalesce("school", "_0", "_1"), "year": F.coalesce("year", "_2", "_3")}).drop("_0", "_1", "_2", "_3")
     found = near.where("diploma is not null and (section = 'formation' or year is not null)")
-    specific = found.where("diploma in ('Master 1', 'Master 2')").select(key, F.col("school").alias("_s"), F.col("year").alias("_y")).distinct()
-    generic = found.where("diploma = 'Master'").alias("g").join(
-        specific.alias("s"), (F.col(f"g.{key}") == F.col(f"s.{key}")) & F.col("g.school").eqNullSafe(F.col("s._s")) & F.col("g.year").eqNullSafe(F.col("s._y")), "left_anti"
-    )
-    return (
-        found.where("diploma <> 'Master'").unionByName(generic).dropDuplicates([key, "diploma", "school", "year"]).drop("section")
-    )
+    fields = ("at", "diploma", "level", "school", "year", "ongoing")
+    own = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_f"))
+    beside = lambda x, y: x["school"].eqNullSafe(y["school"]) & x["year"].eqNullSafe(y["year"])
+    specific = lambda x: F.exists("_f", lambda y: y["diploma"].isin("Master 1", "Master 2") & beside(x, y))
+    before = lambda x, i: F.exists(F.slice("_f", F.lit(1), i), lambda y: (x["diploma"] == y["diploma"]) & beside(x, y))
+    kept = F.filter("_f", lambda x, i: ~before(x, i) & ((x["diploma"] != "Master") | ~specific(x)))
+    return own.select(key, F.inline(kept))
 
 
 def experiences(rows: DataFrame, as_of: str, key: str = "id") -> DataFrame:
@@ -289,15 +311,14 @@ _RANGE = (
 def parse(docs: DataFrame, dictionary: DataFrame, as_of: str, key: str = "id", raw: str = "raw_text") -> DataFrame:
     """Nested profile of each text, also of one that nothing is found in; texts of under 50 characters carry an error."""
     rows = lines(docs, key, raw)
-    people = contacts(docs, key, raw)
 
     def nested(part: DataFrame, name: str, *fields: str) -> DataFrame:
         return part.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
 
-    out = docs.select(key, F.when(F.char_length(F.coalesce(F.col(raw), F.lit(""))) < 50, "text_too_short").alias("error"), text.language_by_keywords(F.col(raw)).alias("cv_language"))
+    error = F.when(F.char_length(F.coalesce(F.col(raw), F.lit(""))) < 50, "text_too_short").alias("error")
+    out = _firsts(docs.select(key, error, text.language_by_keywords(F.col(raw)).alias("cv_language"), *_contacts(raw)))
+    out = out.join(found_names(rows, key), key, "left").select(key, "error", "cv_language", "email", "phone", "emails", "phones", "linkedin", "github", _name().alias("name"))
     for part in (
-        people,
-        names(rows, people, key),
         nested(skills(rows, dictionary, key), "skills", "name", "category", "years", "level", "source"),
         nested(formations(rows, key), "formations", "at", "diploma", "level", "school", "year", "ongoing"),
         nested(experiences(rows, as_of, key), "experiences", "at", "title", "company", "start", "end", "ongoing", "months", "missions"),

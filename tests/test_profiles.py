@@ -124,6 +124,20 @@ def test_parse_profile(spark):
     assert got[2].error == "text_too_short" and got[3].error == "text_too_short" and not got[2].skills
 
 
+def test_texts_are_read_once_and_meet_nothing_by_a_join(spark):
+    raw = "a" * 50 + "\nLicence 2010\nLicence 2010\nMaster 2012\nMaster 1 2012\nMaster 2013\nC, 3 ans de python, java : 12 years\njean (at) x (dot) org\n"
+    docs = spark.createDataFrame([(1, raw), (2, raw.replace("ans", "jours").replace("years", "mois"))], "id int, raw_text string")
+    terms = spark.createDataFrame([*DICTIONARY, ("java", "Java", "ile")], "term string, name string, category string")
+    parsed = profiles.parse(docs, terms, "2024-01-31")
+    got = {r.id: r for r in parsed.collect()}
+    assert {(s.name, s.category, s.years) for s in got[1].skills} == {("Python", "langages", 3), ("Java", "langages", 12), ("Java", "ile", 12)}
+    assert {(s.name, s.years) for s in got[2].skills} == {("Python", None), ("Java", None)} and got[2].email == "jean@x.org"
+    assert [(f.at, f.diploma, f.year) for f in got[1].formations] == [(1, "Licence", 2010), (4, "Master 1", 2012), (5, "Master", 2013)]
+    plan = profiles.skills(profiles.lines(docs), terms)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 1
+    assert profiles.formations(profiles.lines(docs))._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode") == 1
+
+
 def test_table_of_contents_opens_nothing(spark):
     docs = spark.createDataFrame([(1, "Expériences\nFormation\nLangues\nExpérience\n2020 - 2021\nIngénieur\n")], "id int, raw_text string")
     rows = profiles.lines(docs)
